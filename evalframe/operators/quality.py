@@ -102,6 +102,12 @@ def query_type_decisions(cube: DataFrame, threshold: float = THRESHOLD) -> DataF
     return means.withColumn("keep", keep).withColumn("drop", drop)
 
 
+def _require_one_type(cube: DataFrame) -> None:
+    kinds = cube.groupBy("task").agg(F.countDistinct("query_type").alias("k"))
+    if not kinds.where("k > 1").limit(1).isEmpty():
+        raise AssertionError("Some tasks still have multiple query_types. Programming error.")
+
+
 def remove_duplicate_queries(
     df: DataFrame, threshold: float = THRESHOLD, reference_size: str = REFERENCE_MODEL_SIZE
 ) -> DataFrame:
@@ -110,9 +116,7 @@ def remove_duplicate_queries(
     check_models(cube, reference_size)
     dropped = materialize(query_type_decisions(cube, threshold).select("task", F.col("drop").alias("query_type")), "drop")
     keys = ["task", "query_type"]
-    left = cube.join(dropped, keys, "left_anti").groupBy("task").agg(F.countDistinct("query_type").alias("k"))
-    if not left.where("k > 1").limit(1).isEmpty():
-        raise AssertionError("Some tasks still have multiple query_types. Programming error.")
+    _require_one_type(cube.join(dropped, keys, "left_anti"))
     return df.join(dropped, keys, "left_anti")
 
 
@@ -206,6 +210,41 @@ def wrangle(
     return prepend_features(df, include_model, include_n_targets)
 
 
-def prepare(df: DataFrame, **options) -> DataFrame:
-    """De-duplicate query types, then wrangle: the whole path from samples to model input."""
-    return wrangle(remove_duplicate_queries(df), **options)
+def prepare(
+    df: DataFrame,
+    include_model: bool = False,
+    include_n_targets: bool = False,
+    filter_bad_tasks: bool = False,
+    reference_size: str = REFERENCE_MODEL_SIZE,
+) -> DataFrame:
+    """``remove_duplicate_queries`` and ``wrangle`` with two passes over the samples.
+
+    The first pass takes the sums both decisions need (all labels, and the
+    labels that survive binarize and clean); the second keeps the (task, query
+    type) pairs decided on.
+    """
+    usable = binary_label() & ((F.col("query_type") != S.MULTIPLE_CHOICE) | (F.size("targets") != 1))
+    cube = df.groupBy("task", "query_type", *MODEL).agg(
+        F.count("*").alias("n"),
+        F.count("correct").alias("n_labelled"),
+        F.sum("correct").alias("sum_correct"),
+        F.count_if(usable).alias("n_usable"),
+        F.sum(F.when(usable, F.col("correct"))).alias("sum_usable"),
+        F.sum(F.when(usable, F.size("targets"))).alias("sum_n_targets"),
+    )
+    cube = materialize(cube, "cube")
+    check_models(cube, reference_size)
+    duplicates = query_type_decisions(cube.drop("sum_n_targets")).select("task", F.col("drop").alias("query_type"))
+    kept = materialize(cube.join(duplicates, ["task", "query_type"], "left_anti"), "kept")
+    _require_one_type(kept)
+    pairs = kept.select("task", "query_type").distinct()
+    if filter_bad_tasks:
+        usable_cube = kept.where("n_usable > 0").select(
+            "task", "query_type", *MODEL, F.col("n_usable").alias("n"), F.col("n_usable").alias("n_labelled"),
+            F.col("sum_usable").alias("sum_correct"), "sum_n_targets",
+        )
+        check_models(usable_cube, reference_size)
+        pairs = pairs.join(bad_tasks(usable_cube).select("task"), "task", "left_anti")
+    rows = join_per_key(df, pairs, ["task", "query_type"], "left_semi")
+    rows = rows.transform(binarize).transform(augment).transform(clean)
+    return prepend_features(rows, include_model, include_n_targets)
