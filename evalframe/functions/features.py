@@ -159,8 +159,13 @@ def shorten(text: Column, length: int = 15) -> Column:
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 3), F.lit("..."))).otherwise(text)
 
 
+def two_digits(value: Column) -> Column:
+    """The value with two decimals; exact ties go to the even digit."""
+    return F.replace(F.format_number(value, 2), F.lit(","), F.lit(""))
+
+
 def report_label(task: Column, value: Column, length: int = 22) -> Column:
-    return F.format_string("%s (%.2f)", shorten(task, length), value)
+    return F.concat(shorten(task, length), F.lit(" ("), two_digits(value), F.lit(")"))
 
 
 def prefixed(columns: list[str], prefix: str) -> list[Column]:
