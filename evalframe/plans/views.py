@@ -141,8 +141,12 @@ def _files_sql() -> str:
 
 
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
-    """One nested row per (task, model); built per part row, without any grouping."""
-    return spark.sql(_files_sql(), p=table(spark, sf, "part"))
+    """One nested row per (task, model); built per part row, without any grouping.
+
+    A part row grows a hundredfold here, so parts are spread over the cores first.
+    """
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    return spark.sql(_files_sql(), p=parts.repartition(spark.sparkContext.defaultParallelism))
 
 
 _duck = lambda t: t.replace("{string}", "varchar")
