@@ -6,20 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.metrics import binary
-from evalframe.runtime import join_per_key
+from evalframe.runtime import join_per_key, materialize
 
 CELL = ["model_family", "model_name", "task"]
 BASELINES = ["distribution", "normalized", "absolute"]
 
 
-def with_distribution_baseline(df: DataFrame, name: str = "conf_distribution", label: str = "correct") -> DataFrame:
-    """Mean label per (family, name, task) on each row.
+def label_cells(df: DataFrame, keys: list[str] | None = None, label: str = "correct") -> DataFrame:
+    """Rows and label sums per (keys…, family, name, task), written once.
+
+    Distribution baseline, task accuracy and instance counts all follow from it.
+    """
+    cells = df.groupBy(*dict.fromkeys([*(keys or []), *CELL])).agg(
+        F.count("*").alias("n"), F.count(label).alias("n_labelled"), F.sum(F.col(label).cast("double")).alias("sum_label")
+    )
+    return materialize(cells, "cells")
+
+
+def _mean_label(cells: DataFrame, group: list[str], name: str) -> DataFrame:
+    return cells.groupBy(*group).agg(F.try_divide(F.sum("sum_label"), F.sum("n_labelled")).alias(name))
+
+
+def with_distribution_baseline(
+    df: DataFrame,
+    name: str = "conf_distribution",
+    label: str = "correct",
+    keys: list[str] | None = None,
+    cells: DataFrame | None = None,
+) -> DataFrame:
+    """Mean label per (family, name, task) on each row, within each group of ``keys``.
 
     The mean is taken over the evaluated rows themselves: an oracle of the
     task's difficulty, not a prediction.
     """
-    means = df.groupBy(*CELL).agg(F.avg(F.col(label).cast("double")).alias(name))
-    return join_per_key(df, means, CELL)
+    cells = label_cells(df, keys, label) if cells is None else cells
+    group = list(dict.fromkeys([*(keys or []), *CELL]))
+    return join_per_key(df, _mean_label(cells, group, name), group)
 
 
 def long_scores(df: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
@@ -49,9 +71,9 @@ def score_systems(
     return table.groupBy(*keys).agg(*cells)
 
 
-def task_accuracy(df: DataFrame, keys: list[str], label: str = "correct") -> DataFrame:
+def task_accuracy(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Macro average: mean over tasks of the mean label."""
-    per_task = df.groupBy(*dict.fromkeys([*keys, "task"])).agg(F.avg(F.col(label).cast("double")).alias("_a"))
+    per_task = _mean_label(cells, list(dict.fromkeys([*keys, "task"])), "_a")
     return per_task.groupBy(*keys).agg(F.avg("_a").alias("task_accuracy"))
 
 
@@ -68,6 +90,7 @@ def baseline_metrics(
 ) -> DataFrame:
     """Every metric of the three baselines, prefixed, and the macro task accuracy."""
     keys, metrics = list(keys or []), list(metrics or binary.TEST_METRICS)
-    rows = with_distribution_baseline(df, label=label)
+    cells = label_cells(df, keys, label)
+    rows = with_distribution_baseline(df, label=label, keys=keys, cells=cells)
     prefixes = {f"conf_{b}_": f"conf_{b}" for b in BASELINES}
-    return attach(score_systems(rows, prefixes, keys, metrics, label), task_accuracy(df, keys, label), keys)
+    return attach(score_systems(rows, prefixes, keys, metrics, label), task_accuracy(cells, keys), keys)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.runtime import join_per_key, prefix_sums
+from evalframe.runtime import join_per_key, prefix_sums, ship_by_value
+
+ship_by_value(__name__)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.runtime import by_range
+from evalframe.runtime import by_range, ship_by_value
+
+ship_by_value(__name__)
 
 # Sums a histogram row carries: rows, positives, positives and rows decided 1,
 # squared error, and (positive, lower negative) pairs with ties counted half.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.features import best_accuracy, log_mean_exp, lookup, random_baseline, worst_accuracy
 from evalframe.functions.features import confidence, correct_target_likelihoods
 from evalframe.metrics import binary
-from evalframe.metrics.baselines import BASELINES, attach, score_systems, task_accuracy, with_distribution_baseline
+from evalframe.metrics.baselines import BASELINES, attach, label_cells, score_systems, task_accuracy, with_distribution_baseline
 from evalframe.operators.quality import binary_label
 from evalframe.operators.split import DEFAULT_SEED, split_distribution_shift, split_instances, split_tasks
 from evalframe.runtime import join_per_key
@@ -25,11 +25,12 @@ def test_report(
     ``keys=["task"]`` gives the per-task report in the same single job.
     """
     keys, metrics = list(keys or []), list(metrics or binary.TEST_METRICS)
-    rows = with_distribution_baseline(df, label=label)
+    cells = label_cells(df, keys, label)
+    rows = with_distribution_baseline(df, label=label, keys=keys, cells=cells)
     systems = {"test_": p} | {f"test_conf_{b}_": f"conf_{b}" for b in BASELINES}
     table = score_systems(rows, systems, keys, metrics, label)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("instance_count"))
-    accuracy = task_accuracy(df, keys, label).withColumnRenamed("task_accuracy", "test_task_accuracy")
+    accuracy = task_accuracy(cells, keys).withColumnRenamed("task_accuracy", "test_task_accuracy")
+    sizes = cells.groupBy(*keys).agg(F.sum("n").alias("instance_count"))
     return attach(attach(table, accuracy, keys), sizes, keys)
 
 

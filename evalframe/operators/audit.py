@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.features import lookup
@@ -104,39 +104,60 @@ def faulty_models(faults: DataFrame) -> DataFrame:
 # ---- shots ------------------------------------------------------------------
 
 
-def shot_series(queries: DataFrame) -> DataFrame:
+def _continues(query, previous):
+    """Same type and one more shot than the query before (NULL before counts as 0)."""
+    one_more = F.coalesce(previous["shots"], F.lit(0)) + 1 == query["shots"]
+    return query["query_type"].eqNullSafe(previous["query_type"]) & F.coalesce(one_more, F.lit(False))
+
+
+_SERIES_ROW = (
+    "struct<query_idx:int,query_type:string,shots:int,series:int,head_idx:int,inputs:array<string>,head_inputs:array<string>>"
+)
+_SERIES_STATE = f"struct<last:{_SERIES_ROW},rows:array<{_SERIES_ROW}>>"
+
+
+def _series_rows(files: DataFrame, with_inputs: bool) -> DataFrame:
+    """Each query of a file with its series and the query the series starts at.
+
+    One fold over the file's own array: nothing is shuffled, and each query
+    finds the inputs of its series' head beside its own.
+    """
+    none = F.lit(None).cast("array<string>")
+    start = F.struct(F.lit(None).cast(_SERIES_ROW), F.array().cast(f"array<{_SERIES_ROW}>")).cast(_SERIES_STATE)
+
+    def step(state, q):
+        last = state["last"]
+        goes_on = last.isNotNull() & _continues(q, last)
+        position = F.size(state["rows"])
+        inputs = F.transform(q["samples"], lambda s: s["input"]) if with_inputs else none
+        row = F.struct(
+            position, q["query_type"], q["shots"],
+            F.when(goes_on, last["series"]).otherwise(F.coalesce(last["series"] + 1, F.lit(0))),
+            F.when(goes_on, last["head_idx"]).otherwise(position),
+            inputs,
+            F.when(goes_on, last["head_inputs"]).otherwise(inputs),
+        ).cast(_SERIES_ROW)
+        return F.struct(row, F.concat(state["rows"], F.array(row))).cast(_SERIES_STATE)
+
+    rows = F.aggregate("queries", start, step, lambda state: state["rows"])
+    return files.select(*FILE_KEYS, F.explode(rows).alias("q")).select(*FILE_KEYS, "q.*")
+
+
+def shot_series(files: DataFrame) -> DataFrame:
     """Number the runs of consecutive queries that differ only by one more shot.
 
     A new series starts when the type changes, shots are NULL, or shots are not
-    the previous ones plus one (a NULL before counts as 0). Windows span the
-    queries of one file.
+    the previous ones plus one.
     """
-    in_file = Window.partitionBy(*FILE_KEYS).orderBy("query_idx")
-    previous_type, previous_shots = F.lag("query_type").over(in_file), F.lag("shots").over(in_file)
-    continues = (
-        previous_type.eqNullSafe(F.col("query_type"))
-        & F.col("shots").isNotNull()
-        & (F.coalesce(previous_shots, F.lit(0)) + 1 == F.coalesce(F.col("shots"), F.lit(-1)))
-    )
-    starts = queries.withColumn("_new", F.when(continues, 0).otherwise(1))
-    running = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return starts.withColumn("series", (F.sum("_new").over(running) - 1).cast("int")).drop("_new")
+    return _series_rows(files, False).select(*FILE_KEYS, "query_idx", "query_type", "shots", "series")
 
 
-def shot_violations(queries: DataFrame) -> DataFrame:
+def shot_violations(files: DataFrame) -> DataFrame:
     """Samples that are not the instance their series starts with (few-shot identity)."""
-    keys = [*FILE_KEYS, "series"]
-    meta = shot_series(queries.select(*FILE_KEYS, "query_idx", "query_type", "shots"))
-    meta = materialize(meta, "series")
-    heads = meta.groupBy(*keys).agg(F.min("query_idx").alias("head_idx"))
-    numbered = queries.select(*FILE_KEYS, "query_idx", F.transform("samples", lambda s: s["input"]).alias("inputs"))
-    members = meta.join(heads, keys).where(F.col("query_idx") > F.col("head_idx"))
-    inputs = members.join(numbered, [*FILE_KEYS, "query_idx"])
-    head_inputs = numbered.select(*FILE_KEYS, F.col("query_idx").alias("head_idx"), F.col("inputs").alias("head_inputs"))
-    pairs = inputs.join(head_inputs, [*FILE_KEYS, "head_idx"])
-    zipped = F.arrays_zip(F.col("inputs").alias("input"), F.col("head_inputs").alias("reference"))
-    rows = pairs.select(*keys, "query_idx", F.posexplode(zipped).alias("sample_idx", "z"))
-    rows = rows.select(*keys, "query_idx", "sample_idx", "z.input", "z.reference").where("input is not null")
+    later = _series_rows(files, True).where("query_idx > head_idx")
+    pairs = F.arrays_zip(F.col("inputs").alias("input"), F.col("head_inputs").alias("reference"))
+    rows = later.select(*FILE_KEYS, "series", "query_idx", F.posexplode(pairs).alias("sample_idx", "z"))
+    rows = rows.select(*FILE_KEYS, "series", "query_idx", "sample_idx", "z.input", "z.reference").where("input is not null")
     same = F.coalesce(same_instance(F.col("input"), F.col("reference")), F.lit(False))
     return rows.where(~same)
 

@@ -9,7 +9,7 @@ from evalframe.functions.features import report_label
 from evalframe.metrics.correlation import pearson
 from evalframe.metrics.report import tasks_and_total
 from evalframe.operators.quality import at_least
-from evalframe.runtime import seeded_hash
+from evalframe.runtime import materialize, seeded_hash
 from evalframe.sources.catalog import ASSESSOR_SIZES, MODEL_SIZES
 
 TOTAL = "total"
@@ -249,7 +249,11 @@ def task_set(types: DataFrame, name: str) -> DataFrame:
 
 
 def task_set_algebra(types: DataFrame) -> DataFrame:
-    """(set, task) for the differences, intersections and unions of the task sets."""
+    """(set, task) for the differences, intersections and unions of the task sets.
+
+    The (small) table of types is written once, as every set reads it.
+    """
+    types = materialize(types, "types")
     sets = {name: task_set(types, name) for name in TASK_SETS}
     choice, generative, scoring, mixed = (sets[n] for n in TASK_SETS)
     generative_non_mpc = generative.subtract(choice)

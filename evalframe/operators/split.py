@@ -40,7 +40,7 @@ def split_instances(
     group = [*within, "task"]
     hashed = df.withColumn("_h", seeded_hash(seed, key))
     cuts = lowest_hash_cut(hashed, group, "_h", _train_size(test_fraction))
-    return _mark(hashed, materialize(cuts, "cuts"), group, "train", "test")
+    return _mark(hashed, cuts, group, "train", "test")
 
 
 def number_copies(df: DataFrame, key: str = "sample_key") -> DataFrame:
@@ -69,7 +69,7 @@ def split_instances_aligned(
         "instances",
     )
     cuts = lowest_hash_cut(hashed.select("task", "_h").distinct(), ["task"], "_h", _train_size(test_fraction))
-    sides = _mark(hashed, materialize(cuts, "cuts"), ["task"], "train", "test").drop("task")
+    sides = _mark(hashed, cuts, ["task"], "train", "test").drop("task")
     return df.join(sides, key)
 
 

@@ -79,7 +79,7 @@ SERIES = """sr0 as (select *, case when lag(query_type) over w = query_type and
 
 @query("K04_shot_series", f"with {V.LOG_QUERIES_SQL}, {SERIES} select task, model_family, model_name, q as query_idx, query_type, shots, series from sr")
 def k04(spark, sf):
-    return K.shot_series(logs.queries_of(V.log_files(spark, sf)).drop("samples", "n_samples", "function"))
+    return K.shot_series(V.log_files(spark, sf))
 
 
 @query(
@@ -94,7 +94,7 @@ def k04(spark, sf):
     select * exclude (shared) from px where not ends_with(input, substr(reference, cast(greatest(shared - 1, 0) as int) + 1))""",
 )
 def k05(spark, sf):
-    return K.shot_violations(logs.queries_of(V.log_files(spark, sf)))
+    return K.shot_violations(V.log_files(spark, sf))
 
 
 @query(

@@ -264,7 +264,7 @@ def c16(spark, sf):
 
 def _types(spark, sf) -> DataFrame:
     queries = logs.queries_of(V.log_files(spark, sf)).select("task", "query_type")
-    return materialize(C.task_types(queries), "types")
+    return C.task_types(queries)
 
 
 _TYPES = f"""{V.LOG_QUERIES_SQL}, ty0 as (select distinct task, query_type as type from lq),

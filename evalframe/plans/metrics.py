@@ -141,7 +141,7 @@ def m15(spark, sf):
 
 @query("M16_task_accuracy", f"with {V.EV_BINARY_SQL} select {r('avg(a)')} as task_accuracy from (select avg(correct) as a from eb group by task)")
 def m16(spark, sf):
-    return rounded(baselines.task_accuracy(V.ev_binary(spark, sf), []))
+    return rounded(baselines.task_accuracy(baselines.label_cells(V.ev_binary(spark, sf)), []))
 
 
 _LEAVES = ["acc", "balanced_acc", "roc_auc", "bs", "bs_mcb", "bs_dsc", "bs_unc"]

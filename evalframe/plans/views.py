@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.features import augment
 from evalframe.operators.quality import binarize
+from evalframe.runtime import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +35,9 @@ _EV_CORE = """
  concat(p_name,' ',p_type,' q',cast(cast(l_quantity as int) as {string})) as input,
  cast(2 + p_size % 4 as int) as n_targets, cast(l_quantity as int) as q, cast(round(l_discount*100) as int) as dc
 """
+_EV_COLUMNS = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+]
 _EV_FROM = "(select l.*, p.*, cast(replace(p_brand,'Brand#','') as int) as b from {lineitem} l join {part} p on l_partkey = p_partkey) t"
 
 # assr stands for an assessor's predicted probability: 20 distinct values
@@ -54,7 +58,7 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
     """The sample table; ``query_type`` etc. as in SURVEY §1.2."""
     core = spark.sql(
         f"select {_EV_CORE.format(string='string')} from {_EV_FROM.format(lineitem='{l}', part='{p}')}",
-        l=table(spark, sf, "lineitem"),
+        l=spread(table(spark, sf, "lineitem").select(*_EV_COLUMNS)),
         p=table(spark, sf, "part"),
     )
     index = "sequence(0, n_targets-1)"
@@ -143,10 +147,10 @@ def _files_sql() -> str:
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
     """One nested row per (task, model); built per part row, without any grouping.
 
-    A part row grows a hundredfold here, so parts are spread over the cores first.
+    A part row grows a hundredfold here.
     """
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    return spark.sql(_files_sql(), p=parts.repartition(spark.sparkContext.defaultParallelism))
+    return spark.sql(_files_sql(), p=spread(parts))
 
 
 _duck = lambda t: t.replace("{string}", "varchar")

@@ -7,9 +7,11 @@ per-key table must not funnel such a group through a single task.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,14 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def ship_by_value(module_name: str) -> None:
+    """Send a module's functions to the Python workers with the task.
+
+    The few helpers that run inside tasks then need no installed package there.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/evalframe/{label}-{uuid.uuid4().hex}"
 
@@ -68,6 +78,15 @@ def join_per_key(df: DataFrame, per_key: DataFrame, on: list[str], how: str = "i
     return df.join(materialize(per_key, "per-key"), on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a small input would feed fewer tasks than there are cores.
+
+    A large input has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_range(df: DataFrame, group: list[str], order: list[Column | str], part: str = "_part") -> DataFrame:
     """Spread rows over tasks by (group, order) range and number the ranges.
 
@@ -84,20 +103,25 @@ def _exclusive(column: str, window) -> Column:
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column | str], sums: dict[str, str]) -> DataFrame:
     """Exact running totals (excluding the row itself) within groups of any size.
 
-    ``sums`` maps a new column to the column it accumulates. Rows are ranged,
-    summed inside their range, and shifted by the total of the lower ranges;
-    the only window over a whole group sees one row per range.
+    ``sums`` maps a new column to the column it accumulates. Rows are ranged and
+    summed inside their range. Only a range's first and last group can go on in
+    another range, so what is carried over is a table of two rows per range.
     """
     ranged = materialize(by_range(df, group, order), "ranged")
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
-    lower = Window.partitionBy(*group).orderBy("_part")
-    totals = ranged.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select(*group, "_part", *[_exclusive(f"_t_{n}", lower).alias(f"_o_{n}") for n in sums])
     local = ranged.select("*", *[_exclusive(c, inside).alias(f"_l_{n}") for n, c in sums.items()])
-    keys = [*group, "_part"]
-    return join_per_key(local, offsets, keys).select(
-        *[c for c in df.columns],
-        *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
+    here = F.struct(*group, "_part").alias("_here")  # one key column: NULLs in a group compare equal
+    rows = ranged.select("*", here)
+    if group:
+        ends = ranged.groupBy("_part").agg(F.min(F.struct(*group)).alias("_a"), F.max(F.struct(*group)).alias("_z"))
+        ends = ends.select("_part", F.explode(F.array_distinct(F.array("_a", "_z"))).alias("_g")).select("_g.*", "_part")
+        rows = join_per_key(rows, ends.select(here), ["_here"], "left_semi")
+    totals = rows.groupBy(*group, "_part", "_here").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    lower = Window.partitionBy(*group).orderBy("_part")
+    carried = totals.select("_here", *[_exclusive(f"_t_{n}", lower).alias(f"_o_{n}") for n in sums])
+    return join_per_key(local.select("*", here), carried, ["_here"], "left").select(
+        *df.columns,
+        *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
     )
 
 
@@ -152,10 +176,7 @@ def lowest_hash_cut(df: DataFrame, group: list[str], hash_column: str, take: Col
         .where(F.col("_rn") == F.col("_rest"))
         .select(*group, F.col("_h").alias("cut"))
     )
-    columns = [*group, "n", "take"]
+    sizes = sizes.select(*group, "n", "take")
     if group:
-        return sizes.select(*columns).join(materialize(cuts, "cut"), group, "left")
-    # without groups both sides hold one row
-    return sizes.select(*columns, F.lit(1).alias("_k")).join(
-        materialize(cuts, "cut").withColumn("_k", F.lit(1)), "_k", "left"
-    ).drop("_k")
+        return materialize(sizes.join(cuts, group, "left"), "cuts")
+    return sizes.withColumn("cut", cuts.scalar())
