@@ -43,7 +43,7 @@ def drop_contaminated(rows: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON document (whole file) with its path."""
-    return spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def metric_names(rows: DataFrame) -> list[str]:
