@@ -47,8 +47,11 @@ def tokenize(df: DataFrame, max_length: int, side: str = "right", column: str =
     ).drop("_t")
 
 
-def expand_options(df: DataFrame, n_options: int, key: str) -> DataFrame:
-    """One (text, option) row per option; every row must have ``n_options`` of them."""
+def expand_options(df: DataFrame, n_options: int | Column, key: str) -> DataFrame:
+    """One (text, option) row per option; every row must have ``n_options`` of them.
+
+    A column gives the number where tasks of several widths share a frame.
+    """
     options = F.when(F.size("options") == n_options, F.col("options")).otherwise(
         F.raise_error(F.lit("Task has variable number of targets. Unsupported."))
     )

@@ -57,14 +57,15 @@ def score_systems(
     metrics: list[str],
     label: str = "correct",
     single_class: float = binary.NAN,
+    counts: bool = False,
 ) -> DataFrame:
     """All metrics of several score columns in one job, one wide row per group.
 
-    ``columns`` maps an output prefix to a score column.
+    ``columns`` maps an output prefix to a score column. ``counts`` adds ``n`` and ``pos`` to each.
     """
     rows = long_scores(df, columns, [*keys, label])
-    table = binary.scores(rows, label, "p", [*keys, "system"], metrics, single_class)
-    names = binary.metric_columns(metrics)
+    table = binary.scores(rows, label, "p", [*keys, "system"], metrics, single_class, counts)
+    names = binary.metric_columns(metrics) + (["n", "pos"] if counts else [])
     cells = [
         F.max(F.when(F.col("system") == prefix, F.col(m))).alias(f"{prefix}{m}") for prefix in columns for m in names
     ]

@@ -140,20 +140,14 @@ def task_performance(df: DataFrame, p: str, label: str = "correct") -> DataFrame
 
     AUROCs are NULL where only one class occurs.
     """
-    rows = df.where(F.col(label).isNotNull())
-    table = score_systems(rows, {"": p, "lm_": "conf_normalized"}, ["task"], ["roc_auc", "brier_score", "accuracy"], label)
-    means = rows.groupBy("task").agg(
-        F.avg(F.col(label).cast("double")).alias("task_accuracy"), F.count("*").alias("count")
-    )
+    systems = {"": p, "lm_": "conf_normalized"}
+    table = score_systems(df, systems, ["task"], ["roc_auc", "brier_score", "accuracy"], label, counts=True)
     null_if_nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    majority = F.greatest(F.col("task_accuracy"), 1 - F.col("task_accuracy"))
-    return (
-        table.join(means.where("count > 1"), "task")
-        .select(
-            "task", "bs", F.col("bs_mcb").alias("mcb"), F.col("bs_dsc").alias("dsc"), F.col("bs_unc").alias("unc"),
-            null_if_nan("roc_auc"), null_if_nan("lm_roc_auc"), "task_accuracy", "accuracy", "count",
-            (F.col("accuracy") - majority).alias("acc_improvement"),
-        )
+    rate = F.col("pos") / F.col("n")
+    return table.where("n > 1").select(
+        "task", "bs", F.col("bs_mcb").alias("mcb"), F.col("bs_dsc").alias("dsc"), F.col("bs_unc").alias("unc"),
+        null_if_nan("roc_auc"), null_if_nan("lm_roc_auc"), rate.alias("task_accuracy"), "accuracy", F.col("n").alias("count"),
+        (F.col("accuracy") - F.greatest(rate, 1 - rate)).alias("acc_improvement"),
     )
 
 

@@ -164,9 +164,9 @@ def report_scaling(runs: DataFrame, metric: str) -> DataFrame:
 
 def report_shots(runs: DataFrame, metric: str) -> DataFrame:
     """Metric by (truncation_side, shots) beside the share of long sequences for that many shots."""
-    lengths = runs.groupBy("shots").agg(F.avg("n_long_sequences").alias("long_share"))
-    lines = runs.select("truncation_side", "shots", F.col(metric).alias("metric"))
-    return lines.join(lengths, "shots").orderBy("truncation_side", "shots")
+    share = F.avg("n_long_sequences").over(Window.partitionBy("shots"))  # one row per run: a handful
+    lines = runs.select("truncation_side", "shots", F.col(metric).alias("metric"), share.alias("long_share"))
+    return lines.orderBy("truncation_side", "shots")
 
 
 # ---- alignment and merging ------------------------------------------------------

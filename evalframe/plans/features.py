@@ -94,13 +94,13 @@ def p08(spark, sf):
 @query(
     "P09_expand_options",
     f"""with {V.EV_SQL} select sample_key, cast(len(targets) as int) as n_options, array_to_string(targets, ',') as options,
-      cast(list_position(values_, list_max(values_)) - 1 as int) as label from ev where n_targets = 3""",
+      cast(list_position(values_, list_max(values_)) - 1 as int) as label from ev""",
 )
 def p09(spark, sf):
-    ev = V.ev(spark, sf).where("n_targets = 3")
+    ev = V.ev(spark, sf)
     values = P.value_per_target(F.col("targets"), F.col("target_values"))
-    rows = ev.select("sample_key", F.col("input").alias("text"), F.col("targets").alias("options"), P.first_argmax(values).alias("label"))
-    back = X.regroup_options(X.expand_options(rows, 3, "sample_key"), "sample_key")
+    rows = ev.select("sample_key", F.col("input").alias("text"), F.col("targets").alias("options"), P.first_argmax(values).alias("label"), "n_targets")
+    back = X.regroup_options(X.expand_options(rows, F.col("n_targets"), "sample_key"), "sample_key")
     return back.select("sample_key", F.size("options").alias("n_options"), F.array_join("options", ",").alias("options"), "label")
 
 

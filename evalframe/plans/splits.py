@@ -27,9 +27,12 @@ def one_model(spark, sf):
     return V.ev_binary(spark, sf).where(F.col("model_name") == "128b")
 
 
-@query("X04_split_instances", f"with {V.EV_BINARY_SQL}, {INSTANCE} select sample_key, task, {_SIDE} from sp")
+_ALL_ROWS = md5_rank_split("sp", "eb", ["task"], "sample_key", train_size(FRACTION))
+
+
+@query("X04_split_instances", f"with {V.EV_BINARY_SQL}, {_ALL_ROWS} select sample_key, task, {_SIDE} from sp")
 def x04(spark, sf):
-    return X.split_instances(one_model(spark, sf), FRACTION).select("sample_key", "task", "split")
+    return X.split_instances(V.ev_binary(spark, sf), FRACTION).select("sample_key", "task", "split")
 
 
 @query(
