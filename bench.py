@@ -50,7 +50,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     total = round(sum(seconds.values()), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    sf = float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"))
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
     spark.stop()
 

@@ -83,7 +83,12 @@ def score(
 def train_and_report(
     train: DataFrame, test: DataFrame, keys: list[str] | None = None, text: str = "input", **options
 ) -> DataFrame:
-    """Fit on train, score test, and report (``keys=["task"]`` for the per-task report)."""
+    """Fit on train, score test, and report (``keys=["task"]`` for the per-task report).
+
+    ``test_run`` caps both sides.
+    """
+    if options.get("test_run"):
+        test = cap_instances(test, TEST_RUN_ROWS)
     shared = {k: options[k] for k in ("max_length", "side", "per_task") if k in options}
     model = fit(train, text, **options)
     return test_report(score(model, test, text, **shared), "assr", keys)

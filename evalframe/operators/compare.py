@@ -198,6 +198,14 @@ def accuracy_over_random(df: DataFrame, total: str = "_total") -> DataFrame:
     return tasks_and_total(df, gain.alias("acc_diff"), total=total)
 
 
+def with_accuracy_over_random(report: DataFrame, gains: DataFrame) -> DataFrame:
+    """A report with the gain over guessing of each task, also as a signed percentage."""
+    percent = F.col("acc_diff") * 100
+    sign = F.when(percent < 0, "-").otherwise("+")
+    whole = F.format_number(F.abs(percent), 0)
+    return report.join(gains, "task").withColumn("gain", F.concat(sign, whole, F.lit("%")))
+
+
 def merge_reports(a: DataFrame, b: DataFrame, suffixes: tuple[str, str], count: str = "instance_count") -> DataFrame:
     """Inner join on task; shared columns get suffixes, and the counts must agree."""
     shared = [c for c in a.columns if c in b.columns and c != "task"]

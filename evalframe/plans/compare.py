@@ -229,6 +229,17 @@ def c12(spark, sf):
     return rounded(C.accuracy_over_random(V.ev_binary(spark, sf)))
 
 
+@query(
+    "C12_accuracy_in_report",
+    f"""with {RUNS}, g as (select task, avg(correct) - avg(1.0::double / n_targets) as acc_diff from eb group by task)
+    select big.task, {r('big.test_bs_mcb')} as test_bs_mcb, {r('g.acc_diff')} as acc_diff, printf('%+.0f%%', g.acc_diff * 100) as gain from big join g on big.task = g.task""",
+)
+def c12_report(spark, sf):
+    (big,) = runs(spark, sf, "128b")
+    gains = C.accuracy_over_random(V.ev_binary(spark, sf))
+    return rounded(C.with_accuracy_over_random(big.select("task", "test_bs_mcb"), gains))
+
+
 @query(
     "C13_merge_reports",
     f"""with {V.EV_BINARY_SQL} select task, {r('avg(conf_normalized)')} as p_asss, count(*) as instance_count_asss,

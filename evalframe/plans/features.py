@@ -57,10 +57,10 @@ def p05(spark, sf):
 
 @query(
     "P06_text_options_label",
-    f"""with {V.EV_SQL} select input as text, targets as options, cast(list_position(values_, list_max(values_)) - 1 as int) as label from ev""",
+    f"""with {V.EV_SQL} select input as text, array_to_string(targets, ',') as options, cast(list_position(values_, list_max(values_)) - 1 as int) as label from ev""",
 )
 def p06(spark, sf):
-    return P.text_options_label(V.ev(spark, sf))
+    return P.text_options_label(V.ev(spark, sf)).withColumn("options", F.array_join("options", ","))
 
 
 @query(
@@ -217,11 +217,11 @@ def p19(spark, sf):
 
 @query(
     "P20_flatten_record",
-    f"""with {V.LOG_FILES_SQL} select task as "task.task_name", model_family as "model.model_family", model_name as "model.model_name",
-    case model_name when '4b' then 3623973888 when '8b' then 8590102528 when '27b' then 28991404032 else 137440272384 end as "model.flop_matched_non_embedding_params" from lf""",
+    f"""with {V.LOG_FILES_SQL} select task as task_task_name, model_family as model_model_family, model_name as model_model_name,
+    case model_name when '4b' then 3623973888 when '8b' then 8590102528 when '27b' then 28991404032 else 137440272384 end as model_flop_matched_non_embedding_params from lf""",
 )
 def p20(spark, sf):
-    return flatten_record(raw_documents(V.log_files(spark, sf)).select("task", "model"))
+    return flatten_record(raw_documents(V.log_files(spark, sf)).select("task", "model"), sep="_")
 
 
 _RATES = catalog.PRICES_PER_1000_TOKENS | {"all": sum(catalog.PRICES_PER_1000_TOKENS.values())}

@@ -110,7 +110,7 @@ def test_recorded_calibration_case_stays_in_bounds(spark):
 
 def test_recalibration_matches_fit_across_ranges(spark):
     rng = random.Random(11)
-    probs = [rng.randint(0, 300) / 300 for _ in range(600)]
+    probs = [rng.randint(0, 90) / 90 for _ in range(600)]
     labels = [int(rng.random() < p) for p in probs]
     saved = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
