@@ -132,7 +132,9 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column | str], name
     )
 
 
-HASH_BUCKET_DIGITS = 4  # 65536 buckets: the histogram below has a bounded number of rows per group
+# 4096 buckets bound the histogram below to 4096 rows per group, and leave a group of
+# 30 billion rows some 7 million rows to order in the bucket its cut falls into.
+HASH_BUCKET_DIGITS = 3
 
 
 def seeded_hash(seed: int, *columns: Column | str) -> Column:
