@@ -306,11 +306,12 @@ def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
 
 def _with_column(df: DataFrame, vocab: Vocabulary, source: str, name: str, kind: T.DataType, fn, sliced: bool) -> DataFrame:
     rows = without(df, name)
-    shipped = df.sparkSession.sparkContext.broadcast(vocab)  # at most MAX_PIECES pieces
+    shipped = df.sparkSession.sparkContext.broadcast(vars(vocab))  # at most MAX_PIECES pieces
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vocabulary(**shipped.value)
         for batch in text_slices(batches, source) if sliced else batches:
-            yield batch.append_column(name, fn(batch.column(source), shipped.value))
+            yield batch.append_column(name, fn(batch.column(source), own))
 
     return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
 
