@@ -46,13 +46,13 @@ def id_fold(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has at most ``SLICE_BYTES`` of text, or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has at most ``size`` bytes of text, or one row."""
     for batch in batches:
         _, bounds = doc_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1
+            to = int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
