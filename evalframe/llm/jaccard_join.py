@@ -33,7 +33,7 @@ ship_by_value(__name__)
 
 WORDS = 5
 PERCENT = 75
-BUCKET_SHINGLES = 2_000_000  # shingles that one task sorts
+BUCKET_SHINGLES = 1_000_000  # shingles that one task sorts
 TILE_SHINGLES = 2_000_000  # shingles of a component that one task compares
 LEAF = 8
 HOT = 16  # sets of one slice that a bucket gets to know of a shingle at most; the others go by rows
