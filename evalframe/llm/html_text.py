@@ -2,7 +2,8 @@
 
 Parser events give a page's blocks. A block is a line: its ratio is the
 characters of its text over the tags since the line before. Ratios are smoothed
-by a Gaussian, and lines above their standard deviation form the content regions.
+by a Gaussian and cut in two clusters; the lines of the upper one are the content
+regions.
 The regions choose the element that holds them (the article, if they lie in one);
 its text is the result, without what markup names as no part of the article.
 """
@@ -43,7 +44,8 @@ HINT = frozenset(
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SIGMA = 1.5
+SIGMA = 1.0
+APART = 3.0  # times the other lines' ratio that regions have on a page whose elements don't tell
 HOLDS = 0.9  # share of the regions' text that the chosen element holds
 
 
@@ -145,14 +147,25 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+def cluster_threshold(level: np.ndarray) -> float:
+    """The cut into two clusters that leaves the least variance within them."""
+    order = np.sort(level)
+    n = np.arange(1, len(order))
+    if not len(n) or order[0] == order[-1]:
+        return float(order[0])
+    low, high = np.cumsum(order)[:-1] / n, np.cumsum(order[::-1])[::-1][1:] / (len(order) - n)
+    return float(order[(n * (len(order) - n) * (high - low) ** 2).argmax() + 1])
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, joined by empty lines; empty for a page without text."""
     lines = lines_of(html or "")
     if not lines:
         return ""
     size = np.array([len(text) for text, _, _ in lines], float)
-    level = smooth(size / np.array([tags for _, tags, _ in lines], float))
-    content = level >= level.std()
+    ratio = size / np.array([tags for _, tags, _ in lines], float)
+    level = smooth(ratio)
+    content = level >= cluster_threshold(level)
     held: dict[tuple[str, int], float] = {}
     depth: dict[tuple[str, int], int] = {}
     for (_, _, path), n in zip([x for x, c in zip(lines, content) if c], size[content]):
@@ -169,6 +182,8 @@ def main_text(html: str | None) -> str:
     if able:
         chosen = max(able, key=lambda h: depth[h])
         return "\n\n".join(text for text, _, path in lines if chosen in path)
+    if not content.all() and ratio[content].mean() < APART * ratio[~content].mean():
+        content[:] = True
     return "\n\n".join(text for (text, _, _), c in zip(lines, content) if c)
 
 

@@ -201,7 +201,8 @@ def enough_shared(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     for _ in range(2):
         counts = entries.groupBy("node").agg(F.count("*").alias("c"))
         able = counts.join(nodes, "node").where(100 * F.col("c") >= percent * F.col("n")).select("node", "n")
-        entries = entries.select("node", "key").join(small(materialize(able, "able"), 24), "node")
+        # a set whose copies lie in several slices may have come with a hot shingle twice
+        entries = entries.select("node", "key").join(small(materialize(able, "able"), 24), "node").distinct()
         several = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
         entries = materialize(entries.join(several, "key"), "shared")
     return entries
