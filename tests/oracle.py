@@ -41,13 +41,14 @@ def _rows(columns, rows):
     return sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=repr)
 
 
-def difference(name: str, spark, connection, sf: str) -> str | None:
-    """None when equal, else what differs first."""
-    df = QUERIES[name](spark, sf)
+def difference(name: str, spark, connection, sf: str, query=None, sql: str | None = None) -> str | None:
+    """None when equal, else what differs first. ``query`` and ``sql`` replace the registered ones."""
+    df = (query or QUERIES[name])(spark, sf)
     got = _rows(df.columns, [tuple(x) for x in df.collect()])
-    if name not in ORACLE:
+    sql = sql or ORACLE.get(name)
+    if sql is None:
         return None if got else "no rows"
-    result = connection.execute(ORACLE[name])
+    result = connection.execute(sql)
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
