@@ -19,7 +19,7 @@ from evalframe.runtime import materialize, ship_by_value
 
 ship_by_value(__name__)
 
-SLICE_BYTES = 4 << 20  # text a task holds as arrays at a time
+SLICE_BYTES = 1 << 20  # text a task holds as arrays at a time
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
