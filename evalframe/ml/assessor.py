@@ -20,12 +20,13 @@ from evalframe.metrics.report import test_report
 from evalframe.operators.split import cap_instances
 
 DEFAULT_FEATURES = 1 << 12
-TEST_RUN_ROWS = 200
 
 
-def _features(df: DataFrame, text: Column, max_length: int, side: str, scope: Column | None = None) -> DataFrame:
-    """Lower-case tokens, cut to ``max_length``; with ``scope`` each token belongs to its scope."""
-    words = truncated(tokens(F.lower(text)), max_length, side)
+def _features(df: DataFrame, text: Column, max_length: int | None, side: str, scope: Column | None = None) -> DataFrame:
+    """Lower-case tokens, cut to ``max_length`` if there is one; with ``scope`` each token belongs to its scope."""
+    words = tokens(F.lower(text))
+    if max_length is not None:
+        words = truncated(words, max_length, side)
     if scope is not None:
         bias = F.array(F.lit(""))  # an intercept per scope
         words = F.transform(F.concat(bias, words), lambda w: F.concat_ws("\u0001", scope, w))
@@ -37,20 +38,21 @@ def fit(
     text: str = "input",
     label: str = "correct",
     n_features: int = DEFAULT_FEATURES,
-    max_length: int = 512,
+    max_length: int | None = None,
     side: str = "right",
     regularisation: float = 0.01,
     max_iterations: int = 20,
-    test_run: bool = False,
+    max_fit_rows: int | None = None,
     per_task: bool = False,
 ) -> PipelineModel:
     """Fit on text and label. ``per_task`` gives every task weights of its own.
 
     Tasks share one distributed fit: a token's weight is keyed by (task, token),
-    so no task's rows are gathered, however large the task.
+    so no task's rows are gathered, however large the task. Texts are whole unless
+    ``max_length`` cuts them. ``max_fit_rows`` fits on a seeded draw of so many rows.
     """
-    if test_run:
-        train = cap_instances(train, TEST_RUN_ROWS)
+    if max_fit_rows is not None:
+        train = cap_instances(train, max_fit_rows)
     scope = F.col("task") if per_task else None
     rows = _features(train, F.col(text), max_length, side, scope).select(
         "_tokens", F.col(label).cast("double").alias("_y")
@@ -69,7 +71,7 @@ def score(
     model: PipelineModel,
     df: DataFrame,
     text: str = "input",
-    max_length: int = 512,
+    max_length: int | None = None,
     side: str = "right",
     per_task: bool = False,
     name: str = "assr",
@@ -83,18 +85,13 @@ def score(
 def train_and_report(
     train: DataFrame, test: DataFrame, keys: list[str] | None = None, text: str = "input", **options
 ) -> DataFrame:
-    """Fit on train, score test, and report (``keys=["task"]`` for the per-task report).
-
-    ``test_run`` caps both sides.
-    """
-    if options.get("test_run"):
-        test = cap_instances(test, TEST_RUN_ROWS)
+    """Fit on train, score all of test, and report (``keys=["task"]`` for the per-task report)."""
     shared = {k: options[k] for k in ("max_length", "side", "per_task") if k in options}
     model = fit(train, text, **options)
     return test_report(score(model, test, text, **shared), "assr", keys)
 
 
-def word_contributions(model: PipelineModel, df: DataFrame, text: str = "input", max_length: int = 512) -> DataFrame:
+def word_contributions(model: PipelineModel, df: DataFrame, text: str = "input", max_length: int | None = None) -> DataFrame:
     """(word, contribution, n): the weight the linear assessor gives each word, and its occurrences.
 
     Words are counted first; only distinct words are scored.

@@ -14,6 +14,7 @@ from evalframe.runtime import materialize
 from evalframe.sources import catalog
 
 FRACTION = 0.2
+LONG = 64  # tokens; leaves most texts whole
 HEADLINE = ["accuracy", "roc_auc", "bs", "bs_mcb"]
 
 
@@ -66,16 +67,16 @@ def a04(spark, sf):
 @query("A05_assessor_grid")
 def a05(spark, sf):
     train, test = _sides(spark, sf, population=True)
-    capacities = {"small": 1 << 8, "base": 1 << 10}
+    capacities = {"small": 1 << 8, "base": 1 << 10, "large": 1 << 12}
     settings = [
         {"name": f"{size}/{subject}", "n_features": n, "where": f"model_name = '{subject}'"}
         for size, n in capacities.items()
-        for subject in ("4b", "128b")
+        for subject in ("4b", "8b", "27b", "128b")  # all sizes of the view
     ]
     settings += [
-        {"name": f"{side}/{shots}", "side": side, "max_length": 4, "where": f"shots = {shots}"}
+        {"name": f"{side}/{shots}", "side": side, "max_length": LONG, "where": f"shots = {shots}"}
         for side in catalog.TRUNCATION_SIDES
-        for shots in (0, 3)
+        for shots in range(4)
     ]
     return rounded(A.grid(train, test, settings, HEADLINE))
 

@@ -43,8 +43,20 @@ def test_scores_are_probabilities_and_repeat(sides):
     assert first.where("p < 0 or p > 1").count() == 0
 
 
-def test_test_run_caps_the_rows(sides):
-    assert A.fit(sides[0], test_run=True).stages[-1].numFeatures == A.DEFAULT_FEATURES
+def test_only_the_fit_can_be_drawn(sides):
+    train, test = (leak_label(s) for s in sides)
+    few = train.where("sample_key in ('k1', 'k2')")  # one class: as good as nothing to learn from
+    assert A.train_and_report(few, test, max_fit_rows=1).first()["instance_count"] == test.count()
+    drawn = A.fit(train, max_fit_rows=50).stages[-1].coefficients
+    assert drawn != A.fit(train).stages[-1].coefficients
+    assert drawn == A.fit(train, max_fit_rows=50).stages[-1].coefficients
+
+
+def test_texts_are_whole_by_default(spark):
+    rows = [(i, " ".join(["same"] * 600) + (" good" if i % 2 else " bad"), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_key int, input string, correct int")
+    words = {r["word"]: r["n"] for r in A.word_contributions(A.fit(df), df).collect()}
+    assert words == {"same": 24_000, "good": 20, "bad": 20}
 
 
 def test_word_contributions_and_grid(sides):
