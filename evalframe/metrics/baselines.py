@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.metrics import binary
-from evalframe.runtime import join_per_key, materialize
+from evalframe.runtime import join_null_safe, materialize
 
 CELL = ["model_family", "model_name", "task"]
 BASELINES = ["distribution", "normalized", "absolute"]
@@ -37,11 +37,12 @@ def with_distribution_baseline(
     """Mean label per (family, name, task) on each row, within each group of ``keys``.
 
     The mean is taken over the evaluated rows themselves: an oracle of the
-    task's difficulty, not a prediction.
+    task's difficulty, not a prediction. Rows without a family, name or task
+    are kept: those that lack the same form a cell.
     """
     cells = label_cells(df, keys, label) if cells is None else cells
     group = list(dict.fromkeys([*(keys or []), *CELL]))
-    return join_per_key(df, _mean_label(cells, group, name), group)
+    return join_null_safe(df, materialize(_mean_label(cells, group, name), "per-key"), group)
 
 
 def long_scores(df: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
@@ -81,7 +82,7 @@ def task_accuracy(cells: DataFrame, keys: list[str]) -> DataFrame:
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join two reports of the same groups; without keys both are one row."""
     if keys:
-        return left.join(right, keys)
+        return join_null_safe(left, right, keys)
     columns = {c: right.select(c).scalar() for c in right.columns}
     return left.withColumns(columns)
 

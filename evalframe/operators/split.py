@@ -3,6 +3,7 @@
 Draws are ordered by a seeded md5, so they repeat on any cluster, and cut
 exactly by ``lowest_hash_cut``: no group is sorted or collected as a whole.
 ``within`` names columns that separate independent splits held in one frame.
+Rows without a task are in no stratum; they are kept, on the test side.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ DEFAULT_SEED = 42
 
 
 def _mark(df: DataFrame, cuts: DataFrame, group: list[str], below: str, above: str) -> DataFrame:
-    """Label rows whose hash is up to the group's cut."""
+    """Label rows whose hash is up to the group's cut; a group without a cut is above it."""
     if group:
-        df, cut = df.join(cuts.select(*group, "cut"), group), F.col("cut")
+        df, cut = df.join(cuts.select(*group, "cut"), group, "left"), F.col("cut")
     else:
         cut = F.lit(cuts.first()["cut"])
     drawn = F.coalesce(F.col("_h") <= cut, F.lit(False))
@@ -70,22 +71,26 @@ def split_instances_aligned(
     )
     cuts = lowest_hash_cut(hashed.select("task", "_h").distinct(), ["task"], "_h", _train_size(test_fraction))
     sides = _mark(hashed, cuts, ["task"], "train", "test").drop("task")
-    return df.join(sides, key)
+    return df.join(sides, key, "left").fillna({"split": "test"})
 
 
 def split_tasks(
     df: DataFrame, test_fraction: float, seed: int = DEFAULT_SEED, within: tuple[str, ...] = ()
 ) -> DataFrame:
     """Whole tasks: ceil(f · number of tasks) random ones are test."""
-    tasks = df.select(*within, "task").distinct().withColumn("_h", seeded_hash(seed, "task"))
+    tasks = df.where("task is not null").select(*within, "task").distinct().withColumn("_h", seeded_hash(seed, "task"))
     tasks = materialize(tasks, "tasks")
     cuts = lowest_hash_cut(tasks, list(within), "_h", F.ceil(F.lit(test_fraction) * F.col("n")))
-    return join_per_key(df, _mark(tasks, cuts, list(within), "test", "train"), [*within, "task"])
+    return _task_sides(df, _mark(tasks, cuts, list(within), "test", "train"), within)
+
+
+def _task_sides(df: DataFrame, sides: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    return join_per_key(df, sides, [*within, "task"], "left").fillna({"split": "test"})
 
 
 def split_distribution_shift(df: DataFrame, test_fraction: float, within: tuple[str, ...] = ()) -> DataFrame:
     """Whole tasks by mean label: the easiest int((1-f) · number of tasks) are train."""
-    accuracy = df.groupBy(*within, "task").agg(F.avg(F.col("correct").cast("double")).alias("acc"))
+    accuracy = df.where("task is not null").groupBy(*within, "task").agg(F.avg(F.col("correct").cast("double")).alias("acc"))
     ranked = materialize(number_rows(accuracy, list(within), [F.desc("acc"), F.asc("task")], "rank"), "ranked")
     sizes = ranked.groupBy(*within).agg(F.count("*").alias("_n"))
     if within:
@@ -93,7 +98,7 @@ def split_distribution_shift(df: DataFrame, test_fraction: float, within: tuple[
     else:
         ranked = ranked.withColumn("_n", F.lit(sizes.first()["_n"]))
     side = F.when(F.col("rank") <= F.floor(F.col("_n") * F.lit(1 - test_fraction)), "train").otherwise("test")
-    return join_per_key(df, ranked.select(*within, "task", side.alias("split")), [*within, "task"])
+    return _task_sides(df, ranked.select(*within, "task", side.alias("split")), within)
 
 
 def split(
@@ -108,7 +113,7 @@ def split(
         return split_tasks(df, test_fraction, seed)
     if kind == "task_DS":
         return split_distribution_shift(df, test_fraction)
-    raise ValueError(f"Unknown split {kind}")
+    raise ValueError(f"kind is instance, task or task_DS, not {kind!r}")
 
 
 def train_and_test(marked: DataFrame) -> tuple[DataFrame, DataFrame]:

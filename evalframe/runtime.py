@@ -78,6 +78,15 @@ def join_per_key(df: DataFrame, per_key: DataFrame, on: list[str], how: str = "i
     return df.join(materialize(per_key, "per-key"), on, how)
 
 
+def join_null_safe(df: DataFrame, per_key: DataFrame, on: list[str]) -> DataFrame:
+    """Keep every row of ``df`` and add what ``per_key`` has for its key; NULL keys match each other."""
+    renamed = per_key.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in per_key.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(renamed, same, "left").drop(*[f"_k_{c}" for c in on])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a small input would feed fewer tasks than there are cores.
 

@@ -199,7 +199,7 @@ def test_baselines_are_taken_within_each_evaluated_group(samples):
 
 def test_merge_needs_the_same_paths(spark):
     stats = spark.createDataFrame([("a", "train", 1.0), ("a", "test", 2.0), ("b", "train", 3.0)], "path string, split string, value double")
-    with pytest.raises(Exception, match="don't match"):
+    with pytest.raises(Exception, match="every side"):
         report.merge_sides(stats, "split", ["train", "test"]).collect()
     one = stats.where("split = 'train'").drop("split")
     assert report.merge(one, one, "x", "y").count() == 2
@@ -241,3 +241,15 @@ def test_correlations_and_p_values(spark):
 @pytest.mark.parametrize("r, n, p", [(0.5, 3, 2 / 3), (0.0, 10, 1.0), (0.6319, 10, 0.05), (0.3610, 30, 0.05), (1.0, 8, 0.0)])
 def test_p_value_table(r, n, p):
     assert correlation.pearson_p(r, n) == pytest.approx(p, abs=2e-4)
+
+
+def test_rows_without_a_task_stay_in_baselines_and_reports(spark):
+    rows = [(None if i % 4 == 0 else "a", "F", "8b" if i % 3 else None, i % 2, (i % 10) / 10, (i % 7) / 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "task string, model_family string, model_name string, correct int, conf_normalized double, conf_absolute double")
+    based = baselines.with_distribution_baseline(df)
+    assert based.count() == 40 and based.where("conf_distribution is null").isEmpty()
+    total = report.test_report(df, "conf_normalized", metrics=["accuracy"]).first()
+    assert total["instance_count"] == 40
+    assert total["test_accuracy"] == df.where("cast(conf_normalized > 0.5 as int) = correct").count() / 40
+    per_task = {r["task"]: r["instance_count"] for r in report.test_report(df, "conf_normalized", ["task"], ["accuracy"]).collect()}
+    assert per_task == {None: 10, "a": 30}

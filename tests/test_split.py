@@ -85,3 +85,13 @@ def test_global_sample_and_cap(sized):
 def test_instance_split_does_not_sort_or_shuffle_the_rows(sized):
     plan = X.split_instances(sized, 0.2)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_rows_without_a_task_stay_on_the_test_side(spark):
+    rows = [(f"k{i}", None if i % 5 == 0 else f"t{i % 4}", f"m{i % 2}", "f", f"text {i // 2}", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "sample_key string, task string, model_name string, model_family string, input string, correct int")
+    splits = [X.split_instances(df, 0.2), X.split_instances_aligned(df, 0.2), X.split_tasks(df, 0.5), X.split_distribution_shift(df, 0.5)]
+    for marked in splits:
+        assert marked.count() == 80 and marked.where("split is null").isEmpty()
+        assert {r["split"] for r in marked.where("task is null").select("split").collect()} == {"test"}
+        assert marked.where("task is not null and split = 'train'").count() > 0
