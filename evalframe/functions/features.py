@@ -151,6 +151,15 @@ def decide(p: Column) -> Column:
     return (p > 0.5).cast("int")
 
 
+def mean_chance() -> Column:
+    """The mean chance of guessing.
+
+    The sum is one of decimals, rounded to nine digits, and so the same in any order of the rows.
+    """
+    chance = F.try_divide(F.lit(1.0), F.col("n_targets"))
+    return F.try_divide(F.round(F.sum(chance.cast("decimal(38,18)")), 9).cast("double"), F.count("n_targets"))
+
+
 def random_baseline(targets: Column | str = "n_targets") -> Column:
     return F.lit(1.0) / (F.col(targets) if isinstance(targets, str) else targets)
 

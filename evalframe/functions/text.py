@@ -53,7 +53,7 @@ def expand_options(df: DataFrame, n_options: int | Column, key: str) -> DataFram
     A column gives the number where tasks of several widths share a frame.
     """
     options = F.when(F.size("options") == n_options, F.col("options")).otherwise(
-        F.raise_error(F.lit("Task has variable number of targets. Unsupported."))
+        F.raise_error(F.lit("a row has another number of options than its task"))
     )
     return df.select(key, "text", "label", F.posexplode(options).alias("option_idx", "option"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.functions.features import best_accuracy, log_mean_exp, lookup, random_baseline, worst_accuracy
+from evalframe.functions.features import best_accuracy, log_mean_exp, lookup, mean_chance, worst_accuracy
 from evalframe.functions.features import confidence, correct_target_likelihoods
 from evalframe.metrics import binary
 from evalframe.metrics.baselines import BASELINES, attach, label_cells, score_systems, task_accuracy, with_distribution_baseline
@@ -92,7 +92,7 @@ def merge_sides(stats: DataFrame, side: str, names: list[str], keys: list[str] |
     cells = [F.max(F.when(F.col(side) == n, F.col("value"))).alias(n) for n in names]
     wide = stats.groupBy(*keys, "path").agg(F.countDistinct(side).alias("_k"), *cells)
     first = F.when(F.col("_k") == len(names), F.col(names[0])).otherwise(
-        F.raise_error(F.concat(F.lit("Keys of dicts don't match: "), F.col("path")))
+        F.raise_error(F.concat(F.lit("not every side has the path "), F.col("path")))
     )
     return wide.withColumn(names[0], first).drop("_k")
 
@@ -172,7 +172,7 @@ def accuracy_table(df: DataFrame) -> DataFrame:
     """Accuracy by (task, model, shots) beside chance, absolute and relative gain."""
     table = df.groupBy("task", "model_name", "shots").agg(
         F.avg(F.col("correct").cast("double")).alias("acc"),
-        F.avg(random_baseline()).alias("random_acc"),
+        mean_chance().alias("random_acc"),
         F.avg("n_targets").alias("n_targets"),
     )
     gain = F.col("acc") - F.col("random_acc")

@@ -38,6 +38,13 @@ def first_models(files: DataFrame) -> DataFrame:
     )
 
 
+def first_model_records(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Score records of each task's first model."""
+    ref = first_models(files).withColumnRenamed("task", "_task")
+    same = (F.col("task") == F.col("_task")) & (F.col("model_family") == F.col("ref_family")) & (F.col("model_name") == F.col("ref_name"))
+    return records.join(ref, same, "left_semi")
+
+
 def _fingerprints(files: DataFrame) -> DataFrame:
     """Files with their queries reduced to metadata and a hash of each input.
 

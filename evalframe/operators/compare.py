@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.functions.features import report_label
+from evalframe.functions.features import mean_chance, report_label
 from evalframe.metrics.correlation import pearson
 from evalframe.metrics.report import tasks_and_total
 from evalframe.operators.quality import at_least
@@ -31,7 +31,7 @@ def _aligned(
     """Two (task, value) series side by side where both have a value, ``total`` last."""
     x, y = names
     if sort not in ("name", x, y, "diff"):
-        raise ValueError(f"Invalid sort value: {sort}")
+        raise ValueError(f"sort is 'name', 'diff' or one of {names}, not {sort!r}")
     left = a.select("task", F.col(a.columns[-1]).alias(x))
     data = left.join(b.select("task", F.col(b.columns[-1]).alias(y)), "task").where(_exists(x) & _exists(y))
     diff = F.col(x) - F.col(y) if minuend == 0 else F.col(y) - F.col(x)
@@ -194,7 +194,7 @@ def override_baselines(df: DataFrame, reference: DataFrame, prefix: str = "test_
 
 def accuracy_over_random(df: DataFrame, total: str = "_total") -> DataFrame:
     """Per task and overall: accuracy minus the chance of guessing."""
-    gain = F.avg(F.col("correct").cast("double")) - F.avg(F.lit(1.0) / F.col("n_targets"))
+    gain = F.avg(F.col("correct").cast("double")) - mean_chance()
     return tasks_and_total(df, gain.alias("acc_diff"), total=total)
 
 
@@ -308,11 +308,11 @@ def preferred_score_means(records: DataFrame, metrics: list[str] | None = None)
 
 
 def reverse_cumulative(scores: DataFrame, bins: int = 99, column: str = "score") -> DataFrame:
-    """For each unit bin from 0: tasks in the bin and tasks at or above it (scores outside the bins left out).
+    """For each unit bin from 0: tasks in the bin and tasks at or above it. The last bin is open at the top.
 
-    The last bin is closed on the right.
+    Scores below 0 and missing ones are left out.
     """
-    inside = scores.where((F.col(column) >= 0) & (F.col(column) <= bins))
+    inside = scores.where(F.col(column) >= 0)
     binned = inside.select(F.least(F.floor(column), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # <= `bins` rows

@@ -19,7 +19,7 @@ def query_type_tag(kind: Column) -> Column:
     """The query type, or an error for an unknown one."""
     known = kind.isin(*S.QUERY_TYPES)
     return F.when(known, kind).otherwise(
-        F.raise_error(F.concat(F.lit("Unknown query class: "), F.coalesce(kind, F.lit("NULL"))))
+        F.raise_error(F.concat(F.lit("not a query type: "), F.coalesce(kind, F.lit("NULL"))))
     )
 
 
@@ -127,11 +127,11 @@ def eval_samples(files: DataFrame) -> DataFrame:
 def stack_frames(*frames: DataFrame) -> DataFrame:
     """Concatenate frames whose columns differ; missing columns become NULL."""
     if not frames:
-        raise ValueError("No data found.")
+        raise ValueError("nothing to stack")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def require_rows(df: DataFrame, message: str = "No data found.") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "nothing to stack") -> DataFrame:
     if df.limit(1).isEmpty():
         raise ValueError(message)
     return df

@@ -52,7 +52,7 @@ def check_models(cube: DataFrame, reference_size: str = REFERENCE_MODEL_SIZE) ->
     if seen["models"] > 1:
         log.warning("Data contains multiple models; decisions follow the best one.")
     if not seen["has_reference"]:
-        raise ValueError(f"Data does not contain {reference_size} model. This is unexpected. Are you sure?")
+        raise ValueError(f"no rows of the reference size {reference_size}; name another one")
     return seen["models"]
 
 
@@ -72,7 +72,7 @@ def tasks_with_both(scores: DataFrame) -> DataFrame:
     """Tasks with two query types for the best model; more than two is an error."""
     per_task = scores.groupBy("task").agg(F.countDistinct("query_type").alias("n_types"))
     checked = F.when(F.col("n_types") <= 2, F.col("n_types")).otherwise(
-        F.raise_error(F.lit("Tasks with more than 2 query types. Unexpected."))
+        F.raise_error(F.lit("a task has three query types or more"))
     )
     return per_task.withColumn("n_types", checked.cast("bigint")).where("n_types = 2")
 
@@ -105,7 +105,7 @@ def query_type_decisions(cube: DataFrame, threshold: float = THRESHOLD) -> DataF
 def _require_one_type(cube: DataFrame) -> None:
     kinds = cube.groupBy("task").agg(F.countDistinct("query_type").alias("k"))
     if not kinds.where("k > 1").limit(1).isEmpty():
-        raise AssertionError("Some tasks still have multiple query_types. Programming error.")
+        raise AssertionError("a task is left with several query types")
 
 
 def remove_duplicate_queries(

@@ -9,10 +9,11 @@ from evalframe.functions.text import token_histogram, tokens
 from evalframe.metrics.baselines import score_systems
 from evalframe.operators import compare as C
 from evalframe.operators.flatten import stack_frames
+from evalframe.operators.audit import first_model_records
 from evalframe.plans import views as V
 from evalframe.plans.features import WORDS, n_tokens_sql
 from evalframe.plans.registry import query
-from evalframe.plans.sqltext import r, rounded, scores
+from evalframe.plans.sqltext import CHANCE, r, rounded, scores
 from evalframe.runtime import materialize
 from evalframe.sources import logs
 from evalframe.sources.catalog import ASSESSOR_SIZES, MODEL_SIZES
@@ -197,14 +198,14 @@ def c09(spark, sf):
 
 @query(
     "C10_align",
-    f"""with {RUNS}, a as (select * from big where instance_count > 100 and test_conf_normalized_roc_auc > 0.1 and task <> 'Brand#7'),
+    f"""with {RUNS}, a as (select * from big where instance_count > 100 and test_conf_normalized_roc_auc > 0.1),
     b as (select * from mid where instance_count > 100 and test_conf_normalized_roc_auc > 0.1)
     select 'a' as side, task, {r('test_roc_auc')} as test_roc_auc from a where task in (select task from b)
     union all select 'b', task, {r('test_roc_auc')} from b where task in (select task from a)""",
 )
 def c10(spark, sf):
     big, mid = runs(spark, sf, "128b", "27b")
-    a, b = C.align(big.where(F.col("task") != "Brand#7"), mid)
+    a, b = C.align(big, mid)
     C.require_same_tasks(a, b)
     pick = lambda t, side: t.select(F.lit(side).alias("side"), "task", "test_roc_auc")
     return rounded(pick(a, "a").unionByName(pick(b, "b")))
@@ -222,8 +223,8 @@ def c11(spark, sf):
 
 @query(
     "C12_accuracy_over_random",
-    f"""with {V.EV_BINARY_SQL} select task, {r('avg(correct) - avg(1.0::double / n_targets)')} as acc_diff from eb group by task
-    union all select '_total', {r('avg(correct) - avg(1.0::double / n_targets)')} from eb""",
+    f"""with {V.EV_BINARY_SQL} select task, {r(f'avg(correct) - {CHANCE}')} as acc_diff from eb group by task
+    union all select '_total', {r(f'avg(correct) - {CHANCE}')} from eb""",
 )
 def c12(spark, sf):
     return rounded(C.accuracy_over_random(V.ev_binary(spark, sf)))
@@ -231,7 +232,7 @@ def c12(spark, sf):
 
 @query(
     "C12_accuracy_in_report",
-    f"""with {RUNS}, g as (select task, avg(correct) - avg(1.0::double / n_targets) as acc_diff from eb group by task)
+    f"""with {RUNS}, g as (select task, avg(correct) - {CHANCE} as acc_diff from eb group by task)
     select big.task, {r('big.test_bs_mcb')} as test_bs_mcb, {r('g.acc_diff')} as acc_diff, printf('%+.0f%%', g.acc_diff * 100) as gain from big join g on big.task = g.task""",
 )
 def c12_report(spark, sf):
@@ -310,17 +311,23 @@ def c18(spark, sf):
     return C.task_set_algebra(_types(spark, sf))
 
 
+# the first model of each task, in key order
+FIRST = """(select * from lr qualify struct_pack(f := model_family, m := model_name)
+  = min(struct_pack(f := model_family, m := model_name)) over (partition by task)) as fm"""
+
+
 def _records(spark, sf) -> DataFrame:
-    return logs.score_records_of(V.log_files(spark, sf)).where(F.col("model_name") == "128b")
+    files = V.log_files(spark, sf)
+    return first_model_records(logs.score_records_of(files), files)
 
 
-@query("C19_preferred_metrics", f"with {V.LOG_RECORDS_SQL} select preferred_score as metric, count(distinct task) as n_tasks from lr where model_name = '128b' group by 1")
+@query("C19_preferred_metrics", f"with {V.LOG_RECORDS_SQL} select preferred_score as metric, count(distinct task) as n_tasks from {FIRST} group by 1")
 def c19(spark, sf):
     return C.preferred_metrics(_records(spark, sf))
 
 
 _PREFERRED = f"""{V.LOG_RECORDS_SQL}, ps as (select task, avg(case preferred_score when 'exact_str_match' then score when 'bleu' then score / 2 else score / 4 end) as score
-  from lr where model_name = '128b' and subtask_description = task and preferred_score in ('exact_str_match', 'bleu') group by task)"""
+  from {FIRST} where subtask_description = task and preferred_score in ('exact_str_match', 'bleu') group by task)"""
 
 
 def _preferred(spark, sf):
@@ -329,7 +336,7 @@ def _preferred(spark, sf):
 
 @query(
     "C20_reverse_cumulative",
-    f"""with {_PREFERRED}, b as (select cast(least(floor(score), 98) as int) as bin, count(*) as n from ps where score between 0 and 99 group by 1)
+    f"""with {_PREFERRED}, b as (select cast(least(floor(score), 98) as int) as bin, count(*) as n from ps where score >= 0 group by 1)
     select bin, n, cast(sum(n) over (order by bin desc) as bigint) as n_at_least from b""",
 )
 def c20(spark, sf):

@@ -181,21 +181,21 @@ def p15(spark, sf):
 @query(
     "P16_softmax",
     f"""with {V.EV_MC_SQL} select vec_id, {r('probs[1]')} as p0, {r('probs[10]')} as p9,
-    {r('exp(logits[2]) / (exp(logits[1]) + exp(logits[2]))')} as p_binary from probs""",
+    {r('exp(two[2]) / (exp(two[1]) + exp(two[2]))')} as p_binary from probs""",
 )
 def p16(spark, sf):
     probs = P.softmax(F.col("logits"))
-    two = P.probability_of_one(F.slice("logits", 1, 2))
+    two = P.probability_of_one(F.col("two"))
     return rounded(V.ev_mc(spark, sf).select("vec_id", F.get(probs, F.lit(0)).alias("p0"), F.get(probs, F.lit(9)).alias("p9"), two.alias("p_binary")))
 
 
 @query(
     "P17_decide",
     f"""with {V.EV_MC_SQL} select vec_id, cast(list_position(logits, list_max(logits)) - 1 as int) as choice,
-    cast(exp(logits[2]) / (exp(logits[1]) + exp(logits[2])) > 0.5 as int) as decision from mc""",
+    cast(exp(two[2]) / (exp(two[1]) + exp(two[2])) > 0.5 as int) as decision from mc""",
 )
 def p17(spark, sf):
-    two = P.probability_of_one(F.slice("logits", 1, 2))
+    two = P.probability_of_one(F.col("two"))
     return V.ev_mc(spark, sf).select("vec_id", P.first_argmax(F.col("logits")).alias("choice"), P.decide(two).alias("decision"))
 
 

@@ -12,7 +12,7 @@ from evalframe.plans import views as V
 from evalframe.plans.features import LIKELIHOODS, n_tokens_sql
 from evalframe.plans.registry import query
 from evalframe.plans.splits import FRACTION, INSTANCE, one_model
-from evalframe.plans.sqltext import ALL_METRICS, md5_rank_split, r, rounded, rounded_metrics, scores, train_size
+from evalframe.plans.sqltext import ALL_METRICS, CHANCE, md5_rank_split, r, rounded, rounded_metrics, scores, train_size
 
 PER_TASK = scores("pt", "eb", ["task"], "correct", "assr")
 TOTAL = scores("tt", "(select *, 1 as g from eb)", ["g"], "correct", "assr")
@@ -96,13 +96,13 @@ def m13(spark, sf):
 
 @query(
     "M13_binary_from_logits",
-    f"""with {V.EV_MC_SQL}, b as (select 1 as g, cast(label >= 5 as int) as y, exp(logits[2]) / (exp(logits[1]) + exp(logits[2])) as p from mc),
+    f"""with {V.EV_MC_SQL}, b as (select 1 as g, cast(label >= 5 as int) as y, exp(two[2]) / (exp(two[1]) + exp(two[2])) as p from mc),
     mr as (select *, rank() over (order by p) + (count(*) over (partition by p) - 1)/2.0 as mid from b)
     select {r('avg(cast(cast(p > 0.5 as int) = y as double))')} as accuracy,
       {r('(sum(case when y = 1 then mid end) - sum(y)*(sum(y)+1)/2.0) / (sum(y)*(count(*)-sum(y)))')} as roc_auc, {r('avg((y-p)*(y-p))')} as bs from mr""",
 )
 def m13_binary(spark, sf):
-    rows = V.ev_mc(spark, sf).select(F.slice("logits", 1, 2).alias("logits"), (F.col("label") >= 5).cast("int").alias("y"))
+    rows = V.ev_mc(spark, sf).select(F.col("two").alias("logits"), (F.col("label") >= 5).cast("int").alias("y"))
     return rounded(multiclass.binary_metrics_from_logits(rows, "y", "logits", [], ["accuracy", "roc_auc", "brier"]))
 
 
@@ -300,7 +300,7 @@ def m25(spark, sf):
     return rounded(correlation.spearman(table, "x", "q"))
 
 
-_ACC = "avg(correct) as acc, avg(1.0::double / n_targets) as random_acc, avg(n_targets) as n_targets"
+_ACC = f"avg(correct) as acc, {CHANCE} as random_acc, avg(n_targets) as n_targets"
 _ACC_COLUMNS = f"""task, model_name, shots, {r('acc')} as acc, {r('random_acc')} as random_acc, {r('n_targets')} as n_targets,
   {r('(acc - random_acc) / (1 - random_acc)')} as rel_acc_improvement, {r('acc - random_acc')} as acc_improvement"""
 

@@ -72,3 +72,7 @@ def md5_rank_split(name: str, source: str, group: list[str], key: str, take: str
 
 def train_size(test_fraction: float) -> str:
     return f"round_even((1 - {test_fraction}::double) * n_group, 0)"
+
+
+# the mean of 1 / targets, summed as decimals so that it doesn't depend on the order of rows
+CHANCE = "(cast(round(sum(cast(1.0::double / n_targets as decimal(38, 18))), 9) as double) / count(n_targets))"

@@ -8,7 +8,7 @@ texts are written as relations so a query can use them under WITH.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.features import augment
@@ -200,16 +200,26 @@ EV_TEXT_SQL = """et as (select d.doc_id, lang as task, quality as correct, text
   1/(1+exp(-(n_chars-1500)/1000.0::double)) as p from documents d join labels l on d.doc_id = l.doc_id)"""
 
 
+def folded(n: int) -> Column:
+    """All values of an embedding as ``n`` logits: value ``i`` adds to logit ``i`` modulo ``n``."""
+    own = lambda k: F.filter("embedding", lambda x, i: i % n == k)
+    return F.array(*[F.aggregate(own(k), F.lit(0.0), lambda a, x: a + x.cast("double")) for k in range(n)])
+
+
+def folded_sql(n: int) -> str:
+    return f"[list_sum([cast(embedding[i] as double) for i in range(k + 1, len(embedding) + 1, {n})]) for k in range(0, {n})]"
+
+
 def ev_mc(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten logits and a class label."""
+    """Ten logits, two logits and a class label."""
     return table(spark, sf, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"), "label"
+        "vec_id", folded(10).alias("logits"), folded(2).alias("two"), "label"
     )
 
 
-EV_MC_SQL = """mc as (select vec_id, list_transform(embedding[1:10], lambda x: cast(x as double)) as logits, label from embeddings),
-  sm as (select vec_id, label, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) as ex from mc),
-  probs as (select vec_id, label, logits, list_transform(ex, lambda x: x / list_sum(ex)) as probs from sm)"""
+EV_MC_SQL = f"""mc as (select vec_id, {folded_sql(10)} as logits, {folded_sql(2)} as two, label from embeddings),
+  sm as (select vec_id, label, logits, two, list_transform(logits, lambda x: exp(x - list_max(logits))) as ex from mc),
+  probs as (select vec_id, label, logits, two, list_transform(ex, lambda x: x / list_sum(ex)) as probs from sm)"""
 
 
 def fewshot(spark: SparkSession, sf: str) -> DataFrame:

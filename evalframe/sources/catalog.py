@@ -116,5 +116,5 @@ def resolve_tasks(
     elif isinstance(tasks, (list, tuple)):
         names = list(tasks)
     else:
-        raise ValueError(f"Unknown tasklist: {tasks}")
+        raise ValueError(f"no task list is called {tasks!r}")
     return [t for t in names if not (exclude_faulty and t in FAULTY_TASKS)]

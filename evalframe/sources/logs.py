@@ -130,7 +130,7 @@ def read_result_files(
     if listed:
         names = catalog.resolve_tasks(tasks, exclude_faulty=spec.exclude_faulty_tasks)
         if not names:
-            raise ValueError("No tasks found.")
+            raise ValueError("the list names no task to read")
         directories = "{" + ",".join(names) + "}"
     shape = S.RAW_FILE if spec.include_queries else S.RAW_FILE_HEADER
     raw = (

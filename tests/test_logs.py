@@ -168,7 +168,7 @@ def test_repeated_scoring_target(spark):
         ((generative(0, ("a",)), scoring(0)), "differ in length"),
         ((generative(0, ("a", "c")), scoring(0)), "different inputs"),
         (({**generative(0), "samples": [sample("a", {}), sample("b", {})]}, scoring(0)), "without targets"),
-        (({**choice(0), "query_type": "mpc"},), "Unknown query class"),
+        (({**choice(0), "query_type": "mpc"},), "not a query type"),
     ],
 )
 def test_broken_pairs_raise(spark, queries, message):

@@ -68,7 +68,7 @@ def test_task_mixed_only_for_another_model_raises(spark):
 
 def test_more_than_two_types_raise(spark):
     df = rows(spark, ("t", MC, "128b", [1]), ("t", SG, "128b", [1]), ("t", "other", "128b", [1]))
-    with pytest.raises(Exception, match="more than 2"):
+    with pytest.raises(Exception, match="three query types"):
         Q.remove_duplicate_queries(df)
 
 
