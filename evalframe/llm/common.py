@@ -115,9 +115,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Labels travel along edges and then jump to their label's label, so the
     number of rounds grows with the logarithm of the longest path for the
-    star-like edges the operators make. Each round is a stored table.
+    star-like edges the operators make. Each round is a stored table. Both directions
+    of an edge come from one row: edges that are computed twice needn't be the same.
     """
-    edges = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = materialize(edges.select(F.inline(F.array(there, back))), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
         heard = edges.join(labels, edges.b == labels.node).select(F.col("a").alias("node"), "component")

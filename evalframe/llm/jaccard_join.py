@@ -263,6 +263,7 @@ def verified_edges(entries: DataFrame, candidate: DataFrame, percent: int) -> Da
 
 def linker(percent: int):
     def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")  # which links connect the sets depends on their order
         keys = [np.asarray(k, np.int64) for k in table["keys"].combine_chunks().to_numpy(zero_copy_only=False)]
         a, b = links(keys, table["n"].to_numpy(), percent, np.asarray(table["linked"].to_pylist(), bool))
         node = table["node"].to_numpy()

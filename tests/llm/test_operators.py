@@ -407,6 +407,28 @@ def test_connected_components_of_a_long_path(spark):
     assert common.connected_components(edges.limit(0)).count() == 0
 
 
+def test_connected_components_of_edges_that_turn_when_computed_again(spark):
+    def turned(batches):
+        for batch in batches:
+            flip = np.random.default_rng().random(batch.num_rows) < 0.5
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_pydict({"a": np.where(flip, a, b), "b": np.where(flip, b, a)})
+
+    edges = spark.range(0, 200, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).mapInArrow(turned, "a long, b long")
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert got == {n: n // 2 * 2 for n in range(200)}
+
+
+def test_links_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(5)
+    base = np.arange(200)
+    sets = [np.sort(rng.choice(base, 150 + k % 40, replace=False)) for k in range(60)]
+    size = np.array([len(s) for s in sets])
+    table = pa.table({"node": np.arange(60) * 7, "n": size, "keys": sets, "linked": np.arange(60) < 5})
+    found = [jaccard_join.linker(75)(table.take(rng.permutation(60))) for _ in range(4)]
+    assert all(f == found[0] for f in found) and len(found[0])
+
+
 # language model
 
 
