@@ -40,7 +40,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 0, id_col
     volume = rows.agg(F.coalesce(F.sum(F.coalesce(size, F.lit(0)) + 64), F.lit(0))).first()[0]
     n_buckets = max(1, -(-int(volume) // bucket_bytes))
     place = F.monotonically_increasing_id()
-    placed = rows.withColumn(plan, F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), place), F.lit(n_buckets)))
+    placed = rows.withColumn("_place", place)
+    placed = placed.withColumn(plan, F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col("_place")), F.lit(n_buckets)))
     offsets = bucket_offsets(materialize(placed.groupBy(plan).agg(F.count("*").alias("_rows")), "buckets"), plan)
     offsets = materialize(offsets, "offsets")
     schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
@@ -72,7 +73,9 @@ def bucket_shuffler(n_shards: int, seed: int, columns: list[str]):
 
     def shuffle(table: pa.Table) -> pa.Table:
         bucket, offset, total = (table.column(c)[0].as_py() for c in ("_bucket", "_offset", "_total"))
-        order = np.random.default_rng([seed, bucket]).permutation(table.num_rows)  # Fisher-Yates
+        # rows arrive in any order; from their order in the input the permutation is the same in every run
+        arrived = np.argsort(table.column("_place").to_numpy())
+        order = arrived[np.random.default_rng([seed, bucket]).permutation(table.num_rows)]  # Fisher-Yates
         place = offset + np.arange(table.num_rows, dtype=np.int64)
         shard = shard_of(place, total, n_shards)
         slot = place - shard_start(shard, total, n_shards)

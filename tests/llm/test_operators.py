@@ -429,6 +429,13 @@ def test_links_do_not_depend_on_the_order_of_rows():
     assert all(f == found[0] for f in found) and len(found[0])
 
 
+def test_a_bucket_is_permuted_alike_in_whatever_order_its_rows_arrive():
+    table = pa.table({"id": range(50), "_place": range(100, 150), "_bucket": [1] * 50, "_offset": [7] * 50, "_total": [90] * 50})
+    shuffle = sharding.bucket_shuffler(4, 3, ["id"])
+    found = [shuffle(table.take(np.random.default_rng(k).permutation(50))) for k in range(3)]
+    assert all(f == found[0] for f in found) and found[0]["id"].to_pylist() != list(range(50))
+
+
 # language model
 
 
