@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.llm.common import text_slices, without
+from evalframe.llm.common import bound_batches, text_slices, without
 from evalframe.runtime import ship_by_value
 
 ship_by_value(__name__)
@@ -194,6 +194,7 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     repeated rows give the same. Columns of these names are replaced.
     """
     names = [c for c in df.columns if c.lower() in ("text", "n_chars") and c.lower() != html_col.lower()]
+    bound_batches(df.sparkSession)
     rows = without(df, *names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import chain, connected_components, small, text_slices, word_hashes, words_of
+from evalframe.llm.common import bound_batches, chain, connected_components, small, text_slices, word_hashes, words_of
 from evalframe.runtime import materialize, ship_by_value
 
 ship_by_value(__name__)
@@ -179,6 +179,7 @@ def stored_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[
     ``node`` is a 64-bit and ``check`` another 64-bit hash of a set. Should two
     sets have the same node, the hashes are made anew with another seed.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(volume) // (6 * BUCKET_SHINGLES)))  # a word has about six bytes

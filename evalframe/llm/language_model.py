@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import chain, id_fold, text_slices, word_hashes, words_of
+from evalframe.llm.common import bound_batches, chain, id_fold, text_slices, word_hashes, words_of
 from evalframe.runtime import materialize, ship_by_value
 
 ship_by_value(__name__)
@@ -233,6 +233,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows; other columns are not looked at. ``df`` must read the same rows in the same
     order each time, as a table does; if it doesn't, a ValueError says so.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         id_fold(f"`{id_col}`", FOLDS).cast("int").alias("fold"), F.spark_partition_id().cast("long").alias("part"),

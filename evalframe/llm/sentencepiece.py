@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.llm.common import binary_array, doc_bytes, text_slices, without
+from evalframe.llm.common import binary_array, bound_batches, doc_bytes, text_slices, without
 from evalframe.runtime import ship_by_value
 
 ship_by_value(__name__)
@@ -305,6 +305,7 @@ def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
 
 
 def _with_column(df: DataFrame, vocab: Vocabulary, source: str, name: str, kind: T.DataType, fn, sliced: bool) -> DataFrame:
+    bound_batches(df.sparkSession)
     rows = without(df, name)
     shipped = df.sparkSession.sparkContext.broadcast(vars(vocab))  # at most MAX_PIECES pieces
 

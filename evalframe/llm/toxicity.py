@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.llm.common import id_fold, small, text_slices, without
+from evalframe.llm.common import bound_batches, id_fold, small, text_slices, without
 from evalframe.runtime import materialize, ship_by_value
 
 ship_by_value(__name__)
@@ -109,6 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
     several labels has the highest. Copies of a text count once. Without labels of
     both kinds the lexicon is empty and every score is the share of label 1.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     known = known.select(id_col, "_y", F.when(fit, 0).when(calibrate, 1).alias("_part")).where("_part is not null")
     known = materialize(known, "labelled")
@@ -209,6 +210,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     NULL and empty texts score like a text without any term. Columns of these
     names are replaced. Rows are scored one by one, so repeated rows score alike.
     """
+    bound_batches(docs.sparkSession)
     rows = without(docs, "score", "predicted")
     shipped = docs.sparkSession.sparkContext.broadcast(vars(lexicon).copy())
 
