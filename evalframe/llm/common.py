@@ -51,8 +51,8 @@ def bound_batches(spark: SparkSession) -> None:
     hold more than once; texts are worked on in slices of 1 MB anyway.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "-1")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
+    now = spark.conf.get(name).lower()  # a plain number of bytes, or one with a unit
+    if not (now.rstrip("b").isdigit() and int(now.rstrip("b")) <= BATCH_BYTES):
         spark.conf.set(name, str(BATCH_BYTES))
 
 
