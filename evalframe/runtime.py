@@ -141,9 +141,11 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column | str], name
     )
 
 
-# 4096 buckets bound the histogram below to 4096 rows per group, and leave a group of
-# 30 billion rows some 7 million rows to order in the bucket its cut falls into.
+# A histogram has 4096 buckets per group; the bucket a cut falls into is divided again
+# until ordering its rows is a small matter for one task, however large the group.
 HASH_BUCKET_DIGITS = 3
+HASH_DIGITS = 32
+ORDERED_ROWS = 100_000
 
 
 def seeded_hash(seed: int, *columns: Column | str) -> Column:
@@ -151,43 +153,68 @@ def seeded_hash(seed: int, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
 
 
-def lowest_hash_cut(df: DataFrame, group: list[str], hash_column: str, take: Column) -> DataFrame:
+def _bucket_of_cut(hist: DataFrame, group: list[str]) -> DataFrame:
+    """Per group, the bucket ``_b`` that holds row ``_rest``, that row's place in it, and the bucket's size ``_c``."""
+    running = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cumulated = hist.withColumn("_cum", F.sum("_c").over(running))
+    hit = (F.col("_rest") > F.col("_cum") - F.col("_c")) & (F.col("_rest") <= F.col("_cum"))
+    return cumulated.groupBy(*group).agg(
+        F.max("n").alias("n"),
+        F.max("take").alias("take"),
+        F.max(F.when(hit, F.col("_b"))).alias("_b"),
+        F.max(F.when(hit, F.col("_rest") - F.col("_cum") + F.col("_c"))).alias("_rest"),
+        F.max(F.when(hit, F.col("_c"))).alias("_c"),
+    )
+
+
+def lowest_hash_cut(
+    df: DataFrame, group: list[str], hash_column: str, take: Column, ordered_rows: int = ORDERED_ROWS
+) -> DataFrame:
     """Per group, the hash of the ``take``-th smallest row: rows up to it are drawn.
 
     ``take`` is an expression over ``n``, the group's row count. A histogram over
-    hash buckets finds the bucket the cut falls into, and only the rows of that
-    bucket are ordered, so no group is ever sorted as a whole. Returns
+    hash prefixes finds the bucket the cut falls into. A bucket of more than
+    ``ordered_rows`` rows is divided by its next digits, and so on; only a small
+    bucket is ordered. Rows of one hash are counted, not ordered. Returns
     (group…, n, take, cut), ``cut`` NULL where nothing is drawn.
     """
-    h = F.col(hash_column)
-    bucket = F.substring(h, 1, HASH_BUCKET_DIGITS)
-    keyed = df.select(*group, h.alias("_h"), bucket.alias("_b"))
+    prefix = lambda digits: F.substring("_h", 1, digits)
+    first = prefix(HASH_BUCKET_DIGITS)
+    keyed = df.select(*group, F.col(hash_column).alias("_h"))
     whole = Window.partitionBy(*group)
-    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (
-        keyed.groupBy(*group, "_b")
+        keyed.groupBy(*group, first.alias("_b"))
         .agg(F.count("*").alias("_c"))
-        .select("*", F.sum("_c").over(running).alias("_cum"), F.sum("_c").over(whole).alias("n"))
+        .select("*", F.sum("_c").over(whole).alias("n"))
         .withColumn("take", take.cast("bigint"))
+        .withColumn("_rest", F.col("take"))
     )
-    hit = (F.col("take") > F.col("_cum") - F.col("_c")) & (F.col("take") <= F.col("_cum"))
-    sizes = materialize(
-        hist.groupBy(*group).agg(
-            F.max("n").alias("n"),
-            F.max("take").alias("take"),
-            F.max(F.when(hit, F.col("_b"))).alias("_b"),
-            F.max(F.when(hit, F.col("take") - F.col("_cum") + F.col("_c"))).alias("_rest"),
-        ),
-        "cut",
-    )
-    boundary = Window.partitionBy(*group).orderBy("_h")
+
+    def rows_of(buckets: DataFrame) -> DataFrame:
+        buckets = buckets.withColumn("_first", F.substring("_b", 1, HASH_BUCKET_DIGITS))
+        joined = keyed.withColumn("_first", first).join(buckets.drop("_c"), [*group, "_first"])
+        return joined.where(F.col("_h").startswith(F.col("_b"))).drop("_first", "_b")
+
+    found = materialize(_bucket_of_cut(hist, group), "cut")
+    for digits in range(2 * HASH_BUCKET_DIGITS, HASH_DIGITS + HASH_BUCKET_DIGITS, HASH_BUCKET_DIGITS):
+        large = F.coalesce(F.col("_c") > ordered_rows, F.lit(False))
+        if found.where(large).isEmpty():
+            break
+        divided = rows_of(found.where(large)).groupBy(*group, prefix(digits).alias("_b")).agg(
+            F.count("*").alias("_c"), *[F.max(c).alias(c) for c in ("n", "take", "_rest")]
+        )
+        found = materialize(found.where(~large).unionByName(_bucket_of_cut(divided, group)), "cut")
+    running = Window.partitionBy(*group).orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (
-        keyed.join(sizes.where("_b is not null"), [*group, "_b"])
-        .withColumn("_rn", F.row_number().over(boundary))
-        .where(F.col("_rn") == F.col("_rest"))
-        .select(*group, F.col("_h").alias("cut"))
+        rows_of(found.where("_b is not null"))
+        .groupBy(*group, "_h")
+        .agg(F.count("*").alias("_c"), F.max("_rest").alias("_rest"))
+        .withColumn("_cum", F.sum("_c").over(running))
+        .where(F.col("_cum") >= F.col("_rest"))
+        .groupBy(*group)
+        .agg(F.min("_h").alias("cut"))
     )
-    sizes = sizes.select(*group, "n", "take")
+    sizes = found.select(*group, "n", "take")
     if group:
         return materialize(sizes.join(cuts, group, "left"), "cuts")
-    return sizes.withColumn("cut", cuts.scalar())
+    return sizes.withColumn("cut", cuts.select("cut").scalar())

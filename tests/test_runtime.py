@@ -1,5 +1,6 @@
 """The distributed building blocks against brute force, with hot groups and several ranges."""
 
+import math
 import random
 
 import pytest
@@ -48,6 +49,20 @@ def test_hash_cut_draws_exactly(skewed):
     assert drawn == {g: round(n * 0.4) for g, n in sizes.items() if round(n * 0.4)}
 
 
+def test_hash_cut_divides_large_buckets_and_counts_equal_hashes(spark):
+    rows = [("hot", "abc" + seeded) for seeded in (f"{i * 7919 % 4096:029x}" for i in range(2000))]
+    rows += [("hot", "abd" + "0" * 29)] * 500 + [("small", f"{i:032x}") for i in range(5)] + [("same", "f" * 32)] * 300
+    df = spark.createDataFrame(rows, "g string, h string")
+    by_group = {}
+    for g, h in rows:
+        by_group.setdefault(g, []).append(h)
+    for share in (0.3, 0.9, 1.0):
+        cuts = {r["g"]: r["cut"] for r in lowest_hash_cut(df, ["g"], "h", F.ceil(F.col("n") * share), ordered_rows=10).collect()}
+        assert cuts == {g: sorted(hs)[math.ceil(len(hs) * share) - 1] for g, hs in by_group.items()}
+    whole = lowest_hash_cut(df, [], "h", F.lit(1500), ordered_rows=10).first()
+    assert whole["cut"] == sorted(h for _, h in rows)[1499]
+
+
 def test_hash_cut_of_nothing_and_everything(spark):
     df = spark.range(50).select(seeded_hash(1, F.col("id").cast("string")).alias("h"))
     assert lowest_hash_cut(df, [], "h", F.lit(0)).first()["cut"] is None
