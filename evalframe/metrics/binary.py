@@ -70,6 +70,12 @@ def brier_score() -> dict[str, Column]:
     return {"bs": bs, "bs_mcb": bs - iso, "bs_dsc": unc - iso, "bs_unc": unc}
 
 
+def confusion() -> dict[str, Column]:
+    """Rows by label and decision: true and false negatives, false and true positives."""
+    n, pos, tp, pp = _sums()
+    return {"tn": n - pos - pp + tp, "fn": pos - tp, "fp": pp - tp, "tp": tp}
+
+
 # Registry: extend it with functions returning named columns over the sums.
 METRICS: dict[str, Callable[[], dict[str, Column]]] = {
     "accuracy": accuracy,
@@ -80,6 +86,7 @@ METRICS: dict[str, Callable[[], dict[str, Column]]] = {
     "brier": brier,
     "brier_score": brier_score,
     "balanced_accuracy": balanced_accuracy,
+    "confusion_matrix": confusion,
 }
 TEST_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "brier_score", "balanced_accuracy"]
 NEEDS_RANKS = {"roc_auc"}
@@ -133,7 +140,7 @@ def recalibrated(df: DataFrame, label: str, p: str, keys: list[str] | None = Non
     """
     keys = list(keys or [])
     hist = H.histogram(df, label, p, keys)
-    parts = materialize(H.ranged(H.with_decision_sums(hist), keys), "ranged")
+    parts = materialize(H.cut_into_ranges(hist, keys), "ranged")
     blocks = H.isotonic_blocks(parts, keys, H.max_parts(df))
     value = F.least(F.greatest(F.col("pos") / F.col("n"), F.lit(0.0)), F.lit(1.0))
     starts = blocks.select(*keys, "part_lo", "p_lo", value.alias("_f"), F.explode(F.sequence("part_lo", "part_hi")).alias("_part"))

@@ -2,12 +2,15 @@
 
 Rows are first reduced to one per (group, probability). That histogram is cut
 into probability ranges, each range is summed (and pooled) on its own, and the
-few range results of a group are merged. So a group with any number of rows,
+few range results of a group are merged. Pooling reads its rows in order and holds
+the blocks of one group at a time. So a group with any number of rows,
 or any number of distinct probabilities, is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,51 +101,107 @@ def _block_schema(hist: DataFrame, keys: list[str]) -> str:
     return ", ".join(columns + [f"{c} double" for c in SUMS])
 
 
-def _pool(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Blocks of one range, or of neighbouring ranges merged.
+def _changes(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Which rows differ from the row before in one of the columns (NULLs are equal); the first row does."""
+    changed = np.zeros(len(rows), dtype=bool)
+    changed[:1] = True
+    for c in columns:
+        codes = pd.factorize(rows[c], use_na_sentinel=False)[0]
+        changed[1:] |= codes[1:] != codes[:-1]
+    return changed
 
-    ``u`` of a row counts lower negatives inside its own sub-range (``part_lo``
-    to ``part_hi`` share ``_sub``); those of earlier sub-ranges are added here.
-    """
-    rows = rows.sort_values("p_lo", kind="stable")
-    neg = (rows["n"] - rows["pos"]).to_numpy()
-    sub = rows["_sub"].to_numpy()
-    before = np.cumsum(neg) - neg
-    first = np.empty(len(sub), dtype=bool)
-    first[:1] = True
-    first[1:] = sub[1:] != sub[:-1]
-    offset = before[np.flatnonzero(first)][np.cumsum(first) - 1]
-    rows = rows.assign(u=rows["u"].to_numpy() + rows["pos"].to_numpy() * offset)
-    starts = pool_adjacent_violators(rows["pos"].to_numpy(), rows["n"].to_numpy())
+
+def _same_key(a: list, b: list) -> bool:
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _pooled(rows: pd.DataFrame, first: np.ndarray, keys: list[str]) -> tuple[pd.DataFrame, int]:
+    """The blocks of each group of ``rows``, and where those of the last group start; ``first`` marks first rows."""
+    pos, n = rows["pos"].to_numpy(), rows["n"].to_numpy()
+    heads = np.flatnonzero(first)
+    starts = [h + pool_adjacent_violators(pos[h:e], n[h:e]) for h, e in zip(heads, [*heads[1:], len(rows)])]
+    last = sum(len(x) for x in starts[:-1])
+    starts = np.concatenate(starts)
     ends = np.append(starts[1:], len(rows)) - 1
-    out = {k: rows[k].iloc[0] for k in [*keys, "_part"]}
-    out |= {c: rows[c].to_numpy()[starts] for c in ("part_lo", "p_lo")}
+    out = {c: rows[c].to_numpy()[starts] for c in [*keys, "_part", "part_lo", "p_lo"]}
     out |= {c: rows[c].to_numpy()[ends] for c in ("part_hi", "p_hi")}
     out |= {c: np.add.reduceat(rows[c].to_numpy(), starts) for c in SUMS}
-    return pd.DataFrame(out)
+    return pd.DataFrame(out), last
 
 
-def isotonic_blocks(parts: DataFrame, keys: list[str], n_parts: int) -> DataFrame:
-    """Blocks of the isotonic fit per group, from a ranged histogram.
+def _pool_in_order(keys: list[str], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pool rows that arrive ordered by (keys, _part, p_lo); only the group under way is held, as blocks.
+
+    ``u`` of a row counts lower negatives inside its own sub-range ``_sub``;
+    those of earlier sub-ranges of its group are added here.
+    """
+    group = [*keys, "_part"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_blocks, key, sub, sub_offset = None, None, None, 0.0
+        for rows in batches:
+            if rows.empty:
+                continue
+            first = _changes(rows, group)
+            subs = first | _changes(rows, ["_sub"])
+            goes_on = open_blocks is not None and _same_key(key, [rows[c].iloc[0] for c in group])
+            held = float((open_blocks["n"] - open_blocks["pos"]).sum()) if goes_on else 0.0
+            negatives = (rows["n"] - rows["pos"]).to_numpy()
+            before = np.cumsum(negatives) - negatives
+            row_group = np.cumsum(first) - 1
+            before = before - before[np.flatnonzero(first)][row_group] + np.where(row_group == 0, held, 0.0)
+            offsets = before[np.flatnonzero(subs)]
+            if goes_on and rows["_sub"].iloc[0] == sub:
+                offsets[0] = sub_offset
+            offset = offsets[np.cumsum(subs) - 1]
+            key, sub, sub_offset = [rows[c].iloc[-1] for c in group], rows["_sub"].iloc[-1], offset[-1]
+            rows = rows.assign(u=rows["u"].to_numpy() + rows["pos"].to_numpy() * offset)[columns]
+            if open_blocks is not None:
+                first[0] = not goes_on
+                head = np.zeros(len(open_blocks), dtype=bool)
+                head[0] = True
+                rows, first = pd.concat([open_blocks, rows], ignore_index=True), np.append(head, first)
+            blocks, last = _pooled(rows, first, keys)
+            blocks = blocks[columns]
+            if last:
+                yield blocks.iloc[:last]
+            open_blocks = blocks.iloc[last:]
+        if open_blocks is not None:
+            yield open_blocks
+
+    return run
+
+
+def cut_into_ranges(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Histogram with its sums, cut into probability ranges ``_part``."""
+    return by_range(with_decision_sums(hist), keys, [F.col("p")])
+
+
+def isotonic_blocks(parts: DataFrame, keys: list[str], n_parts: int, in_place: bool = False) -> DataFrame:
+    """Blocks of the isotonic fit per group, from a histogram cut into ranges.
 
     Ranges are fitted on their own, then neighbouring fits are merged
     ``MERGE_FAN_IN`` at a time; pooling is associative, so the result is exact.
+    ``in_place`` says that each task holds whole ranges already.
     """
-    schema = _block_schema(parts, keys)
-    columns = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
-    pool = lambda rows: _pool(rows, keys)[columns]
+    part = F.col("_part")
     blocks = parts.select(
-        *keys, "_part", F.lit(0).alias("_sub"), F.col("_part").alias("part_lo"), F.col("_part").alias("part_hi"),
-        F.col("p").alias("p_lo"), F.col("p").alias("p_hi"), *SUMS,
+        *keys, "_part", F.monotonically_increasing_id().alias("_sub"), part.alias("part_lo"), part.alias("part_hi"),
+        F.col("p").alias("p_lo"), F.col("p").alias("p_hi"), *[c for c in SUMS if c != "u"],
+        (F.col("pos") * (F.col("n") - F.col("pos")) / 2).alias("u"),
     )
-    blocks = blocks.groupBy(*keys, "_part").applyInPandas(pool, schema)
+    schema = _block_schema(parts, keys)
+    pool = _pool_in_order(keys, [*keys, "_part", "part_lo", "part_hi", "p_lo", "p_hi", *SUMS])
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions(*keys, "_part", "p_lo").mapInPandas(pool, schema)
+
+    blocks = pooled(blocks if in_place else blocks.repartition(*keys, "_part"))
     remaining = n_parts
     while remaining > 1:
         remaining = -(-remaining // MERGE_FAN_IN)
-        merged = blocks.withColumn("_sub", F.col("_part")).withColumn(
-            "_part", F.floor(F.col("_part") / MERGE_FAN_IN).cast("int")
-        )
-        blocks = merged.groupBy(*keys, "_part").applyInPandas(pool, schema)
+        merged = blocks.withColumn("_sub", part.cast("bigint")).withColumn("_part", F.floor(part / MERGE_FAN_IN).cast("int"))
+        blocks = pooled(merged.repartition(*keys, "_part"))
     return blocks
 
 
@@ -155,6 +214,6 @@ def max_parts(df: DataFrame) -> int:
 
 def calibrated_totals(hist: DataFrame, keys: list[str]) -> DataFrame:
     """``totals`` plus ``iso``: the summed squared error of the isotonic fit."""
-    blocks = isotonic_blocks(ranged(with_decision_sums(hist), keys), keys, max_parts(hist))
+    blocks = isotonic_blocks(cut_into_ranges(hist, keys), keys, max_parts(hist), in_place=True)
     residual = F.col("pos") * (1 - F.col("pos") / F.col("n"))
     return blocks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], F.sum(residual).alias("iso"))

@@ -48,3 +48,7 @@ def binary_metrics_from_logits(
     """Two logits: keep P(class 1), then the binary metrics."""
     p = F.element_at(softmax(F.col(logits)), 2)
     return binary.scores(df.withColumn("_p1", p), label, "_p1", keys, metrics)
+
+
+# Registry of what takes (df, label, probs, keys) with an array of class probabilities.
+METRICS = {"accuracy": accuracy, "roc_auc_multiclass": auroc_weighted}

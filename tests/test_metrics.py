@@ -253,3 +253,40 @@ def test_rows_without_a_task_stay_in_baselines_and_reports(spark):
     assert total["test_accuracy"] == df.where("cast(conf_normalized > 0.5 as int) = correct").count() / 40
     per_task = {r["task"]: r["instance_count"] for r in report.test_report(df, "conf_normalized", ["task"], ["accuracy"]).collect()}
     assert per_task == {None: 10, "a": 30}
+
+
+def test_isotonic_fit_streams_through_small_batches(spark):
+    """One group with 99 % of the rows and all probabilities distinct, NULL keys, batches of 7 rows, many ranges."""
+    rng = random.Random(5)
+    rows = [("hot" if i % 100 else rng.choice([None, "a", "b"]), i / 3000, int(rng.random() < i / 3000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, p double, y int").repartition(8)
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "70",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["g"]: r for r in binary.scores(df, "y", "p", ["g"], ["brier_score", "roc_auc"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for g in ("hot", None, "a", "b"):
+        mine = sorted((p, y) for h, p, y in rows if h == g)
+        blocks = []
+        for _, y in mine:
+            blocks.append([y, 1])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                k, m = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + k, blocks[-1][1] + m]
+        n, pos = len(mine), sum(y for _, y in mine)
+        bs, iso = sum((p - y) ** 2 for p, y in mine) / n, sum(k * (1 - k / m) for k, m in blocks) / n
+        assert got[g]["bs"] == pytest.approx(bs) and got[g]["bs_mcb"] == pytest.approx(bs - iso)
+        wins = sum(1 for p, y in mine if y for q, z in mine if not z and q < p)
+        if 0 < pos < n:
+            assert got[g]["roc_auc"] == pytest.approx(wins / (pos * (n - pos)))
+
+
+def test_confusion_by_name(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, 0.2), (0, 0.7), (0, 0.1), (0, 0.3)], "y int, p double")
+    row = binary.scores(df, "y", "p", [], ["confusion_matrix"]).first()
+    assert (row["tn"], row["fn"], row["fp"], row["tp"]) == (2, 1, 1, 1)
