@@ -1,15 +1,23 @@
-"""A queries: assessors fitted and scored on the sample tables (rows only: no SQL twin)."""
+"""A queries: assessors fitted and scored on the sample tables.
+
+What is learned has no SQL twin. What a report holds besides it has one: the
+rows scored, their labels and the baselines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from evalframe.functions.features import prepend_features
+from evalframe.metrics.binary import TEST_METRICS, metric_columns
 from evalframe.ml import assessor as A
 from evalframe.operators import split as X
 from evalframe.plans import views as V
+from evalframe.plans.features import WORDS
+from evalframe.plans.metrics import BASELINES_PER_TASK, BASELINES_TOTAL
 from evalframe.plans.registry import query
-from evalframe.plans.sqltext import rounded
+from evalframe.plans.splits import ALIGNED, INSTANCE
+from evalframe.plans.sqltext import r, rounded
 from evalframe.runtime import materialize
 from evalframe.sources import catalog
 
@@ -36,6 +44,63 @@ def a01(spark, sf):
     return scored.select("sample_key", "task", "correct", F.round("assr", 6).alias("assr"))
 
 
+def _beside_learned(report):
+    """The columns of a report that don't depend on the assessor."""
+    learned = [f"test_{m}" for m in metric_columns(TEST_METRICS)]
+    return rounded(report.drop(*learned))
+
+
+@query(
+    "A01_scored_rows",
+    f"with {V.EV_BINARY_SQL}, {INSTANCE} select sample_key, task, correct, true as is_probability from sp where not drawn",
+)
+def a01_rows(spark, sf):
+    train, test = _sides(spark, sf)
+    scored = A.score(A.fit(train), test)
+    return scored.select("sample_key", "task", "correct", F.col("assr").between(0, 1).alias("is_probability"))
+
+
+@query("A02_baselines", BASELINES_TOTAL)
+def a02_baselines(spark, sf):
+    return _beside_learned(A.train_and_report(*_sides(spark, sf)))
+
+
+@query("A02_baselines_per_task", BASELINES_PER_TASK)
+def a02_baselines_task(spark, sf):
+    return _beside_learned(A.train_and_report(*_sides(spark, sf), ["task"]))
+
+
+@query("A03_baselines_per_task", BASELINES_PER_TASK)
+def a03_baselines(spark, sf):
+    return _beside_learned(A.train_and_report(*_sides(spark, sf), ["task"], per_task=True, n_features=1 << 16))
+
+
+_POPULATION = f"""{V.EV_BINARY_SQL}, {ALIGNED},
+  te as (select cp.* from cp join rk on cp.task = rk.task and cp.h = rk.h where not drawn)"""
+
+
+@query(
+    "A04_population_sizes",
+    f"""with {_POPULATION}, sc as (select 'all' as scope, * from te union all select 'largest', * from te where model_name = '128b')
+    select scope, cast(sum(n) as bigint) as instance_count, {r('avg(a)')} as test_task_accuracy
+    from (select scope, task, count(*) as n, avg(correct) as a from sc group by all) group by scope""",
+)
+def a04_sizes(spark, sf):
+    return a04(spark, sf).select("scope", "instance_count", "test_task_accuracy")
+
+
+@query(
+    "A05_grid_labels",
+    f"""with {_POPULATION}, se as (
+      select concat(z, '/', model_name) as setting, * from te cross join (select unnest(['small', 'base', 'large']) as z)
+      union all select concat(z, '/', shots), * from te cross join (select unnest(['left', 'right']) as z))
+    select setting, 'bs_unc' as metric, {r('avg(correct) * (1 - avg(correct))')} as value from se group by setting
+    union all select setting, 'task_accuracy', {r('avg(a)')} from (select setting, task, avg(correct) as a from se group by all) group by setting""",
+)
+def a05_labels(spark, sf):
+    return _grid(spark, sf, ["bs_unc", "task_accuracy"])
+
+
 @query("A02_assessor_report")
 def a02(spark, sf):
     train, test = _sides(spark, sf)
@@ -64,8 +129,7 @@ def a04(spark, sf):
     return rounded(tables[0].unionByName(tables[1]))
 
 
-@query("A05_assessor_grid")
-def a05(spark, sf):
+def _grid(spark, sf, metrics):
     train, test = _sides(spark, sf, population=True)
     capacities = {"small": 1 << 8, "base": 1 << 10, "large": 1 << 12}
     settings = [
@@ -78,7 +142,22 @@ def a05(spark, sf):
         for side in catalog.TRUNCATION_SIDES
         for shots in range(4)
     ]
-    return rounded(A.grid(train, test, settings, HEADLINE))
+    return rounded(A.grid(train, test, settings, metrics))
+
+
+@query("A05_assessor_grid")
+def a05(spark, sf):
+    return _grid(spark, sf, HEADLINE)
+
+
+@query(
+    "C21_assessor_word_counts",
+    f"""with {V.EV_TEXT_SQL}, w as (select unnest(regexp_extract_all(lower(input), '{WORDS}')) as word from et)
+    select word, count(*) as word_count from w group by word""",
+)
+def c21_counts(spark, sf):
+    rows = V.ev_text(spark, sf)
+    return A.word_contributions(A.fit(rows), rows).select("word", F.col("n").alias("word_count"))
 
 
 @query("C21_assessor_words")

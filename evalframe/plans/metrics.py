@@ -203,6 +203,16 @@ REPORT_PER_TASK = f"""{V.EV_BINARY_SQL}, {DISTRIBUTION}, {_system_ctes(['task'],
     join (select task, avg(correct) as a, count(*) as instance_count from eb group by task) c using (task))"""
 
 
+# what a report on the test side of one model says whatever the assessor: its size, its labels, the baselines
+_TEST_SIDE = f"{V.EV_SQL}, al as (select * replace (cast(correct as int) as correct) from ev where correct in (0.0, 1.0)), {INSTANCE.replace('from eb ', 'from al ')}, eb as (select * from sp where not drawn)"
+BASELINES_TOTAL = f"""with {_TEST_SIDE}, {DISTRIBUTION}, {_system_ctes(['g'], _GD, _BASELINES)}
+  select {_BASELINE_CELLS.format(p='test_')}, {r('(select avg(a) from (select avg(correct) as a from eb group by task))')} as test_task_accuracy,
+    (select count(*) from eb) as instance_count from bd join bn using (g) join ba using (g)"""
+BASELINES_PER_TASK = f"""with {_TEST_SIDE}, {DISTRIBUTION}, {_system_ctes(['task'], 'ebd', _BASELINES)}
+  select bd.task, {_BASELINE_CELLS.format(p='test_')}, {r('c.a')} as test_task_accuracy, c.instance_count from bd join bn using (task) join ba using (task)
+    join (select task, avg(correct) as a, count(*) as instance_count from eb group by task) c using (task)"""
+
+
 @query("M20_test_report_per_task", f"with {REPORT_PER_TASK} select * from rp")
 def m20(spark, sf):
     return rounded(report.test_report(V.ev_binary(spark, sf), "assr", ["task"]))
@@ -284,7 +294,18 @@ def m24(spark, sf):
     return rounded(correlation.pearson(_aurocs(spark, sf), "x", "y", with_p=False))
 
 
-@query("M24_pearson_p_value")
+# the t distribution with a whole number of degrees of freedom has a finite series in cos and sin
+_RATIOS = lambda a, b: f"coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0 * j {a}) / (2.0 * j {b}))), 1)"
+_P_VALUE = f"""1 - case when nu % 2 = 1 then 2 / pi() * (asin(sn) + sn * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2),
+    lambda k: {_RATIOS('', '+ 1')} * pow(cs, 2 * k + 1))), 0))
+  else sn * list_sum(list_transform(range(0, nu // 2), lambda k: {_RATIOS('- 1', '')} * pow(cs, 2 * k))) end"""
+
+
+@query(
+    "M24_pearson_p_value",
+    f"""with {_AUROCS}, co as (select corr(x, y) as c, count(*) as n from tab),
+    an as (select *, n - 2 as nu, abs(c) as sn, sqrt(1 - c * c) as cs from co) select {r('c')} as pearson, n, {r(_P_VALUE)} as p from an""",
+)
 def m24_p(spark, sf):
     return rounded(correlation.pearson(_aurocs(spark, sf), "x", "y"))
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from evalframe import schema as S
 from evalframe.functions.features import augment
+from evalframe.metrics.report import test_report
 from evalframe.operators import flatten
+from evalframe.operators.quality import prepare
+from evalframe.operators.split import split, train_and_test
 from evalframe.plans import views as V
 from evalframe.plans.registry import query
 from evalframe.plans.sqltext import r, rounded
-from evalframe.runtime import scratch_path
+from evalframe.runtime import materialize, scratch_path
 from evalframe.sources import catalog, logs, reports
 
 # 25 names standing for the 25 brands, some on the task and issue lists
@@ -56,6 +59,41 @@ def s01(spark, sf):
     return queries.groupBy(*logs.FILE_KEYS).agg(F.count("*").alias("n_queries"), F.sum("n_samples").alias("n_samples"))
 
 
+_BEST = lambda name, source: f"""{name} as (select model_name, model_family from {source} group by all
+    order by avg(correct) desc, model_name, model_family limit 1)"""
+_PREPARED_LOGS = f"""{V.LOG_PAIRS_SQL}, {_BEST('best', 'es')},
+    sc as (select task, query_type, avg(correct) as m from es join best using (model_name, model_family) group by all),
+    de as (select task, max(case when query_type = 'multiple_choice' then m end) as c, max(case when query_type = 'scoring_generative' then m end) as p
+      from sc group by task having count(*) = 2),
+    dd as (select task, case when p >= 0.05 or (c < 0.05 and p > c) then 'multiple_choice' else 'scoring_generative' end as query_type from de),
+    ub as (select * replace (cast(correct as int) as correct) from es anti join dd using (task, query_type)
+      where correct in (0.0, 1.0) and not (query_type = 'multiple_choice' and len(targets) = 1)),
+    {_BEST('best2', 'ub')},
+    sc2 as (select task, query_type, avg(correct) as m, avg(len(targets)) as t from ub join best2 using (model_name, model_family) group by all),
+    bad as (select task from sc2 where m < case when query_type = 'multiple_choice' then 1 / t + 0.05 else 0.05 end),
+    ready as (select *, concat_ws('|', task, model_family, model_name, query_idx, sample_idx) as sample_key from ub anti join bad using (task)),
+    cp as (select *, md5(concat_ws('|', '42', md5(input), cast(row_number() over (partition by task, model_name, model_family, input order by sample_key) as varchar))) as h from ready),
+    inst as (select distinct task, h from cp),
+    rk as (select *, row_number() over (partition by task order by h) <= round_even((1 - 0.2::double) * count(*) over (partition by task), 0) as drawn from inst),
+    eb as (select cp.* from cp join rk on cp.task = rk.task and cp.h = rk.h where not drawn)"""
+
+
+@query(
+    "S01_logs_to_report",
+    f"""with {_PREPARED_LOGS} select task, count(*) as instance_count, {r('avg(correct)')} as test_task_accuracy,
+    {r('avg(correct) * (1 - avg(correct))')} as test_bs_unc from eb group by task""",
+)
+def s01_report(spark, sf):
+    """From JSON documents to the report per task: scan, flatten, prepare, split, score."""
+    root = scratch_path(spark, "logs")
+    raw_documents(V.log_files(spark, sf)).write.json(f"{root}/all")
+    files = logs.read_result_files(spark, root, logs.LogFilter(include_unknown_shots=True), multi_line=False)
+    samples = materialize(flatten.eval_samples(files), "samples")
+    _, test = train_and_test(split(prepare(samples, filter_bad_tasks=True), "instance", 0.2))
+    per_task = test_report(test, "conf_normalized", ["task"], ["brier_score"])
+    return rounded(per_task.select("task", "instance_count", "test_task_accuracy", "test_bs_unc"))
+
+
 @query(
     "S02_model_from_path",
     f"""with {V.LOG_FILES_SQL} select task, case when p_size % 2 = 0 then concat(model_family, ' T=0') else model_family end as path_family,
@@ -72,13 +110,14 @@ def s02(spark, sf):
 @query(
     "S03_task_lists",
     f"""with {EV_NAMED} select 'paper-lite' as list, task, count(*) as n from en where task in {sql_list(catalog.LITE_TASKS)} group by all
+    union all select 'paper-full', task, count(*) from en where task in {sql_list(catalog.FULL_TASKS)} group by all
     union all select 'pipeline-test', task, count(*) from en where task in {sql_list(catalog.LITE_TASKS[:10])} group by all""",
 )
 def s03(spark, sf):
     ev = ev_named(spark, sf)
     counts = ev.groupBy("task").agg(F.count("*").alias("n"))
     lists = [logs.filter_tasks(counts, name, exclude_faulty=False).select(F.lit(name).alias("list"), "task", "n")
-             for name in ("paper-lite", "pipeline-test")]
+             for name in ("paper-full", "paper-lite", "pipeline-test")]
     return flatten.stack_frames(*lists)
 
 

@@ -35,8 +35,45 @@ symbol_interpretation vitaminc_fact_verification winowhy
 """.split()
 PIPELINE_TEST_SIZE = 10
 
-# The full list is longer than a constant should be and equals the directories
-# of the log folder, except the ones named here. A caller may pass a list instead.
+# The full task list.
+FULL_TASKS = """
+abstract_narrative_understanding abstraction_and_reasoning_corpus anachronisms analogical_similarity
+analytic_entailment arithmetic ascii_word_recognition authorship_verification auto_categorization auto_debugging
+bbq_lite bbq_lite_json bias_from_probabilities boolean_expressions bridging_anaphora_resolution_barqa causal_judgment
+cause_and_effect checkmate_in_one chess_state_tracking chinese_remainder_theorem cifar10_classification
+code_line_description codenames color com2sense common_morpheme conceptual_combinations conlang_translation
+context_definition_alignment coqa_conversational_question_answering crash_blossom crass_ai cryobiology_spanish
+cryptonite cs_algorithms cycled_letters dark_humor_detection date_understanding disambiguation_qa
+discourse_marker_prediction disfl_qa diverse_social_bias dyck_languages dynamic_counting elementary_math_qa
+emoji_movie emojis_emotion_prediction empirical_judgments english_proverbs english_russian_proverbs entailed_polarity
+entailed_polarity_hindi epistemic_reasoning evaluating_information_essentiality fact_checker factuality_of_summary
+fantasy_reasoning few_shot_nlg figure_of_speech_detection forecasting_subquestions
+formal_fallacies_syllogisms_negation gem gender_inclusive_sentences_german gender_sensitivity_chinese
+gender_sensitivity_english general_knowledge geometric_shapes goal_step_wikihow gre_reading_comprehension
+hhh_alignment high_low_game hindi_question_answering hindu_knowledge hinglish_toxicity human_organs_senses hyperbaton
+identify_math_theorems identify_odd_metaphor implicatures implicit_relations intent_recognition
+international_phonetic_alphabet_nli international_phonetic_alphabet_transliterate intersect_geometry
+irony_identification kanji_ascii kannada key_value_maps known_unknowns language_games language_identification
+linguistic_mappings linguistics_puzzles list_functions logic_grid_puzzle logical_args logical_deduction
+logical_fallacy_detection logical_sequence mathematical_induction matrixshapes metaphor_boolean metaphor_understanding
+minute_mysteries_qa misconceptions misconceptions_russian mnist_ascii modified_arithmetic moral_permissibility
+movie_dialog_same_or_different movie_recommendation mult_data_wrangling multiemo multistep_arithmetic
+muslim_violence_bias natural_instructions navigate nonsense_words_grammar novel_concepts object_counting odd_one_out
+operators paragraph_segmentation parsinlu_qa parsinlu_reading_comprehension penguins_in_a_table periodic_elements
+persian_idioms phrase_relatedness physical_intuition physics physics_questions play_dialog_same_or_different
+polish_sequence_labeling presuppositions_as_nli program_synthesis protein_interacting_sites
+python_programming_challenge qa_wikidata question_answer_creation question_selection real_or_fake_text
+reasoning_about_colored_objects repeat_copy_logic rephrase riddle_sense roots_optimization_and_games ruin_names
+salient_translation_error_detection scientific_press_release self_awareness self_evaluation_courtroom
+self_evaluation_tutoring semantic_parsing_in_context_sparc semantic_parsing_spider sentence_ambiguity
+similarities_abstraction simp_turing_concept simple_ethical_questions simple_text_editing snarks social_iqa
+social_support spelling_bee sports_understanding squad_shifts strange_stories strategyqa subject_verb_agreement sudoku
+sufficient_information suicide_risk swahili_english_proverbs swedish_to_german_proverbs symbol_interpretation taboo
+talkdown temporal_sequences tense text_navigation_game timedial topical_chat tracking_shuffled_objects truthful_qa
+twenty_questions understanding_fables undo_permutation unit_conversion unit_interpretation
+unnatural_in_context_learning unqover vitaminc_fact_verification web_of_lies what_is_the_tao which_wiki_edit winowhy
+word_problems_on_sets_and_graphs word_sorting word_unscrambling yes_no_black_white
+""".split()
 NOT_IN_FULL_LIST = ["training_on_test_set"]
 
 # Tasks with known issues in their logs.
@@ -102,13 +139,16 @@ def resolve_tasks(
 ) -> list[str]:
     """A task list by name, or a copy of an explicit one, without the faulty tasks.
 
-    ``None`` and ``"paper-full"`` mean every directory of the log folder
-    (``available``); ``"paper-lite"`` the lite list; ``"pipeline-test"`` its head.
+    ``None`` means every directory of the log folder (``available``) but the one
+    that is no task; ``"paper-full"`` the full list; ``"paper-lite"`` the lite
+    list; ``"pipeline-test"`` its head.
     """
-    if tasks is None or tasks == "paper-full":
+    if tasks is None:
         if available is None:
-            raise ValueError("the full task list is read from the log folder; none was given")
+            raise ValueError("without a list, tasks are the directories of the log folder; none were given")
         names = [t for t in available if t not in NOT_IN_FULL_LIST]
+    elif tasks == "paper-full":
+        names = list(FULL_TASKS)
     elif tasks == "paper-lite":
         names = list(LITE_TASKS)
     elif tasks == "pipeline-test":

@@ -63,7 +63,7 @@ def task_from_path(path: Column) -> Column:
 def filter_tasks(df: DataFrame, tasks, exclude_faulty: bool = True, column: str = "task") -> DataFrame:
     """Keep the tasks of a list (by name or explicit), less the faulty ones."""
     task = F.col(column)
-    if tasks is None or tasks == "paper-full":
+    if tasks is None:
         dropped = catalog.NOT_IN_FULL_LIST + (catalog.FAULTY_TASKS if exclude_faulty else [])
         return df.where(~task.isin(dropped))
     return df.where(task.isin(catalog.resolve_tasks(tasks, exclude_faulty=exclude_faulty)))
@@ -125,7 +125,7 @@ def read_result_files(
     Raises when nothing matches. Documents that do not parse fail the job.
     """
     tasks = spec.tasks
-    listed = tasks is not None and tasks != "paper-full"
+    listed = tasks is not None
     directories = "*"
     if listed:
         names = catalog.resolve_tasks(tasks, exclude_faulty=spec.exclude_faulty_tasks)

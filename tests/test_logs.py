@@ -120,6 +120,8 @@ def test_explicit_list_is_not_mutated():
     mine = ["color", "taboo"]
     assert catalog.resolve_tasks(mine) == ["color"] and mine == ["color", "taboo"]
     assert catalog.resolve_tasks("pipeline-test", exclude_faulty=False) == catalog.LITE_TASKS[:10]
+    assert len(catalog.resolve_tasks("paper-full", exclude_faulty=False)) == len(set(catalog.FULL_TASKS)) == 200
+    assert set(catalog.LITE_TASKS) <= set(catalog.FULL_TASKS) and "taboo" not in catalog.resolve_tasks("paper-full")
     assert catalog.resolve_tasks(None, available=["a", "training_on_test_set", "taboo"]) == ["a"]
     assert len(catalog.LITE_TASKS) == 24 and len(catalog.WITHOUT_TARGET) == 22
 
