@@ -82,3 +82,16 @@ def test_mixing_stage_orders_the_rows(spark):
     place = {r.doc_id: (r.slot, r.row_in_block) for r in mixing.mix(docs, corpus_pipeline.SOURCE_WEIGHTS).collect()}
     got = corpus_pipeline.mix_sources(spark, docs, SF).select(F.col("doc_id")).collect()
     assert [place[r.doc_id] for r in got] == sorted(place.values())
+
+
+def test_run_keeps_the_order_over_files_of_unequal_size(spark):
+    name = "spark.sql.files.maxRecordsPerFile"
+    spark.conf.set(name, 7)
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        got = [r.doc_id for r in out.collect()]
+    finally:
+        spark.conf.unset(name)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(out.select("doc_id"), "doc_id", "left_semi")
+    place = {r.doc_id: (r.slot, r.row_in_block) for r in mixing.mix(docs, corpus_pipeline.SOURCE_WEIGHTS).collect()}
+    assert len(got) > 70 and [place[i] for i in got] == sorted(place.values())
