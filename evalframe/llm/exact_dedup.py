@@ -91,7 +91,7 @@ def label_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The labels with ``id``, ``text_hash`` and ``twin``: a row that is not kept but has the kept row's id and length."""
+    """The labels with ``id``, ``text_hash``, ``length`` and ``twin``: a row that is not kept but has the kept row's id and length."""
     table = recipes(df, id_col, text_col)
     order = F.struct((-F.col("length")).alias("shorter"), F.col("id"), F.col("row"))
     # a group of copies of any size is reduced to one row before it is shuffled
@@ -106,6 +106,7 @@ def labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         kept.alias("kept"),
         "text_sha256",
         "text_hash",
+        "length",
         (~kept & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("length") == -F.col("best.shorter"))).alias("twin"),
     )
 
@@ -113,19 +114,18 @@ def labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts, its columns as they were.
 
-    Texts are not moved: the rows to drop are found by id and a hash of the
-    normalised text. Rows that repeat the kept row's id and length too are
-    the only ones compared as whole rows.
+    Texts are not moved: the rows to drop are found by id, a hash of the
+    normalised text and the length of the text as it is. Rows that repeat the
+    kept row's id and length too are the only ones compared as whole rows.
     """
-    labels = materialize(labelled(df, id_col, text_col).where("not kept").select("id", "text_hash", "twin"), "copies")
-    key = F.struct(F.col(f"`{id_col}`"), F.xxhash64(normalised(F.col(f"`{text_col}`"))))
-    drop = labels.where("not twin").select(F.struct("id", "text_hash").alias("_drop")).distinct()
-    left = df.join(small(drop, 32), key.eqNullSafe(F.col("_drop")), "left_anti")
-    twins = labels.where("twin").select(F.struct("id", "text_hash").alias("_twin")).distinct()
+    labels = materialize(labelled(df, id_col, text_col).where("not kept").select("id", "text_hash", "length", "twin"), "copies")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.struct(F.col(f"`{id_col}`"), F.xxhash64(normalised(text)), F.length(text).cast("long"))
+    drop = labels.where("not twin").select(F.struct("id", "text_hash", "length").alias("_drop")).distinct()
+    left = df.join(small(drop, 40), key.eqNullSafe(F.col("_drop")), "left_anti")
+    twins = labels.where("twin").select(F.struct("id", "text_hash", "length").alias("_twin")).distinct()
     if twins.isEmpty():
         return left
-    twins = small(twins, 32)
-    key = F.struct(F.col(f"`{id_col}`"), F.xxhash64(normalised(F.col(f"`{text_col}`"))))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    same = left.join(twins, key.eqNullSafe(F.col("_twin")), "left_semi").withColumn("_key", F.struct(key, F.length(text)))
+    twins = small(twins, 40)
+    same = left.join(twins, key.eqNullSafe(F.col("_twin")), "left_semi").withColumn("_key", key)
     return left.join(twins, key.eqNullSafe(F.col("_twin")), "left_anti").unionByName(same.dropDuplicates(["_key"]).drop("_key"))

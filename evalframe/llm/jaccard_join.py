@@ -78,7 +78,8 @@ def set_rows(words: int, buckets: int, seed: int):
             node = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2) if marks else np.zeros((0, 2), np.int64)
             size = np.array([len(s) for s in sets], np.int64)
             docs = pa.StructArray.from_arrays(
-                [batch.column("id"), pa.array(size), pa.array(node[:, 0]), pa.array(node[:, 1])], ["id", "n", "node", "check"]
+                [batch.column("id"), pa.array(size), pa.array(node[:, 0]), pa.array(node[:, 1]), batch.column("text_hash")],
+                ["id", "n", "node", "check", "text_hash"],
             )
             _, once = np.unique(node[:, 0], return_index=True)
             keys = np.concatenate([sets[i] for i in once]) if len(once) else np.zeros(0, np.uint64)
@@ -120,8 +121,8 @@ def split_hot(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[~cold], owner[~cold], cold
 
 
-ROW = "bucket long, keys binary, owners binary, runs binary, docs array<struct<id:long,n:long,node:long,check:long>>, hot binary"
-OUT = "id long, n long, node long, check long, key long"
+ROW = "bucket long, keys binary, owners binary, runs binary, docs array<struct<id:long,n:long,node:long,check:long,text_hash:long>>, hot binary"
+OUT = "id long, n long, node long, check long, text_hash long, key long"
 
 
 def shared_shingles(table: pa.Table) -> pa.Table:
@@ -143,7 +144,7 @@ def shared_shingles(table: pa.Table) -> pa.Table:
     join = lambda a, b: pa.chunked_array([a, b])
     return pa.table({
         "id": join(docs[0], none), "n": join(docs[1], none), "node": join(docs[2], pa.array(node)),
-        "check": join(docs[3], none), "key": join(gone, pa.array(key)),
+        "check": join(docs[3], none), "text_hash": join(docs[4], none), "key": join(gone, pa.array(key)),
     })
 
 
@@ -157,9 +158,16 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     only if all its ids are NULL. An empty table gives no rows; other columns are
     not looked at. Shingles are compared by 64-bit hashes.
     """
+    return grouped(df, id_col, text_col, words, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id")
+    )
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, least) of every row; ``least`` is the (no_id, id, text_hash) of its component that comes first."""
     sets, entries = stored_sets(df, id_col, text_col, words)
     # one row per distinct set, however many copies it has
-    nodes = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("rep"), F.max("n").alias("n"))
     nodes = materialize(nodes, "distinct-sets")
     eligible = enough_shared(entries, nodes, percent)
     candidate = connected_components(candidate_edges(eligible, percent))
@@ -168,26 +176,25 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     named = group.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("least"))
     names = materialize(group.join(named, "root").select(F.col("node").alias("in"), "least"), "component-names")
     names = nodes.join(names, nodes.node == F.col("in"), "left").select(F.col("node").alias("of"), F.coalesce("least", "rep").alias("least"))
-    return sets.join(names, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id")
-    )
+    return sets.join(names, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select("id", "text_hash", "n", "least")
 
 
 def stored_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, n, node, check), and (node, key) of the shingles that several sets hold.
+    """The documents (id, n, node, check, text_hash), and (node, key) of the shingles that several sets hold.
 
     ``node`` is a 64-bit and ``check`` another 64-bit hash of a set. Should two
     sets have the same node, the hashes are made anew with another seed.
     """
     bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(volume) // (6 * BUCKET_SHINGLES)))  # a word has about six bytes
     seed = 0
     while True:
         table = rows.mapInArrow(set_rows(words, buckets, seed), ROW).groupBy("bucket").applyInArrow(shared_shingles, OUT)
         table = materialize(table, "shingles")
-        sets = table.where("n is not null").select("id", "n", "node", "check")
+        sets = table.where("n is not null").select("id", "n", "node", "check", "text_hash")
         if sets.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
             return sets, table.where("n is null").select("node", "key")
         seed += 1
@@ -343,9 +350,13 @@ def links(sets: list[np.ndarray], size: np.ndarray, percent: int, linked: np.nda
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``df`` with one row of each group of linked rows: the one whose id names the group.
 
-    Rows without words all stay. Rows that repeat the id that stays are told apart by
-    text: rows that are not the group's, or repeat its text, stay out.
+    Rows without words all stay. Rows that repeat an id are told apart by a hash of the
+    text: of a group's texts under the id that stays one stays, and texts that don't link
+    with the group are not touched by it. Rows equal in id and text stay or go together.
     """
-    groups = materialize(components(df, id_col, text_col, words, percent), "components")
-    drop = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct()
-    return df.join(small(drop, 24), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_drop")), "left_anti")
+    groups = materialize(grouped(df, id_col, text_col, words, percent), "components")
+    key = F.struct("id", "text_hash")
+    first = F.struct("least.id", "least.text_hash")
+    drop = groups.where((F.col("n") > 0) & ~key.eqNullSafe(first)).select(key.alias("_drop")).distinct()
+    own = F.struct(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
+    return df.join(small(drop, 32), own.eqNullSafe(F.col("_drop")), "left_anti")

@@ -212,6 +212,12 @@ def test_one_row_of_each_group_stays(docs, rows, empty):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_an_id_with_white_space_variants_keeps_one(spark):
+    texts = [(1, "a b c d"), (1, "ab cd"), (1, "a bcd "), (2, "abcd"), (1, "another text"), (3, "x  y"), (3, "x y"), (3, "x  y")]
+    got = exact_dedup.drop_copies(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d"), (1, "another text"), (3, "x  y")]
+
+
 def test_chunks_make_up_the_text(spark):
     text = "".join(random.Random(1).choices("abc.!漢", weights=[9, 9, 9, 1, 1, 2], k=20_000)) + "z" * 5000
     parts = spark.createDataFrame([(text,), ("",)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect()
@@ -391,6 +397,16 @@ def test_one_of_each_keeps_unlinked_rows(docs, rows):
     assert got == Counter(r[0] for r in rows if r[0] is not None and r[0] not in drop)
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    text, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = [f"{t} more" for t in (text, other, third)]
+    texts = [(1, text), (2, near[0]), (2, other), (3, third), (3, near[2]), (4, near[2]), (4, ""), (4, None)]
+    got = jaccard_join.one_of_each(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    rest = [(r.doc_id, r.text) for r in got if r.doc_id != 3]
+    assert sorted(rest, key=str) == sorted([(1, text), (2, other), (4, ""), (4, None)], key=str)
+    assert [r.text in (third, near[2]) for r in got if r.doc_id == 3] == [True]
+
+
 def test_bound_never_undercuts_the_overlap():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, 100)) for _ in range(20)]
