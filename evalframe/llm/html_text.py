@@ -4,8 +4,9 @@ Parser events give a page's blocks. A block is a line: its ratio is the
 characters of its text over the tags since the line before. Ratios are smoothed
 by a Gaussian and cut in two clusters; the lines of the upper one are the content
 regions.
-The regions choose the element that holds them (the article, if they lie in one);
-its text is the result, without what markup names as no part of the article.
+The regions choose the element that holds them (the articles, if they lie in those);
+its text is the result, with any region outside it, without what markup names as no
+part of the article.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main"
     " ol p pre section summary table tbody tfoot thead tr ul".split()
 ) | NO_TEXT
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HOLDER = frozenset("article main section div td body".split())
 NAMED = frozenset("div section ul ol dl table td span p a figure fieldset details center li".split())
 HINT = frozenset(
@@ -46,7 +48,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.0
 APART = 3.0  # times the other lines' ratio that regions have on a page whose elements don't tell
-HOLDS = 0.9  # share of the regions' text that the chosen element holds
+HOLDS = 0.9  # share of the regions' text that articles, main or a chosen element hold at least
 
 
 def left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -86,8 +88,15 @@ class Lines(HTMLParser):
         _, out, _ = self.open.pop()
         self.out -= out
 
+    def close_head(self) -> None:
+        """What can't stand in a head ends it, as its end tag may be left out."""
+        while any(tag == "head" for tag, _, _ in self.open):
+            self.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag == "body" or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+            self.close_head()
         if tag in BLOCK:
             self.flush()
             at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in HOLDER or self.open[i][0] == "p"), -1)
@@ -120,6 +129,8 @@ class Lines(HTMLParser):
                 self.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.close_head()
         if not self.out:
             self.text.append(data)
 
@@ -158,7 +169,12 @@ def cluster_threshold(level: np.ndarray) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """The blocks of the main text, joined by empty lines; empty for a page without text."""
+    """The blocks of the main text, joined by empty lines; empty for a page without text.
+
+    No line of the content regions is left out. The articles with such lines are whole if
+    together they hold ``HOLDS`` of the regions' text, else main is if it does, else the
+    smallest element that holds all regions or, if that is the body, ``HOLDS`` of them.
+    """
     lines = lines_of(html or "")
     if not lines:
         return ""
@@ -172,19 +188,26 @@ def main_text(html: str | None) -> str:
         for d, holder in enumerate(path):
             held[holder] = held.get(holder, 0.0) + n
             depth[holder] = d
+
+    def within(chosen: set[tuple[str, int]]) -> np.ndarray:
+        return np.array([not chosen.isdisjoint(path) for _, _, path in lines])
+
+    def joined(kept: np.ndarray) -> str:
+        return "\n\n".join(text for (text, _, _), k in zip(lines, kept) if k)
+
+    total = size[content].sum()
     for kind in ("article", "main"):
-        marked = [h for h in held if h[0] == kind]
-        if marked:
-            chosen = max(marked, key=lambda h: (held[h], -h[1]))
-            return "\n\n".join(text for text, _, path in lines if chosen in path)
-    enough = HOLDS * size[content].sum()
-    able = [h for h in held if held[h] >= enough and h[0] != "body"]
-    if able:
-        chosen = max(able, key=lambda h: depth[h])
-        return "\n\n".join(text for text, _, path in lines if chosen in path)
-    if not content.all() and ratio[content].mean() < APART * ratio[~content].mean():
+        marked = within({h for h in held if h[0] == kind})
+        if size[content & marked].sum() >= HOLDS * total:
+            return joined(content | marked)
+    for enough in (total, HOLDS * total):
+        able = [h for h in held if held[h] >= enough and h[0] != "body"]
+        if able:
+            return joined(content | within({max(able, key=lambda h: depth[h])}))
+    marked = within({h for h in held if h[0] in ("article", "main")})
+    if not marked.any() and not content.all() and ratio[content].mean() < APART * ratio[~content].mean():
         content[:] = True
-    return "\n\n".join(text for (text, _, _), c in zip(lines, content) if c)
+    return joined(content | marked)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -558,6 +558,26 @@ def test_page_without_marks_uses_the_ratios():
     assert html_text.main_text(page) == "\n\n".join([text.strip()] * 3)
 
 
+def test_no_line_of_the_regions_is_lost():
+    text = "word " * 60
+    menu = "<nav>" + "<a href=/>m</a> " * 9 + "</nav>" + "".join(f"<p><a href=/{i}>m{i}</a></p>" for i in range(20))
+    short = f"<p>{text}</p>"
+    long = short * 40
+    lead = f"<body><div>{menu}</div><div><p>lead {text * 4}</p><div>{long}</div></div><div>{menu}</div>"
+    assert "lead word" in html_text.main_text(lead)
+    sections = f"<body><div>{menu}</div><div><section>{long}</section><section>{short}<p>end {text}</p></section></div>"
+    assert "end word" in html_text.main_text(sections) and "m3" not in html_text.main_text(sections)
+    cards = "".join(f"<article><p>card {i} {text * 3}</p></article>" for i in range(3))
+    page = html_text.main_text(f"<body><main><div><p>first {text}</p>{short * 9}</div></main><div>{menu}</div><div>{cards}</div>")
+    assert page.startswith("first word") and all(f"card {i}" in page for i in range(3))
+    assert [html_text.main_text(f"<body>{menu}{cards}").count(f"card {i}") for i in range(3)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("start", ["<body><p>", "<p>", "<b>", "", "<body><main><div>"])
+def test_a_head_without_its_end_tag(start):
+    assert html_text.main_text(f"<html><head><meta charset=utf-8><title>t</title><style>p{{}}</style>\n{start}some text") == "some text"
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain &lt;", "plain <"), ("<![foo[ x ]]> hello <p>", "<![foo[ x ]]> hello"), ("<p>", ""), ("</div></p>a", "a")])
 def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
