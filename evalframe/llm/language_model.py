@@ -110,8 +110,8 @@ def totals(table: pa.Table) -> pa.Table:
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     once = [1] + [0] * (len(sizes) - 1)  # what holds for the bucket stands in its first row
     whole = lambda x: pa.array([int(x) * o for o in once], pa.int64())
-    blob = lambda x: pa.array([x[at[i:j]].astype(np.uint32).tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
-    less = pa.array([kept[at[i:j]].astype(np.uint32).tobytes() if deleted[i] else None for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+    blob = lambda x: pa.array([x[at[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+    less = pa.array([kept[at[i:j]].tobytes() if deleted[i] else None for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
     return pa.table({
         "chunk": table["chunk"], "kind": table["kind"], "bucket": table["bucket"], "total": blob(total), "kept": less,
         "distinct": whole((total > 0).sum()), "distinct_kept": whole((kept > 0).sum()), "tokens": whole(total.sum()), "tokens_kept": whole(kept.sum()),
@@ -139,7 +139,7 @@ def estimates(texts: pa.Table, answers: pa.Table, column: str, n_tokens: int, vo
     counts = {}
     for kind, keys in ((1, tokens.words), (2, tokens.pairs)):
         rows = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("bucket")
-        counts[kind] = np.frombuffer(b"".join(rows[column].to_pylist()), np.uint32).astype(np.int64)
+        counts[kind] = np.frombuffer(b"".join(rows[column].to_pylist()), np.int64)
         if len(counts[kind]) != len(keys):
             raise ValueError("the texts were not read in the same order again; store them as a table first")
     word = counts[1][tokens.at_word]

@@ -469,6 +469,14 @@ def test_counts_and_base_scores(docs, rows):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
+def test_totals_beyond_32_bits():
+    key, n = np.array([7], np.uint64).tobytes(), np.array([3_000_000_000], np.uint32).tobytes()
+    sent = {"chunk": [0, 1, 2], "kind": [0] * 3, "bucket": [0] * 3, "deleted": [True, False, False], "keys": [key] * 3, "n": [n] * 3}
+    out = language_model.totals(pa.table(sent))
+    assert [np.frombuffer(b, np.int64).tolist() for b in out["total"].to_pylist()] == [[9_000_000_000]] * 3
+    assert np.frombuffer(out["kept"].to_pylist()[0], np.int64).tolist() == [6_000_000_000]
+
+
 def test_model_is_a_distribution_and_beats_the_base(spark, tmp_path, empty):
     rng = random.Random(1)
     follow = {w: rng.sample("abcdefgh", 2) for w in "abcdefgh"}
