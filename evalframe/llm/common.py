@@ -91,8 +91,8 @@ def binary_array(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     )
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and how many each text has."""
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+``, by default with A-Z lower-cased, and how many each text has."""
     data, bounds = doc_bytes(texts)
     inside = ~BLANK[data]
     first = inside.copy()
@@ -103,7 +103,8 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     packed = np.cumsum(inside, dtype=np.int32)
     total = int(packed[-1]) if len(packed) else 0
     ends = np.append(packed[starts] - 1, total) if len(starts) else np.zeros(1, np.int64)
-    return binary_array(LOWER[data[inside]], ends), np.diff(np.searchsorted(starts, bounds))
+    kept = data[inside]
+    return binary_array(LOWER[kept] if lower else kept, ends), np.diff(np.searchsorted(starts, bounds))
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import chat, exact_dedup, html_text, jaccard_join, language_model, mixing, sentencepiece, sharding, topk, toxicity
+from evalframe.llm import chat, exact_dedup, html_text, jaccard_join, language_model, mixing, sentencepiece, sharding, substring_dedup, topk, toxicity
 from evalframe.llm.common import id_fold
 
 SHARDS = 16
@@ -145,3 +145,20 @@ from s
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op12_substring_dedup"] = r"""
+with w as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as l from documents),
+s as (select doc_id, unnest([{'i': i, 'h': array_to_string(l[i:i + 19], ' ')} for i in range(1, len(l) - 18)]) as s from w),
+o as (select doc_id, s.i as i, row_number() over (partition by s.h order by doc_id, s.i) as place from s),
+g as (select doc_id, list(distinct i) as gone from (select doc_id, unnest(range(i, i + 20)) as i from o where place > 1) group by doc_id),
+k as (select w.doc_id, l, coalesce(g.gone, []) as gone from w left join g using (doc_id)),
+m as (select doc_id, len(l) as n_words, cast(len(gone) as bigint) as n_removed, case when len(gone) = 0 then l else list_where(l, [not list_contains(gone, i) for i in range(1, len(l) + 1)]) end as kept from k)
+select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from m
+"""
