@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import chat, exact_dedup, html_text, jaccard_join, language_model, mixing, sentencepiece, sharding, substring_dedup, topk, toxicity
+from evalframe.llm import chat, exact_dedup, hard_negatives, html_text, jaccard_join, language_model, mixing, sentencepiece, sharding, spelling, substring_dedup, topk, toxicity
 from evalframe.llm.common import id_fold
 
 SHARDS = 16
@@ -147,6 +147,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), typo_every=199)
+
+
+ORACLE["op11_spelling_variants"] = r"""
+with recursive c as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as crc),
+w as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
+r as (select doc_id, run, count(*) as n from w where length(run) >= 6 group by 1, 2),
+b as (select run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda x: case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [195, cast(unicode(x) as bigint) - 64] end)) as bytes from r),
+h as (select run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) as h from b, c),
+t as (select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+v as materialized (select word, cast(sum(n) as bigint) as n from t where length(word) >= 6 group by word having sum(n) >= 5),
+k as (select word, n, unnest([{'i': i, 'l': left(word, i - 1) || substr(word, i + 1)} for i in range(1, length(word) + 1)]) as k from v),
+p as (select a.word, b.word as other, b.n as m from k a join k b on a.k = b.k and a.word <> b.word
+  union select distinct k.word, v.word, v.n from k join v on k.k.l = v.word
+  union select distinct v.word, k.word, k.n from k join v on k.k.l = v.word),
+f as (select word, count(*) as n_near, first(other order by m desc, other) as form, max(m) as form_n from p group by word),
+g as materialized (select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n
+  from v left join f using (word)),
+s as (select word, form as root from g where form is not null union select s.word, g.form from s join g on s.root = g.word where g.form is not null)
+select g.word, g.n, g.n_near, g.form, g.form_n, coalesce(e.root, g.word) as root
+from g left join (select s.word, s.root from s join g on s.root = g.word where g.form is null) e on e.word = g.word
+"""
+
+
 @query
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
@@ -162,3 +190,22 @@ k as (select w.doc_id, l, coalesce(g.gone, []) as gone from w left join g using
 m as (select doc_id, len(l) as n_words, cast(len(gone) as bigint) as n_removed, case when len(gone) = 0 then l else list_where(l, [not list_contains(gone, i) for i in range(1, len(l) + 1)]) end as kept from k)
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from m
 """
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike, cast(list_dot_product(a.e, c.e) as bigint) as score
+  from v a, v c where a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where alike) where place <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    cast(row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as int) as rank
+  from p join s on p.anchor_id = s.anchor_id where not s.alike and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
