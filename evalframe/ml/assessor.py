@@ -1,13 +1,11 @@
 """Assessors: models that predict whether a subject answers an instance correctly.
 
-Hashed token features and a logistic model, fitted by Spark ML; or one model
-per task, all fitted in one Spark ML run over task-qualified features.
+Hashed token features and a logistic model, fitted by Spark ML; or models of their own
+for every task, or for every setting of a grid, all fitted at once (``grouped``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -16,21 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import tokens, truncated
+from evalframe.ml import grouped
 from evalframe.metrics.report import test_report
 from evalframe.operators.split import cap_instances
 
 DEFAULT_FEATURES = 1 << 12
 
 
-def _features(df: DataFrame, text: Column, max_length: int | None, side: str, scope: Column | None = None) -> DataFrame:
-    """Lower-case tokens, cut to ``max_length`` if there is one; with ``scope`` each token belongs to its scope."""
+def _words(text: Column, max_length: int | None = None, side: str = "right") -> Column:
+    """Lower-case tokens, cut to ``max_length`` if there is one."""
     words = tokens(F.lower(text))
-    if max_length is not None:
-        words = truncated(words, max_length, side)
-    if scope is not None:
-        bias = F.array(F.lit(""))  # an intercept per scope
-        words = F.transform(F.concat(bias, words), lambda w: F.concat_ws("\u0001", scope, w))
-    return df.withColumn("_tokens", words)
+    return words if max_length is None else truncated(words, max_length, side)
 
 
 def fit(
@@ -43,20 +37,14 @@ def fit(
     regularisation: float = 0.01,
     max_iterations: int = 20,
     max_fit_rows: int | None = None,
-    per_task: bool = False,
 ) -> PipelineModel:
-    """Fit on text and label. ``per_task`` gives every task weights of its own.
+    """Fit on text and label. Texts are whole unless ``max_length`` cuts them.
 
-    Tasks share one distributed fit: a token's weight is keyed by (task, token),
-    so no task's rows are gathered, however large the task. Texts are whole unless
-    ``max_length`` cuts them. ``max_fit_rows`` fits on a seeded draw of so many rows.
+    ``max_fit_rows`` fits on a seeded draw of so many rows.
     """
     if max_fit_rows is not None:
         train = cap_instances(train, max_fit_rows)
-    scope = F.col("task") if per_task else None
-    rows = _features(train, F.col(text), max_length, side, scope).select(
-        "_tokens", F.col(label).cast("double").alias("_y")
-    )
+    rows = train.select(_words(F.col(text), max_length, side).alias("_tokens"), F.col(label).cast("double").alias("_y"))
     stages = [
         HashingTF(inputCol="_tokens", outputCol="_x", numFeatures=n_features),
         LogisticRegression(
@@ -73,20 +61,26 @@ def score(
     text: str = "input",
     max_length: int | None = None,
     side: str = "right",
-    per_task: bool = False,
     name: str = "assr",
 ) -> DataFrame:
     """Add the predicted probability of success."""
-    scope = F.col("task") if per_task else None
-    scored = model.transform(_features(df, F.col(text), max_length, side, scope))
+    scored = model.transform(df.withColumn("_tokens", _words(F.col(text), max_length, side)))
     return scored.withColumn(name, F.element_at(vector_to_array("_prob"), -1)).drop("_tokens", "_x", "_raw", "_prob", "_d")
 
 
 def train_and_report(
-    train: DataFrame, test: DataFrame, keys: list[str] | None = None, text: str = "input", **options
+    train: DataFrame, test: DataFrame, keys: list[str] | None = None, text: str = "input", per_task: bool = False, **options
 ) -> DataFrame:
-    """Fit on train, score all of test, and report (``keys=["task"]`` for the per-task report)."""
-    shared = {k: options[k] for k in ("max_length", "side", "per_task") if k in options}
+    """Fit on train, score all of test, and report (``keys=["task"]`` for the per-task report).
+
+    ``per_task`` fits a model of its own for each task, which no other task's rows change;
+    its options are those of ``grouped.fit`` besides the length of texts.
+    """
+    shared = {k: options[k] for k in ("max_length", "side") if k in options}
+    if per_task:
+        words = _words(F.col(text), **shared)
+        models = grouped.fit(train, words, ["task"], **{k: v for k, v in options.items() if k not in shared})
+        return test_report(grouped.score(models, test, words, ["task"]), "assr", keys)
     model = fit(train, text, **options)
     return test_report(score(model, test, text, **shared), "assr", keys)
 
@@ -96,31 +90,47 @@ def word_contributions(model: PipelineModel, df: DataFrame, text: str = "input",
 
     Words are counted first; only distinct words are scored.
     """
-    words = _features(df, F.col(text), max_length, "right").select(F.explode("_tokens").alias("word"))
+    words = df.select(F.explode(_words(F.col(text), max_length)).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("_tokens", F.array("word"))
     raw = F.element_at(vector_to_array("_raw"), -1)
     intercept = float(model.stages[-1].intercept)
     return model.transform(counted).select("word", (raw - intercept).alias("contribution"), "n")
 
 
+def _slot(n: int):
+    return lambda word: F.pmod(F.xxhash64(word), F.lit(n)).cast("string")
+
+
+def _in_settings(df: DataFrame, settings: list[dict], text: str) -> DataFrame:
+    """Each row once per setting that takes it, with the setting's name and tokens."""
+    cells = []
+    for setting in settings:
+        words, slots = F.col("_tokens"), setting.get("n_features")
+        if setting.get("max_length") is not None:
+            words = truncated(words, setting["max_length"], setting.get("side", "right"))
+        if slots is not None:
+            words = F.transform(words, _slot(slots))
+        cells.append(F.when(F.expr(setting.get("where", "true")), F.struct(F.lit(setting["name"]).alias("setting"), words.alias("_words"))))
+    rows = df.withColumn("_tokens", _words(F.col(text)))
+    return rows.withColumn("_s", F.explode(F.array_compact(F.array(*cells)))).select(*df.columns, "_s.*")
+
+
 def grid(
     train: DataFrame,
     test: DataFrame,
     settings: list[dict],
     metrics: list[str],
     text: str = "input",
+    **options,
 ) -> DataFrame:
-    """Fit and report each setting on the same prepared rows: long (setting, metric, value).
+    """Fit and report all settings at once: long (setting, metric, value).
 
-    A setting holds ``fit`` options and may restrict the rows by ``where``
-    (a SQL condition, e.g. one subject size). Prepare and store the rows once
-    before; every setting reads them again.
+    A setting may restrict the rows by ``where`` (a SQL condition, e.g. one subject size), cut texts by ``max_length``
+    and ``side``, and bound its capacity by ``n_features`` hash slots. Rows are read once and tagged with
+    their settings; each setting is a group of one fit, one scoring and one report. ``options`` go to ``grouped.fit``.
     """
-    tables = []
-    for setting in settings:
-        options = {k: v for k, v in setting.items() if k not in ("name", "where")}
-        condition = setting.get("where", "true")
-        report = train_and_report(train.where(condition), test.where(condition), text=text, **options)
-        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"test_{m}").cast("double").alias("value")) for m in metrics])
-        tables.append(report.select(F.lit(setting["name"]).alias("setting"), F.explode(cells).alias("c")).select("setting", "c.*"))
-    return reduce(DataFrame.unionByName, tables)
+    models = grouped.fit(_in_settings(train, settings, text), F.col("_words"), ["setting"], **options)
+    scored = grouped.score(models, _in_settings(test, settings, text), F.col("_words"), ["setting"])
+    report = test_report(scored.drop("_words"), "assr", ["setting"])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"test_{m}").cast("double").alias("value")) for m in metrics])
+    return report.select("setting", F.explode(cells).alias("c")).select("setting", "c.*")

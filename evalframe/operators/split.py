@@ -128,8 +128,10 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = DEFAULT_SEED, ke
 
 
 def cap_instances(df: DataFrame, n: int, seed: int = DEFAULT_SEED, key: str = "sample_key") -> DataFrame:
-    """A seeded draw of at most ``n`` rows (test runs): a distributed top-n by hash."""
-    return df.orderBy(seeded_hash(seed, key), key).limit(n)
+    """A seeded draw of at most ``n`` rows (test runs), exact by a hash cut: no task holds them all."""
+    hashed = df.withColumn("_h", seeded_hash(seed, key))
+    cuts = lowest_hash_cut(hashed, [], "_h", F.least(F.lit(n), F.col("n")))
+    return _mark(hashed, cuts, [], "drawn", "rest").where("split = 'drawn'").drop("split")
 
 
 def largest_model(df: DataFrame, sizes: list[str]) -> DataFrame:

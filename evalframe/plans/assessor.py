@@ -1,7 +1,7 @@
 """A queries: assessors fitted and scored on the sample tables.
 
-What is learned has no SQL twin. What a report holds besides it has one: the
-rows scored, their labels and the baselines.
+What is learned from tokens has no SQL twin; the rows scored, their labels and the baselines have one.
+Assessors on dense features have one altogether: their Newton steps are sums over rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.features import prepend_features
 from evalframe.metrics.binary import TEST_METRICS, metric_columns
 from evalframe.ml import assessor as A
+from evalframe.ml import newton as N
 from evalframe.operators import split as X
 from evalframe.plans import views as V
 from evalframe.plans.features import WORDS
@@ -26,11 +27,12 @@ LONG = 64  # tokens; leaves most texts whole
 HEADLINE = ["accuracy", "roc_auc", "bs", "bs_mcb"]
 
 
-def _sides(spark, sf, population: bool = False):
-    """Train and test rows, prepared and stored once."""
+def _sides(spark, sf, population: bool = False, prepend: bool = True):
+    """Train and test rows, prepared and stored once; those of a population begin with the subject's features unless ``prepend`` is off."""
     rows = V.ev_binary(spark, sf)
     if population:
-        marked = prepend_features(X.split(rows, "instance", FRACTION), include_model=True)
+        marked = X.split(rows, "instance", FRACTION)
+        marked = prepend_features(marked, include_model=True) if prepend else marked
     else:
         marked = X.split(rows.where("model_name = '128b'"), "instance", FRACTION)
     columns = ["sample_key", "task", "model_family", "model_name", "shots", "n_targets", "input", "correct", "conf_normalized", "conf_absolute", "split"]
@@ -72,7 +74,7 @@ def a02_baselines_task(spark, sf):
 
 @query("A03_baselines_per_task", BASELINES_PER_TASK)
 def a03_baselines(spark, sf):
-    return _beside_learned(A.train_and_report(*_sides(spark, sf), ["task"], per_task=True, n_features=1 << 16))
+    return _beside_learned(A.train_and_report(*_sides(spark, sf), ["task"], per_task=True))
 
 
 _POPULATION = f"""{V.EV_BINARY_SQL}, {ALIGNED},
@@ -116,7 +118,7 @@ def a02_task(spark, sf):
 @query("A03_assessor_per_task")
 def a03(spark, sf):
     train, test = _sides(spark, sf)
-    return rounded(A.train_and_report(train, test, ["task"], per_task=True, n_features=1 << 16))
+    return rounded(A.train_and_report(train, test, ["task"], per_task=True))
 
 
 @query("A04_population_assessor")
@@ -166,3 +168,170 @@ def c21_assessor(spark, sf):
     words = A.word_contributions(A.fit(rows), rows)
     frequent = words.where("n >= 10").select("word", F.col("contribution").alias("mean_contribution"), F.col("n").alias("word_count"))
     return rounded(frequent.orderBy(F.desc("mean_contribution"), "word"))
+
+
+# ---- dense features: learned alike by SQL -----------------------------------------------------
+
+FEATURES = {
+    "conf_normalized": "conf_normalized",
+    "conf_absolute": "conf_absolute",
+    "n_targets": "n_targets / cast(5 as double)",
+    "length": "length(input) / cast(50 as double)",
+}
+SIZE = {"size": "case model_name when '4b' then 0.25 when '8b' then 0.5 when '27b' then 0.75 else 1.0 end"}
+# a grid's smaller capacity sees one feature; the others are 0 there, and so are their weights
+CAPACITIES = {f: e if f == "conf_normalized" else f"case when setting like 'conf/%' then 0 else {e} end" for f, e in FEATURES.items()}
+TEXT_FEATURES = {
+    "n_chars": "n_chars / cast(5000 as double)",
+    "digits": "(length(input) - length(translate(input, '0123456789', ''))) / cast(100 as double)",
+    "lines": "(length(input) - length(replace(input, chr(10), ''))) / cast(50 as double)",
+}
+METRICS = ["accuracy", "roc_auc", "brier"]
+METRIC_COLUMNS = ["accuracy", "roc_auc", "bs"]
+
+
+def _margin(n: int, x: str = "x") -> str:
+    return " + ".join(["w0", *(f"w{j} * {x}{j}" for j in range(1, n))])
+
+
+def newton_sql(name: str, source: str, keys: list[str], features: dict[str, str], steps: int = N.STEPS, ridge: float = N.RIDGE) -> str:
+    """CTEs ending in ``name``: (keys, w0, w1, …) of the model fitted to each group of ``source``."""
+    n, k = len(features) + 1, ", ".join(keys)
+    x = ["1", *(f"x{j}" for j in range(1, n))]
+    values = ", ".join(f"coalesce(cast({e} as double), 0) as x{j}" for j, e in enumerate(features.values(), 1))
+    ctes = [
+        f"{name}_r as materialized (select {k}, cast(correct as double) as y, {values} from {source})",
+        f"{name}_0 as (select distinct {k}, {', '.join(f'0::double as w{j}' for j in range(n))} from {name}_r)",
+    ]
+    # H = L D L' and its two triangular systems, a level of subqueries each: aliases within one are expanded
+    levels = []
+    for j in range(n):
+        levels.append([f"h_{j}_{j}" + "".join(f" - l_{j}_{m} * l_{j}_{m} * d_{m}" for m in range(j)) + f" as d_{j}"])
+        levels.append([f"(h_{i}_{j}" + "".join(f" - l_{i}_{m} * l_{j}_{m} * d_{m}" for m in range(j)) + f") / d_{j} as l_{i}_{j}" for i in range(j + 1, n)])
+    levels += [[f"g_{i}" + "".join(f" - l_{i}_{m} * z_{m}" for m in range(i)) + f" as z_{i}"] for i in range(n)]
+    levels += [[f"z_{i} / d_{i}" + "".join(f" - l_{m}_{i} * s_{m}" for m in range(i + 1, n)) + f" as s_{i}"] for i in reversed(range(n))]
+    gradient = [f"avg((p - y) * {x[i]}) + {ridge} * any_value(w{i}) as g_{i}" for i in range(n)]
+    hessian = [f"avg(p * (1 - p) * {x[i]} * {x[j]}) + {ridge if i == j else 0.0} as h_{i}_{j}" for i in range(n) for j in range(i + 1)]
+    old = ", ".join(f"any_value(w{i}) as w{i}" for i in range(n))
+    for step in range(steps):
+        last = name if step == steps - 1 else f"{name}_{step + 1}"
+        ctes.append(f"""{name}_s{step} as materialized (select {k}, {old}, {', '.join(gradient + hessian)}
+          from (select *, 1 / (1 + exp(-({_margin(n)}))) as p from {name}_r join {name}_{step} using ({k})) group by {k})""")
+        solved = f"{name}_s{step}"
+        for level in filter(None, levels):
+            solved = f"(select *, {', '.join(level)} from {solved})"
+        ctes.append(f"{last} as materialized (select {k}, {', '.join(f'w{i} - s_{i} as w{i}' for i in range(n))} from {solved})")
+    return ",\n  ".join(ctes)
+
+
+def scored_sql(name: str, models: str, source: str, keys: list[str], features: dict[str, str]) -> str:
+    """CTE ``name``: the rows of ``source`` with their probability ``assr``."""
+    values = ", ".join(f"coalesce(cast({e} as double), 0) as x{j}" for j, e in enumerate(features.values(), 1))
+    weights = ", ".join(f"coalesce(w{j}, 0) as w{j}" for j in range(len(features) + 1))
+    return f"""{name} as materialized (select * exclude (assr), round(1 / (1 + exp(-({_margin(len(features) + 1)}))), 9) as assr
+      from (select s.*, {values}, {weights} from {source} s left join {models} m using ({', '.join(keys)})))"""
+
+
+def light_report_sql(name: str, source: str, keys: list[str]) -> str:
+    """CTE ``name``: rows, accuracy, AUROC by ranks, and Brier score of ``assr`` per group."""
+    k = ", ".join(keys)
+    return f"""{name} as (select {k}, count(*) as instance_count, {r('avg(cast(cast(assr > 0.5 as int) = correct as double))')} as test_accuracy,
+      {r("case when sum(correct) between 1 and count(*) - 1 then (sum(case when correct = 1 then mid end) - sum(correct)*(sum(correct)+1)/2.0) / (sum(correct)*(count(*)-sum(correct))) else 'NaN'::double end")} as test_roc_auc,
+      {r('avg((correct - assr) * (correct - assr))')} as test_bs
+      from (select *, rank() over (partition by {k} order by assr) + (count(*) over (partition by {k}, assr) - 1)/2.0 as mid from {source}) group by {k})"""
+
+
+REPORT = "instance_count, test_accuracy, test_roc_auc, test_bs"
+_ONE = f"""with {V.EV_BINARY_SQL}, {INSTANCE}, tr as (select *, 0 as g from sp where drawn), te as (select *, 0 as g from sp where not drawn)"""
+_POP = f"""with {_POPULATION}, tr as (select cp.*, 0 as g from cp join rk on cp.task = rk.task and cp.h = rk.h where drawn)"""
+
+
+def _scored(train, test, features, keys=None):
+    scored = N.score(N.fit(train, features, keys), test, features, keys)
+    return scored.withColumn("assr", F.round("assr", 9))
+
+
+def _newton_report(scored, keys=None):
+    report = A.test_report(scored, "assr", keys, METRICS)
+    return rounded(report.select(*(keys or []), "instance_count", *[f"test_{m}" for m in METRIC_COLUMNS]))
+
+
+@query(
+    "A01_newton_scores",
+    f"""{_ONE}, {newton_sql('nw', 'tr', ['g'], FEATURES)}, {scored_sql('sc', 'nw', 'te', ['g'], FEATURES)}
+    select sample_key, task, correct, {r('assr')} as assr from sc""",
+)
+def a01_newton(spark, sf):
+    return rounded(_scored(*_sides(spark, sf), FEATURES).select("sample_key", "task", "correct", "assr"))
+
+
+@query(
+    "A02_newton_report",
+    f"""{_ONE}, {newton_sql('nw', 'tr', ['g'], FEATURES)}, {scored_sql('sc', 'nw', 'te', ['g'], FEATURES)}, {light_report_sql('lr', 'sc', ['g'])}
+    select {REPORT} from lr""",
+)
+def a02_newton(spark, sf):
+    return _newton_report(_scored(*_sides(spark, sf), FEATURES))
+
+
+@query(
+    "A02_newton_report_per_task",
+    f"""{_ONE}, {newton_sql('nw', 'tr', ['g'], FEATURES)}, {scored_sql('sc', 'nw', 'te', ['g'], FEATURES)}, {light_report_sql('lr', 'sc', ['task'])}
+    select task, {REPORT} from lr""",
+)
+def a02_newton_task(spark, sf):
+    return _newton_report(_scored(*_sides(spark, sf), FEATURES), ["task"])
+
+
+@query(
+    "A03_newton_models",
+    f"""{_ONE}, {newton_sql('nw', 'tr', ['task'], FEATURES)} select task, {', '.join(f'{r(f"w{j}")} as w{j}' for j in range(5))} from nw""",
+)
+def a03_models(spark, sf):
+    return rounded(N.fit(_sides(spark, sf)[0], FEATURES, ["task"]))
+
+
+@query(
+    "A03_newton_per_task",
+    f"""{_ONE}, {newton_sql('nw', 'tr', ['task'], FEATURES)}, {scored_sql('sc', 'nw', 'te', ['task'], FEATURES)}, {light_report_sql('lr', 'sc', ['task'])}
+    select task, {REPORT} from lr""",
+)
+def a03_newton(spark, sf):
+    return _newton_report(_scored(*_sides(spark, sf), FEATURES, ["task"]), ["task"])
+
+
+@query(
+    "A04_newton_population",
+    f"""{_POP}, {newton_sql('nw', 'tr', ['g'], FEATURES | SIZE)}, {scored_sql('sc', 'nw', '(select *, 0 as g from te)', ['g'], FEATURES | SIZE)},
+    al as (select 'all' as scope, correct, assr from sc union all select 'largest', correct, assr from sc where model_name = '128b'),
+    {light_report_sql('lr', 'al', ['scope'])} select scope, {REPORT} from lr""",
+)
+def a04_newton(spark, sf):
+    scored = _scored(*_sides(spark, sf, population=True, prepend=False), FEATURES | SIZE)
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("model_name") == "128b", F.lit("largest"))))
+    return _newton_report(scored.withColumn("scope", F.explode(scopes)), ["scope"])
+
+
+_SETTINGS = """select *, unnest(['conf/' || model_name, 'all/' || model_name, 'all/' || shots]) as setting from"""
+
+
+@query(
+    "A05_newton_grid",
+    f"""{_POP}, trs as ({_SETTINGS} tr), tes as ({_SETTINGS} te), {newton_sql('nw', 'trs', ['setting'], CAPACITIES)},
+    {scored_sql('sc', 'nw', 'tes', ['setting'], CAPACITIES)}, {light_report_sql('lr', 'sc', ['setting'])} select setting, {REPORT} from lr""",
+)
+def a05_newton(spark, sf):
+    cells = F.array(*[F.concat(F.lit(f"{kind}/"), F.col(by).cast("string")) for kind, by in (("conf", "model_name"), ("all", "model_name"), ("all", "shots"))])
+    train, test = (side.withColumn("setting", F.explode(cells)) for side in _sides(spark, sf, population=True, prepend=False))
+    return _newton_report(_scored(train, test, CAPACITIES, ["setting"]), ["setting"])
+
+
+@query(
+    "C21_feature_contributions",
+    f"""with {V.EV_TEXT_SQL}, tx as (select * from et where correct in (0, 1)), {newton_sql('nw', 'tx', ['task'], TEXT_FEATURES)},
+    me as (select task, {', '.join(f'avg({e}) as m{j}' for j, e in enumerate(TEXT_FEATURES.values(), 1))} from tx group by task)
+    {' union all '.join(f"select task, '{f}' as feature, {r(f'w{j}')} as weight, {r(f'm{j}')} as mean_value, {r(f'w{j} * m{j}')} as contribution from nw join me using (task)" for j, f in enumerate(TEXT_FEATURES, 1))}""",
+)
+def c21_features(spark, sf):
+    rows = V.ev_text(spark, sf)
+    return rounded(N.contributions(N.fit(rows, TEXT_FEATURES, ["task"]), rows, TEXT_FEATURES, ["task"]))
