@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from evalframe import schema as S
 from evalframe.functions.features import augment, prepend_features
-from evalframe.runtime import join_per_key, materialize
+from evalframe.operators.quantiles import exact_quantiles
+from evalframe.runtime import join_null_safe, join_per_key, materialize
 from evalframe.sources.catalog import REFERENCE_MODEL_SIZE
 
 log = logging.getLogger(__name__)
@@ -168,28 +169,29 @@ def remove_bad_tasks(
     return join_per_key(df, bad_tasks(cube, threshold).select("task").distinct(), ["task"], "left_anti")
 
 
-def describe(df: DataFrame, group: list[str], column: str = "correct") -> DataFrame:
-    """count, mean, sample deviation, min, quartiles and max per group.
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def describe_columns(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """(group…, column, count, mean, std, min, q25, q50, q75, max) of each numeric column, NULLs left out.
 
-    Exact quartiles come from value counts, so a group is first reduced to its
-    distinct values.
+    Quartiles are exact, by ``exact_quantiles``: no buffer of a group's values.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("_n"))
-    x, n = F.col(column).cast("double"), F.col("_n")
-    total = F.sum(n)
-    mean = F.sum(x * n) / total
-    deviation = F.when(total > 1, F.sqrt(F.greatest((F.sum(x * x * n) - total * mean * mean) / (total - 1), F.lit(0.0))))
-    quartile = lambda q: F.percentile(x, F.lit(q), n)
-    return counted.groupBy(*group).agg(
-        total.alias("count"),
-        mean.alias("mean"),
-        deviation.alias("std"),
-        F.min(x).alias("min"),
-        quartile(0.25).alias("q25"),
-        quartile(0.5).alias("q50"),
-        quartile(0.75).alias("q75"),
-        F.max(x).alias("max"),
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*group, F.explode(cells).alias("c")).select(*group, "c.*").where("x is not null")
+    keys = [*group, "column"]
+    plain = long.groupBy(*keys).agg(
+        F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
+    quartiles = exact_quantiles(long, keys, "x", list(QUARTILES.values()))
+    cells = [F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in QUARTILES.items()]
+    table = join_null_safe(plain, quartiles.groupBy(*keys).agg(*cells), keys)
+    return table.select(*keys, "count", "mean", "std", "min", *QUARTILES, "max")
+
+
+def describe(df: DataFrame, group: list[str], column: str = "correct") -> DataFrame:
+    """count, mean, sample deviation, min, quartiles and max of one column per group."""
+    return describe_columns(df, group, [column]).drop("column")
 
 
 def at_least(df: DataFrame, minimum: int, column: str = "instance_count", strict: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.runtime import join_per_key, lowest_hash_cut, materialize, number_rows, seeded_hash
+from evalframe.runtime import join_null_safe, join_per_key, lowest_hash_cut, materialize, number_rows, seeded_hash
 
 DEFAULT_SEED = 42
 
@@ -44,14 +44,24 @@ def split_instances(
     return _mark(hashed, cuts, group, "train", "test")
 
 
-def number_copies(df: DataFrame, key: str = "sample_key") -> DataFrame:
-    """Occurrence number of each input within its (task, model): copies are separate instances.
+_MODEL = ["model_name", "model_family"]
 
-    Returns only (task, input_md5, occurrence, key): texts stay where they are.
+
+def _instances(narrow: DataFrame) -> DataFrame:
+    """(task, input_md5, model…, copies): how often each model has each input; stored, a row per distinct one."""
+    return materialize(narrow.groupBy("task", "input_md5", *_MODEL).agg(F.count("*").alias("copies")), "instances")
+
+
+def number_copies(df: DataFrame, key: str = "sample_key", instances: DataFrame | None = None) -> DataFrame:
+    """(task, input_md5, occurrence, key) of the rows whose (task, model, input) occurs more than once, numbered by key.
+
+    All other rows are occurrence 1 of their input. Only keys and hashes of copies are ordered: texts stay where they are.
     """
-    model = ["model_name", "model_family"]
-    narrow = df.select("task", *model, F.md5("input").alias("input_md5"), key)
-    numbered = number_rows(narrow, ["task", *model, "input_md5"], [F.col(key)], "occurrence")
+    narrow = df.select("task", *_MODEL, F.md5("input").alias("input_md5"), key)
+    several = (_instances(narrow) if instances is None else instances).where("copies > 1").drop("copies")
+    same = ["task", "input_md5", *_MODEL]
+    copies = join_null_safe(narrow, several.withColumn("_copied", F.lit(True)), same).where("_copied").drop("_copied")
+    numbered = number_rows(copies, ["task", *_MODEL, "input_md5"], [F.col(key)], "occurrence")
     return numbered.select("task", "input_md5", "occurrence", key)
 
 
@@ -61,17 +71,19 @@ def split_instances_aligned(
     """Instance split with one decision per instance, valid for every model.
 
     An instance is (task, input, occurrence), so the same question lands on the
-    same side for all models whether or not their logs agree in size and order.
+    same side for all models whether or not their logs agree in size and order. A row decides by itself,
+    from the hash of its input and its task's cut; only the numbers of copies are looked up by key. Where copies
+    are few, as many as a broadcast takes, no row is moved.
     """
-    hashed = materialize(
-        number_copies(df, key).select(
-            "task", key, seeded_hash(seed, "input_md5", F.col("occurrence").cast("string")).alias("_h")
-        ),
-        "instances",
-    )
-    cuts = lowest_hash_cut(hashed.select("task", "_h").distinct(), ["task"], "_h", _train_size(test_fraction))
-    sides = _mark(hashed, cuts, ["task"], "train", "test").drop("task")
-    return df.join(sides, key, "left").fillna({"split": "test"})
+    hashed = lambda occurrence: seeded_hash(seed, "input_md5", occurrence.cast("string"))
+    instances = _instances(df.select("task", *_MODEL, F.md5("input").alias("input_md5")))
+    numbers = materialize(number_copies(df, key, instances).select(F.col(key).alias("_copy"), "occurrence"), "copies")
+    drawn = instances.groupBy("task", "input_md5").agg(F.max("copies").alias("n"))
+    drawn = drawn.select("task", "input_md5", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("o"))
+    cuts = lowest_hash_cut(drawn.select("task", hashed(F.col("o")).alias("_h")), ["task"], "_h", _train_size(test_fraction))
+    rows = df.join(numbers, F.col(key) == F.col("_copy"), "left")
+    rows = rows.withColumn("input_md5", F.md5("input")).withColumn("_h", hashed(F.coalesce("occurrence", F.lit(1))))
+    return _mark(rows.drop("_copy", "occurrence", "input_md5"), cuts, ["task"], "train", "test")
 
 
 def split_tasks(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.functions.text import token_histogram, tokens
+from evalframe.functions.text import share_longer_than, token_histogram, tokens
 from evalframe.metrics.baselines import score_systems
 from evalframe.operators import compare as C
 from evalframe.operators.flatten import stack_frames
@@ -163,21 +163,35 @@ def c07(spark, sf):
     return _tagged(C.report_population(*runs(spark, sf, "128b", "27b", "8b")), _AS_PAIR)
 
 
-def _grid(spark, sf, *keys) -> DataFrame:
-    return V.ev_binary(spark, sf).groupBy(*keys).agg(F.avg("conf_normalized").alias("test_roc_auc"), F.avg((F.col("q") > 40).cast("double")).alias("n_long_sequences"))
+# three score columns stand for assessors of three sizes, two of them for the two ways to cut texts
+_ASSESSORS = {"small": "conf_absolute", "base": "conf_normalized", "large": "assr"}
+_SIDES = {"left": "conf_normalized", "right": "assr"}
+_LONG = 9  # tokens
 
 
-_ASSESSOR = "element_at(array('small','base','large'), shots % 3 + 1)"
+def _cells(spark, sf, systems: dict[str, str], name: str, by: str) -> DataFrame:
+    """Each cell of a grid scored: (name, by, test_roc_auc), one job for all."""
+    wide = score_systems(V.ev_binary(spark, sf), {f"{s}_": c for s, c in systems.items()}, [by], ["roc_auc"])
+    cells = F.array(*[F.struct(F.lit(s).alias(name), F.col(f"{s}_roc_auc").alias("test_roc_auc")) for s in systems])
+    return wide.select(by, F.explode(cells).alias("c")).select(by, "c.*")
+
+
+def _cells_sql(systems: dict[str, str], name: str, by: str) -> str:
+    """The same by ranks: CTE ``cells``."""
+    rows = " union all ".join(f"select '{s}' as {name}, {by}, correct, {c} as p from eb" for s, c in systems.items())
+    return f"""lo as ({rows}), mr as (select *, rank() over (partition by {name}, {by} order by p) + (count(*) over (partition by {name}, {by}, p) - 1)/2.0 as mid from lo),
+    cells as (select {name}, {by}, case when sum(correct) between 1 and count(*) - 1
+      then (sum(case when correct = 1 then mid end) - sum(correct)*(sum(correct)+1)/2.0) / (sum(correct)*(count(*)-sum(correct))) else 'NaN'::double end as auc from mr group by all)"""
 
 
 @query(
     "C08_report_scaling",
-    f"""with {V.EV_BINARY_SQL} select ['small','base','large'][shots % 3 + 1] as assessor_size, model_name as subject_size, {r('avg(conf_normalized)')} as metric,
-    cast(shots % 3 as bigint) as assessor_pos, cast(case model_name when '4b' then 8 when '8b' then 9 when '27b' then 10 else 11 end as bigint) as subject_pos
-    from eb group by shots % 3, model_name""",
+    f"""with {V.EV_BINARY_SQL}, {_cells_sql(_ASSESSORS, 'assessor_size', 'model_name')} select assessor_size, model_name as subject_size, {r('auc')} as metric,
+    cast(list_position(['small', 'base', 'large'], assessor_size) - 1 as bigint) as assessor_pos,
+    cast(case model_name when '4b' then 8 when '8b' then 9 when '27b' then 10 else 11 end as bigint) as subject_pos from cells""",
 )
 def c08(spark, sf):
-    grid = _grid(spark, sf, F.expr(_ASSESSOR).alias("assessor_size"), F.col("model_name").alias("subject_size"))
+    grid = _cells(spark, sf, _ASSESSORS, "assessor_size", "model_name").withColumnRenamed("model_name", "subject_size")
     return rounded(
         C.report_scaling(grid, "test_roc_auc").withColumns(
             {"assessor_pos": C.position_in("assessor_size", ASSESSOR_SIZES), "subject_pos": C.position_in("subject_size", MODEL_SIZES)}
@@ -187,13 +201,14 @@ def c08(spark, sf):
 
 @query(
     "C09_report_shots",
-    f"""with {V.EV_BINARY_SQL}, g as (select case when model_family = 'F0' then 'left' else 'right' end as truncation_side, shots, avg(conf_normalized) as metric,
-      avg(cast(q > 40 as double)) as long_ from eb group by all)
-    select truncation_side, shots, {r('metric')} as metric, {r('avg(long_) over (partition by shots)')} as long_share from g""",
+    f"""with {V.EV_BINARY_SQL}, {_cells_sql(_SIDES, 'truncation_side', 'shots')},
+    ls as (select shots, avg(cast({n_tokens_sql('input')} > {_LONG} as double)) as long_ from eb group by shots)
+    select truncation_side, shots, {r('auc')} as metric, {r('long_')} as long_share from cells join ls using (shots)""",
 )
 def c09(spark, sf):
-    side = F.when(F.col("model_family") == "F0", "left").otherwise("right").alias("truncation_side")
-    return rounded(C.report_shots(_grid(spark, sf, side, "shots"), "test_roc_auc"))
+    grid = _cells(spark, sf, _SIDES, "truncation_side", "shots")
+    long = share_longer_than(V.ev_binary(spark, sf), _LONG, ["shots"], "input").select("shots", "n_long_sequences")
+    return rounded(C.report_shots(grid.join(long, "shots"), "test_roc_auc"))
 
 
 @query(

@@ -117,6 +117,19 @@ def q10(spark, sf):
     return rounded(quality.describe(V.ev(spark, sf), ["query_type"]))
 
 
+_DESCRIBED = {"correct": "correct", "conf_normalized": "conf_normalized", "n_targets": "n_targets", "length": "length(input)", "q": "nullif(q, 50)"}
+
+
+@query(
+    "Q10_describe_columns",
+    f"""with {V.EV_SQL} {" union all ".join(f"""select query_type, '{c}' as "column", count({e}) as count, {r(f'avg({e})')} as mean, {r(f'stddev_samp({e})')} as std, {r(f'cast(min({e}) as double)')} as min,
+      {", ".join(f"{r(f'quantile_cont(cast({e} as double), {p})')} as {n}" for n, p in quality.QUARTILES.items())}, {r(f'cast(max({e}) as double)')} as max from ev group by query_type""" for c, e in _DESCRIBED.items())}""",
+)
+def q10_columns(spark, sf):
+    rows = V.ev_conf(spark, sf).select("query_type", *[F.expr(e).alias(c) for c, e in _DESCRIBED.items()])
+    return rounded(quality.describe_columns(rows, ["query_type"], list(_DESCRIBED)))
+
+
 @query(
     "Q11_cap_instances",
     f"with {V.EV_SQL} select sample_key, task, correct from ev order by md5(concat_ws('|', '42', sample_key)), sample_key limit 200",

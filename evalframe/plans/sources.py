@@ -15,7 +15,7 @@ from evalframe.plans import views as V
 from evalframe.plans.registry import query
 from evalframe.plans.sqltext import r, rounded
 from evalframe.runtime import materialize, scratch_path
-from evalframe.sources import catalog, logs, reports
+from evalframe.sources import catalog, logs, querylog, reports
 
 # 25 names standing for the 25 brands, some on the task and issue lists
 NAMED_TASKS = [*catalog.LITE_TASKS[:21], "periodic_elements", "context_definition_alignment", "taboo", "arithmetic"]
@@ -59,6 +59,31 @@ def s01(spark, sf):
     return queries.groupBy(*logs.FILE_KEYS).agg(F.count("*").alias("n_queries"), F.sum("n_samples").alias("n_samples"))
 
 
+@query(
+    "S01_scan_queries",
+    f"""with {V.LOG_SAMPLES_SQL} select directory, model_family, model_name, query_type, shots, count(distinct (task, q)) as n_queries, count(*) as n_samples, cast(sum(length(input)) as bigint) as n_chars
+    from (select *, concat('b', p_brand[7:]) as directory from ls) where model_name in ('4b', '128b') and model_family = 'F0' and query_type in ('multiple_choice', 'scoring')
+      and shots in (0, 2) group by all""",
+)
+def s01_queries(spark, sf):
+    """Documents in a folder per brand, read at the grain of queries; models, types and shots are filtered in the scan."""
+    root = scratch_path(spark, "logs")
+    brands = V.table(spark, sf, "part").select(F.expr("concat('t', p_partkey)").alias("task"), F.expr("concat('b', substr(p_brand, 7))").alias("directory"))
+    files = V.log_files(spark, sf).join(brands, "task")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.lit("^x"), F.concat(F.lit("x-"), "task"))
+    model = F.struct("model_family", "model_name", F.col("parameters").alias("flop_matched_non_embedding_params")).alias("model")
+    document = F.to_json(F.struct(F.struct(F.col("task").alias("task_name")).alias("task"), model, "queries", "scores"))
+    written = querylog.write_documents(files.select("directory", name.alias("name"), document.alias("value")), root)
+    materialize(written, "documents")
+    brand_names = [f"b{i}" for i in range(1, 26)]
+    spec = logs.LogFilter(tasks=brand_names, model_sizes=["4b", "128b"], query_types=["multiple_choice", "scoring"], shots=[0, 2])
+    rows = querylog.with_samples(querylog.read_queries(spark, root, spec).where("model_family = 'F0'"), "directory")
+    sizes = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.length(x["input"]))
+    return rows.groupBy("directory", "model_family", "model_name", "query_type", "shots").agg(
+        F.count("*").alias("n_queries"), F.sum("n_samples").alias("n_samples"), F.sum(sizes).alias("n_chars")
+    )
+
+
 _BEST = lambda name, source: f"""{name} as (select model_name, model_family from {source} group by all
     order by avg(correct) desc, model_name, model_family limit 1)"""
 _PREPARED_LOGS = f"""{V.LOG_PAIRS_SQL}, {_BEST('best', 'es')},
@@ -150,8 +175,27 @@ def s04_lists(spark, sf):
     f"""with {V.EV_SQL} select model_family, model_name, count(*) as n from ev where model_family = 'F0' and model_name in ('4b', '128b') group by all""",
 )
 def s05(spark, sf):
-    kept = logs.filter_models(V.ev(spark, sf), ["F0"], ["4b", "128b"])
-    return kept.groupBy("model_family", "model_name").agg(F.count("*").alias("n"))
+    """Samples kept by model: only the folders of two models are read."""
+    path = scratch_path(spark, "by-model")
+    logs.write_by_model(V.ev(spark, sf).select("sample_key", "task", "correct", "model_family", "model_name"), path)
+    return logs.read_by_model(spark, path, ["F0"], ["4b", "128b"]).groupBy("model_family", "model_name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "S05_models_chosen_by_query",
+    f"""with {V.EV_SQL}, m as (select model_family, model_name from ev group by all having avg(correct) > (select avg(correct) from ev))
+    select task, model_family, model_name, count(*) as n, {r('avg(correct)')} as mean_correct from ev join m using (model_family, model_name) group by all""",
+)
+def s05_chosen(spark, sf):
+    """The samples of models better than the average: which folders are read is known when the query runs."""
+    path = scratch_path(spark, "by-model")
+    rows = V.ev(spark, sf).select("sample_key", "task", "correct", "model_family", "model_name")
+    logs.write_by_model(rows, path)
+    kept = logs.read_by_model(spark, path)
+    means = kept.groupBy("model_family", "model_name").agg(F.avg("correct").alias("own"))
+    better = materialize(means, "models").where(F.col("own") > kept.agg(F.avg("correct")).scalar())
+    chosen = logs.of_models(kept, better)
+    return rounded(chosen.groupBy("task", "model_family", "model_name").agg(F.count("*").alias("n"), F.avg("correct").alias("mean_correct")))
 
 
 def _query_counts(spark, sf, spec):
@@ -372,21 +416,29 @@ def logs_with_confidence(spark, sf):
     f"""with {V.EV_SQL} select ['small','base','large'][shots % 3 + 1] as assessor_size, model_name as subject_size, {_DOC} from ev group by all""",
 )
 def s17(spark, sf):
+    """Run directories on disk, found by a pattern."""
     size = F.element_at(F.array(F.lit("small"), F.lit("base"), F.lit("large")), F.col("shots") % 3 + 1)
     runs = _metric_map(V.ev_conf(spark, sf).withColumn("assessor", size), ["assessor", "model_name"])
-    path = F.concat_ws("/", F.lit("runs"), "assessor", "model_name", F.lit("metrics.json"))
-    documents = runs.select(F.to_json("metrics").alias("value"), path.alias("path"))
-    return rounded(reports.runs_from_documents(documents, ["assessor_size", "subject_size"], _REPORT))
+    root = scratch_path(spark, "runs")
+    runs.select("assessor", "model_name", F.to_json("metrics").alias("value")).write.partitionBy("assessor", "model_name").text(root)
+    return rounded(reports.load_runs(spark, f"{root}/*/*/*.txt", ["assessor_size", "subject_size"], _REPORT))
 
 
-@query("S18_write_results", f"with {V.EV_BINARY_SQL} select task, count(*) as n, {r('avg(assr)')} as mean_p from eb group by all")
+@query(
+    "S18_write_results",
+    f"""with {V.EV_BINARY_SQL} select task, count(*) as n, {r('avg(assr)')} as mean_p, count(*) as n_in_metrics, true as several_files from eb group by all""",
+)
 def s18(spark, sf):
+    """Both sides are written per task and read back; predictions in files of about a quarter of a task."""
     path = scratch_path(spark, "results")
     rows = V.ev_binary(spark, sf).select("task", "sample_key", "assr", "correct")
     metrics = rows.groupBy("task").agg(F.count("*").alias("instance_count"))
-    reports.write_results(metrics, rows, path, per_task=True)
-    back = spark.read.parquet(f"{path}/predictions_per_task")
-    return rounded(back.groupBy("task").agg(F.count("*").alias("n"), F.avg("assr").alias("mean_p")))
+    smallest = metrics.agg(F.min("instance_count")).first()[0] or 4
+    reports.write_results(metrics, rows, path, per_task=True, target_rows=max(1, smallest // 4))
+    back = reports.read_sized(spark, f"{path}/predictions_per_task", ["task"]).withColumn("file", F.col("_metadata.file_path"))
+    sums = back.groupBy("task").agg(F.count("*").alias("n"), F.avg("assr").alias("mean_p"), (F.countDistinct("file") > 1).alias("several_files"))
+    written = spark.read.json(f"{path}/metrics_per_task").select("task", F.col("instance_count").alias("n_in_metrics"))
+    return rounded(sums.join(written, "task").select("task", "n", "mean_p", "n_in_metrics", "several_files"))
 
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]

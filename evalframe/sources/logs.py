@@ -189,3 +189,26 @@ def score_records_of(files: DataFrame) -> DataFrame:
     return files.select(*FILE_KEYS, F.posexplode("scores").alias("score_idx", "r")).select(
         *FILE_KEYS, "score_idx", "r.*"
     )
+
+
+# ---- samples kept by model ------------------------------------------------
+
+
+def write_by_model(samples: DataFrame, path: str) -> None:
+    """Parquet with a folder per model family and size: conditions on either choose folders."""
+    samples.write.partitionBy("model_family", "model_name").parquet(path)
+
+
+def read_by_model(
+    spark: SparkSession, path: str, families: list[str] | None = None, sizes: list[str] | None = None
+) -> DataFrame:
+    """The samples of some models; the folders of all others are not listed as input."""
+    return filter_models(spark.read.parquet(path), families, sizes)
+
+
+def of_models(samples: DataFrame, models: DataFrame) -> DataFrame:
+    """The samples of the models that a query chose: ``models`` has (model_family, model_name).
+
+    Where ``samples`` are kept by model and ``models`` is small, Spark reads the folders chosen at run time.
+    """
+    return samples.join(models.select("model_family", "model_name").distinct(), ["model_family", "model_name"])

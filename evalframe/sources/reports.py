@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe import schema as S
+from evalframe.runtime import join_null_safe, materialize
 from evalframe.sources import catalog
 
 BASELINE_PREFIX = "test_conf_"
@@ -70,9 +71,10 @@ def load_metrics(
 
 
 def keys_from_path(path: Column | str, names: Sequence[str]) -> list[Column]:
-    """The last directories above the file, outermost first, as named columns."""
+    """The last directories above the file, outermost first, as named columns; of ``key=value`` the value."""
     parts = F.split(path, "/")
-    return [F.element_at(parts, -(len(names) + 1) + i).alias(n) for i, n in enumerate(names)]
+    value = lambda i: F.regexp_replace(F.element_at(parts, -(len(names) + 1) + i), "^[^=]*=", "")
+    return [value(i).alias(n) for i, n in enumerate(names)]
 
 
 def load_runs(
@@ -154,9 +156,41 @@ def write_text_and_label(samples: DataFrame, path: str) -> None:
     write_csv(samples.select(F.col("input").alias("text"), F.col("correct").cast("int").alias("target")), path)
 
 
-def write_results(metrics: DataFrame, predictions: DataFrame, path: str, per_task: bool = False) -> None:
-    """Metrics as JSON, predictions as parquet; per task both are partitioned by task."""
-    suffix = "_per_task" if per_task else ""
-    by = ["task"] if per_task else []
-    metrics.write.partitionBy(*by).json(f"{path}/metrics{suffix}")
-    predictions.write.partitionBy(*by).parquet(f"{path}/predictions{suffix}")
+ROWS_PER_FILE = 1_000_000
+
+
+def write_sized(df: DataFrame, path: str, keys: list[str], target_rows: int = ROWS_PER_FILE) -> None:
+    """Parquet with a folder per value of ``keys``, in files of about ``target_rows``, and a manifest of rows per key.
+
+    Rows are counted per key first; a key gets ceil(rows / target) files whatever the number of tasks, and a
+    key that holds much of the table is written by as many tasks as it has files. No file has more than
+    twice the target, also where rows repeat. The manifest is written last: a folder without one is not complete.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("_files", F.ceil(F.col("n") / target_rows))
+    counts = materialize(counts, "files-per-key")
+    files = counts.agg(F.coalesce(F.sum("_files"), F.lit(1))).first()[0]
+    spread = join_null_safe(df, counts.select(*keys, "_files"), keys)
+    spread = spread.withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files"))).drop("_files")
+    spread.repartition(max(1, files), *keys, "_file").write.option("maxRecordsPerFile", 2 * target_rows).partitionBy(*keys, "_file").parquet(path)
+    counts.drop("_files").write.parquet(f"{path}_manifest")
+
+
+def read_sized(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What ``write_sized`` wrote; raises if a key has another number of rows than the manifest says."""
+    rows, manifest = spark.read.parquet(path), spark.read.parquet(f"{path}_manifest")
+    rows = rows.drop("_file").withColumns({k: F.col(k).cast(manifest.schema[k].dataType) for k in keys})  # folder names lose the type
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    wrong = manifest.select(*keys, "n").exceptAll(found).unionByName(found.exceptAll(manifest.select(*keys, "n"))).limit(3).collect()
+    if wrong:
+        raise ValueError(f"{path} does not hold what its manifest says: {wrong}")
+    return rows
+
+
+def write_results(metrics: DataFrame, predictions: DataFrame, path: str, per_task: bool = False, target_rows: int = ROWS_PER_FILE) -> None:
+    """Metrics as JSON, predictions as parquet; per task both have a folder per task, the predictions in sized files."""
+    if not per_task:
+        metrics.write.json(f"{path}/metrics")
+        predictions.write.parquet(f"{path}/predictions")
+        return
+    metrics.repartition(F.col("task")).write.partitionBy("task").json(f"{path}/metrics_per_task")
+    write_sized(predictions, f"{path}/predictions_per_task", ["task"], target_rows)

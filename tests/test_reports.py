@@ -1,6 +1,7 @@
 """Metric documents, tracker exports and sinks on disk."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out/metrics").first()["n"] == 2
 
 
+def test_sized_files_and_their_manifest(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("case when id < 700 then '007' when id < 999 then 'b' end as task", "id as k", "cast(id % 3 as double) as p")
+    path = f"{tmp_path}/sized"
+    reports.write_sized(rows, path, ["task"], target_rows=100)
+    back = reports.read_sized(spark, path, ["task"])
+    assert sorted(map(tuple, back.select("task", "k", "p").collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    files = back.withColumn("f", F.col("_metadata.file_path")).groupBy("task").agg(F.countDistinct("f").alias("n"), F.count("*").alias("rows"))
+    assert {r["task"]: r["n"] for r in files.collect()} == {"007": 7, "b": 3, None: 1}
+    lost = next(Path(path).glob("task=b/*/*.parquet"))
+    (lost.parent / f".{lost.name}.crc").unlink()
+    lost.write_bytes(next(Path(path).glob("task=007/*/*.parquet")).read_bytes())  # another number of rows
+    with pytest.raises(ValueError, match="manifest"):
+        reports.read_sized(spark, path, ["task"])
+    copied = spark.createDataFrame([("t", 1.0)] * 50, "task string, p double")  # equal rows can't be told apart
+    reports.write_sized(copied, f"{tmp_path}/copied", ["task"], target_rows=10)
+    assert reports.read_sized(spark, f"{tmp_path}/copied", ["task"]).count() == 50
+
+
 def test_flatten_record(spark):
     df = spark.sql("select named_struct('b', 1, 'c', named_struct('d', 'x')) as a, 2 as e")
     flat = reports.flatten_record(df)

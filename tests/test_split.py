@@ -95,3 +95,29 @@ def test_rows_without_a_task_stay_on_the_test_side(spark):
         assert marked.count() == 80 and marked.where("split is null").isEmpty()
         assert {r["split"] for r in marked.where("task is null").select("split").collect()} == {"test"}
         assert marked.where("task is not null and split = 'train'").count() > 0
+
+
+def test_aligned_split_moves_no_text(spark):
+    """Where few inputs are copied, no exchange carries the input column."""
+    rows = [(f"k{i}", f"t{i % 3}", m, "F", f"text {i if i > 4 else 0}", 1.0) for i in range(60) for m in ("a", "b")]
+    df = spark.createDataFrame([(f"{k}{m}", *r, m, *rest) for k, *r, m, f, t, c in rows for rest in [(f, t, c)]], "sample_key string, task string, model_name string, model_family string, input string, correct double")
+    marked = X.split_instances_aligned(df, 0.3)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    sides = {}
+    for r in marked.collect():
+        sides.setdefault((r["task"], r["input"]), set()).add(r["split"])
+    assert all(len(s) == 1 for (t, text), s in sides.items() if text != "text 0")
+
+
+def test_samples_by_model_are_pruned(spark, tmp_path):
+    from evalframe.sources import logs
+
+    df = spark.createDataFrame([(i, f, s) for i in range(3) for f in ("A", "B") for s in ("8b", "2m")], "k int, model_family string, model_name string")
+    logs.write_by_model(df, f"{tmp_path}/m")
+    kept = logs.read_by_model(spark, f"{tmp_path}/m", ["A"], ["8b"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 3 and "PartitionFilters: [isnotnull(model_family" in plan
+    models = df.groupBy("model_family", "model_name").agg(F.count("*").alias("n")).where("model_name = '2m' and n > 1")
+    chosen = logs.of_models(logs.read_by_model(spark, f"{tmp_path}/m"), models)
+    assert chosen.count() == 6 and "dynamicpruning" in chosen._jdf.queryExecution().executedPlan().toString().lower()
