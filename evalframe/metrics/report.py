@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,8 @@ from evalframe.functions.features import confidence, correct_target_likelihoods
 from evalframe.metrics import binary
 from evalframe.metrics.baselines import BASELINES, attach, label_cells, score_systems, task_accuracy, with_distribution_baseline
 from evalframe.operators.quality import binary_label
-from evalframe.operators.split import DEFAULT_SEED, split_distribution_shift, split_instances, split_tasks
-from evalframe.runtime import join_per_key
+from evalframe.operators.split import DEFAULT_SEED, mark_all
+from evalframe.runtime import join_per_key, materialize, seeded_hash
 from evalframe.sources.catalog import MODEL_PARAMETERS
 
 
@@ -58,9 +56,12 @@ def _long(wide: DataFrame, keys: list[str], paths: dict[str, str]) -> DataFrame:
 def analyse(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sizes, accuracy and confidence quality of each group as (keys…, path, value).
 
-    AUROC is 0 where only one class occurs.
+    AUROC is 0 where only one class occurs. The confidences are taken from the scores of the
+    targets, or as they are where ``df`` has both as columns.
     """
     keys = list(keys or [])
+    if not set(CONFIDENCES.values()) <= set(df.columns):
+        df = df.withColumns({"conf_normalized": confidence("normalized_scores"), "conf_absolute": confidence("absolute_scores")})
     valid = binary_label()
     sizes = df.groupBy(*keys).agg(
         F.countDistinct(F.when(valid, F.col("task"))).alias("n_tasks"),
@@ -74,9 +75,7 @@ def analyse(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         "n_nonbinary": "stats/n_instances_nonbinary",
         "task_acc": "metrics/task-acc",
     }
-    rows = df.where(valid).withColumns(
-        {"conf_normalized": confidence("normalized_scores"), "conf_absolute": confidence("absolute_scores")}
-    )
+    rows = df.where(valid)
     names = {"accuracy": "acc", "balanced_accuracy": "balanced_acc", "roc_auc": "roc_auc",
              "bs": "bs", "bs_mcb": "bs_mcb", "bs_dsc": "bs_dsc", "bs_unc": "bs_unc"}
     systems = {f"{kind}/": column for kind, column in CONFIDENCES.items()}
@@ -103,9 +102,6 @@ def merge(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
     return merge_sides(both, "_side", [a_name, b_name])
 
 
-SWEEP_SPLITS = ["instance", "task", "task_DS"]
-
-
 def stats_sweep(
     df: DataFrame,
     shots_sets: list[list[int]],
@@ -115,19 +111,15 @@ def stats_sweep(
 ) -> DataFrame:
     """Train/test statistics for each set of shots × each kind of split, in one job.
 
-    Rows are tagged with the sets they belong to and split within each.
+    ``df`` is read once: what the statistics need of a row, its hash, label and confidences, is stored, tagged with the
+    sets of shots it belongs to. Splits within each set are decided per task and marked in one scan of that table.
     """
     tags = [F.when(F.col("shots").isin(s), F.lit(",".join(map(str, s)))) for s in shots_sets]
-    tagged = df.withColumn("shots_set", F.explode(F.array_compact(F.array(*tags))))
-    within = ("shots_set",)
-    kinds = {
-        "instance": split_instances(tagged, test_fraction, seed, key, within),
-        "task": split_tasks(tagged, test_fraction, seed, within),
-        "task_DS": split_distribution_shift(tagged, test_fraction, within),
-    }
-    marked = reduce(
-        DataFrame.unionByName, [kinds[k].withColumn("split_type", F.lit(k)) for k in SWEEP_SPLITS]
+    narrow = df.select(
+        F.explode(F.array_compact(F.array(*tags))).alias("shots_set"), "task", "correct", seeded_hash(seed, key).alias("_h"),
+        confidence("normalized_scores").alias("conf_normalized"), confidence("absolute_scores").alias("conf_absolute"),
     )
+    marked = mark_all(materialize(narrow, "sweep"), test_fraction, seed, ("shots_set",))
     keys = ["shots_set", "split_type"]
     return merge_sides(analyse(marked, [*keys, "split"]), "split", ["train", "test"], keys)
 

@@ -86,31 +86,59 @@ def split_instances_aligned(
     return _mark(rows.drop("_copy", "occurrence", "input_md5"), cuts, ["task"], "train", "test")
 
 
+def task_draw(tasks: DataFrame, test_fraction: float, seed: int = DEFAULT_SEED, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within…, task, split) of a table of distinct tasks: ceil(f · number of tasks) random ones are test."""
+    tasks = materialize(tasks.select(*within, "task", seeded_hash(seed, "task").alias("_h")), "tasks")
+    cuts = lowest_hash_cut(tasks, list(within), "_h", F.ceil(F.lit(test_fraction) * F.col("n")))
+    return _mark(tasks, cuts, list(within), "test", "train")
+
+
 def split_tasks(
     df: DataFrame, test_fraction: float, seed: int = DEFAULT_SEED, within: tuple[str, ...] = ()
 ) -> DataFrame:
     """Whole tasks: ceil(f · number of tasks) random ones are test."""
-    tasks = df.where("task is not null").select(*within, "task").distinct().withColumn("_h", seeded_hash(seed, "task"))
-    tasks = materialize(tasks, "tasks")
-    cuts = lowest_hash_cut(tasks, list(within), "_h", F.ceil(F.lit(test_fraction) * F.col("n")))
-    return _task_sides(df, _mark(tasks, cuts, list(within), "test", "train"), within)
+    tasks = df.where("task is not null").select(*within, "task").distinct()
+    return _task_sides(df, task_draw(tasks, test_fraction, seed, within), within)
 
 
 def _task_sides(df: DataFrame, sides: DataFrame, within: tuple[str, ...]) -> DataFrame:
     return join_per_key(df, sides, [*within, "task"], "left").fillna({"split": "test"})
 
 
-def split_distribution_shift(df: DataFrame, test_fraction: float, within: tuple[str, ...] = ()) -> DataFrame:
-    """Whole tasks by mean label: the easiest int((1-f) · number of tasks) are train."""
-    accuracy = df.where("task is not null").groupBy(*within, "task").agg(F.avg(F.col("correct").cast("double")).alias("acc"))
-    ranked = materialize(number_rows(accuracy, list(within), [F.desc("acc"), F.asc("task")], "rank"), "ranked")
+def task_ranks(accuracy: DataFrame, test_fraction: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within…, task, split) of a table of tasks with their accuracy ``acc``: the easiest int((1-f) · number of tasks) are train."""
+    ranked = materialize(number_rows(accuracy.select(*within, "task", "acc"), list(within), [F.desc("acc"), F.asc("task")], "rank"), "ranked")
     sizes = ranked.groupBy(*within).agg(F.count("*").alias("_n"))
     if within:
         ranked = join_per_key(ranked, sizes, list(within))
     else:
         ranked = ranked.withColumn("_n", F.lit(sizes.first()["_n"]))
     side = F.when(F.col("rank") <= F.floor(F.col("_n") * F.lit(1 - test_fraction)), "train").otherwise("test")
-    return _task_sides(df, ranked.select(*within, "task", side.alias("split")), within)
+    return ranked.select(*within, "task", side.alias("split"))
+
+
+def split_distribution_shift(df: DataFrame, test_fraction: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """Whole tasks by mean label: the easiest int((1-f) · number of tasks) are train."""
+    accuracy = df.where("task is not null").groupBy(*within, "task").agg(F.avg(F.col("correct").cast("double")).alias("acc"))
+    return _task_sides(df, task_ranks(accuracy, test_fraction, within), within)
+
+
+def mark_all(rows: DataFrame, test_fraction: float, seed: int = DEFAULT_SEED, within: tuple[str, ...] = ()) -> DataFrame:
+    """A stored table's rows once per kind of split, with ``split_type`` and ``split``.
+
+    ``rows`` has the rows' seeded hash ``_h``. All decisions are one small table with a row per task;
+    rows then decide for all three kinds at once.
+    """
+    group = [*within, "task"]
+    cuts = lowest_hash_cut(rows.where("task is not null"), group, "_h", _train_size(test_fraction)).select(*group, "cut")
+    tasks = materialize(rows.where("task is not null").groupBy(*group).agg(F.avg(F.col("correct").cast("double")).alias("acc")), "tasks")
+    sides = cuts.join(task_draw(tasks, test_fraction, seed, within).withColumnRenamed("split", "_task"), group)
+    sides = sides.join(task_ranks(tasks, test_fraction, within).withColumnRenamed("split", "_shift"), group)
+    marked = join_per_key(rows, sides, group, "left")
+    drawn = F.when(F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False)), "train").otherwise("test")
+    kinds = {"instance": drawn, "task": F.coalesce("_task", F.lit("test")), "task_DS": F.coalesce("_shift", F.lit("test"))}
+    cells = F.array(*[F.struct(F.lit(k).alias("split_type"), side.alias("split")) for k, side in kinds.items()])
+    return marked.withColumn("_s", F.explode(cells)).select(*[c for c in rows.columns if c != "_h"], "_s.*")
 
 
 def split(
