@@ -134,7 +134,9 @@ def number_in_source(rows: DataFrame, source_col: str, id_col: str, seed: int) -
     counts = materialize(dealt.groupBy("_source", "_group").agg(F.count("*").alias("_c")), "group-sizes")
     before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_source", "_group", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_source", "_group").orderBy("_hash", F.col(f"`{id_col}`"))
+    # rows that repeat an id follow their contents: a task that runs again numbers them alike; equal rows are interchangeable
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+    inside = Window.partitionBy("_source", "_group").orderBy("_hash", F.col(f"`{id_col}`"), content)
     numbered = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(materialize(starts, "group-starts"), ["_source", "_group"])
     return numbered.withColumn("_n", F.col("_start") + F.col("_in")).drop("_hash", "_groups", "_group", "_in", "_start"), sizes
 

@@ -33,15 +33,18 @@ LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "α": "a", "β": "b", "ε": "e", "η": "n",
     "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ɑ": "a", "ſ": "s",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 }
 FOLD = str.maketrans(LOOK_ALIKES)
+# fixed values: signs that stand for a letter, but only before one: at the end of a word they are punctuation
+SIGNS = str.maketrans({"@": "a", "$": "s", "!": "i", "€": "e"})
+BEFORE_LETTER = re.compile(r"(?:(?<=\w)[@$!€]+|(?<!\w)[@$€])(?=[^\W\d_])")
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 NOT_WORD = re.compile(r"[\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
 FIT_ROWS = 20_000  # labelled rows that are learned from, at most (about)
-MAX_TERMS = 5_000
-MAX_EXCEPTIONS = 1_000
+LEAST_TEXTS = 3  # labelled texts that a term or an exception must occur in
+MOST_TERMS = 1_000_000  # significant terms, or exceptions; more raise
 SURE = 1.64  # standard errors that a log odds ratio is lowered by
 
 
@@ -50,6 +53,7 @@ def fold(text: str) -> str:
     low = text.lower()
     if not low.isascii():
         low = unicodedata.normalize("NFKC", INVISIBLE.sub("", low))
+    low = BEFORE_LETTER.sub(lambda m: m[0].translate(SIGNS), low)
     return f" {NOT_WORD.sub(' ', low.translate(FOLD)).strip()} "
 
 
@@ -85,10 +89,16 @@ def matches(folded: str, machine) -> dict[int, float]:
                 excused.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for start, end in excused:
-            for at in [a for a in found if start <= a < end]:
-                del found[at]
-    return found
+    if not excused:
+        return found
+    excused.sort()
+    kept, here, covered = {}, 0, -1  # both lists are in order: one pass over each
+    for at in sorted(found):
+        while here < len(excused) and excused[here][0] <= at:
+            covered, here = max(covered, excused[here][1]), here + 1
+        if at >= covered:
+            kept[at] = found[at]
+    return kept
 
 
 def measure(text: str | None, machine) -> tuple[float, int]:
@@ -106,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
 
     About ``fit_rows`` labelled ids at most, chosen by a hash of the id, are
     learned from; that bounds what is broadcast and collected. An id with
-    several labels has the highest. Copies of a text count once. Without labels of
+    several labels has the highest. Copies of a text count once. Every term that occurs in
+    ``LEAST_TEXTS`` of them and is surely commoner in toxic texts is taken. Without labels of
     both kinds the lexicon is empty and every score is the share of label 1.
     """
     bound_batches(docs.sparkSession)
@@ -126,21 +137,27 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
     lexicon = Lexicon()
     if sizes.t and sizes.c:
         odds = log_odds(F.col("toxic"), F.col("clean"), sizes.t, sizes.c)
-        least = max(3, sizes.t // 50)
-        best = counts.where(F.col("toxic") >= least).select("term", odds.alias("weight")).where("weight > 0")
-        lexicon.terms = {r.term: r.weight for r in best.orderBy(F.col("weight").desc(), "term").limit(MAX_TERMS).collect()}
-        chosen = rows.sparkSession.sparkContext.broadcast(vars(lexicon).copy())  # at most MAX_TERMS terms
+        best = counts.where(F.col("toxic") >= LEAST_TEXTS).select("term", odds.alias("weight")).where("weight > 0")
+        lexicon.terms = {r.term: r.weight for r in all_of(best)}
+        chosen = rows.sparkSession.sparkContext.broadcast(vars(lexicon).copy())  # at most MOST_TERMS terms
         phrases = rows.where("_part = 0").mapInArrow(lambda b: count_phrases(b, Lexicon(**chosen.value)), "term string, toxic long, clean long")
         phrases = phrases.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        harmless = phrases.where(F.col("clean") >= 3).select("term", log_odds(F.col("clean"), F.col("toxic"), sizes.c, sizes.t).alias("weight"))
-        harmless = harmless.where("weight > 0").orderBy(F.col("weight").desc(), "term").limit(MAX_EXCEPTIONS)
-        lexicon.exceptions = [r.term for r in harmless.collect()]
+        harmless = phrases.where(F.col("clean") >= LEAST_TEXTS).select("term", log_odds(F.col("clean"), F.col("toxic"), sizes.c, sizes.t).alias("weight"))
+        lexicon.exceptions = [r.term for r in all_of(harmless.where("weight > 0"))]
     shipped = rows.sparkSession.sparkContext.broadcast(vars(lexicon).copy())
     measured = rows.where("_part = 1").mapInArrow(lambda b: measure_rows(b, Lexicon(**shipped.value)), "_y int, weight double, words long").toPandas()
     lexicon.scale = logistic(inputs(measured["weight"].to_numpy(float), measured["words"].to_numpy(float)), measured["_y"].to_numpy(float))
     return lexicon
 
 
+def all_of(terms: DataFrame) -> list:
+    """All rows (term, weight) in order: what is significant in ``FIT_ROWS`` texts. None are left out: too many raise."""
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} significant terms: learn from fewer or shorter texts")
+    return sorted(rows, key=lambda r: (-r.weight, r.term))
+
+
 def log_odds(own: Column, other: Column, n_own: int, n_other: int) -> Column:
     """Log odds ratio of a term in texts of one label against the other, less ``SURE`` standard errors."""
     a, b, c, d = own + 0.5, n_own - own + 0.5, other + 0.5, n_other - other + 0.5
