@@ -47,9 +47,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
+MOST_METRICS = 10_000
+
+
 def metric_names(rows: DataFrame) -> list[str]:
-    """The metric names that occur: the columns of the report (a handful, fixed by the report format)."""
-    return sorted(r[0] for r in rows.select(F.explode(F.map_keys("metrics"))).distinct().collect())
+    """The metric names that occur, the columns of the report; more than ``MOST_METRICS`` raise."""
+    names = rows.select(F.explode(F.map_keys("metrics"))).distinct().limit(MOST_METRICS + 1).collect()
+    if len(names) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} metrics: name the ones to load")
+    return sorted(r[0] for r in names)
 
 
 def load_metrics(
