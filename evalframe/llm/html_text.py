@@ -12,6 +12,7 @@ part of the article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,11 +38,11 @@ BLOCK = frozenset(
 ) | NO_TEXT
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HOLDER = frozenset("article main section div td body".split())
-NAMED = frozenset("div section ul ol dl table td span p a figure fieldset details center li".split())
+NAMED = frozenset("div section ul ol dl table td p figure fieldset details center li".split())  # blocks: a word in a sentence is text whatever its class
 HINT = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert"
     " popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead header footer"
-    " comment comments disqus reply replies respond share sharing social related recommended widget toolbar pagination pager login search".split()
+    " comment comments commentlist commentbox commentform commentsection disqus reply replies respond share sharing social related recommended widget toolbar pagination pager login search".split()
 )
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -67,30 +68,32 @@ def left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects blocks: text, tags before its end, and the elements that hold it, outermost first."""
+    """Collects blocks: text, tags before its end, and the holder it is in; each holder knows the one around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out from here, number of the holder
-        self.out, self.tags, self.holders = 0, 0, 0
+        self.open: list[tuple[str, bool, int]] = []  # tag, left out from here, holder in it
+        self.counts: Counter[str] = Counter()  # of the open tags
+        self.out, self.tags = 0, 0
+        self.holders: list[tuple[str, int]] = [("", 0)]  # tag and the number of the holder around; 0 is the page
         self.text: list[str] = []
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...]]] = []
+        self.lines: list[tuple[str, int, int]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            path = tuple((tag, number) for tag, _, number in self.open if number)
-            self.lines.append((text, max(1, self.tags), path))
+            self.lines.append((text, max(1, self.tags), self.open[-1][2] if self.open else 0))
             self.tags = 0
 
     def pop(self) -> None:
-        _, out, _ = self.open.pop()
+        tag, out, _ = self.open.pop()
         self.out -= out
+        self.counts[tag] -= 1
 
     def close_head(self) -> None:
         """What can't stand in a head ends it, as its end tag may be left out."""
-        while any(tag == "head" for tag, _, _ in self.open):
+        while self.counts["head"]:
             self.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,7 +102,10 @@ class Lines(HTMLParser):
             self.close_head()
         if tag in BLOCK:
             self.flush()
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in HOLDER or self.open[i][0] == "p"), -1)
+            holder = self.open[-1][2] if self.open else 0
+            at = len(self.open) - 1
+            while self.counts["p"] and at >= 0 and self.open[at][0] != "p" and self.open[at][2] == holder and self.open[at][0] not in HOLDER:
+                at -= 1
             if at >= 0 and self.open[at][0] == "p":  # a block ends a paragraph
                 while len(self.open) > at:
                     self.pop()
@@ -110,8 +116,12 @@ class Lines(HTMLParser):
         if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
             self.pop()
         out = left_out(tag, attrs)
-        self.holders += 1
-        self.open.append((tag, out, self.holders if tag in HOLDER else 0))
+        holder = self.open[-1][2] if self.open else 0
+        if tag in HOLDER:
+            self.holders.append((tag, holder))
+            holder = len(self.holders) - 1
+        self.open.append((tag, out, holder))
+        self.counts[tag] += 1
         self.out += out
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -123,10 +133,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
-        if at >= 0:
-            while len(self.open) > at:
+        if self.counts[tag]:
+            while self.open[-1][0] != tag:
                 self.pop()
+            self.pop()
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
@@ -138,7 +148,8 @@ class Lines(HTMLParser):
         pass
 
 
-def lines_of(html: str) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
+def lines_of(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
+    """(lines, holders) of a page."""
     for source in (html, html.replace("<![", "&lt;![")):  # a marked section that the parser refuses is text
         parser = Lines()
         try:
@@ -148,7 +159,7 @@ def lines_of(html: str) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
             continue
         break
     parser.flush()
-    return parser.lines
+    return parser.lines, parser.holders
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -175,36 +186,47 @@ def main_text(html: str | None) -> str:
     together they hold ``HOLDS`` of the regions' text, else main is if it does, else the
     smallest element that holds all regions or, if that is the body, ``HOLDS`` of them.
     """
-    lines = lines_of(html or "")
+    lines, holders = lines_of(html or "")
     if not lines:
         return ""
     size = np.array([len(text) for text, _, _ in lines], float)
     ratio = size / np.array([tags for _, tags, _ in lines], float)
+    place = np.array([holder for _, _, holder in lines])
     level = smooth(ratio)
     content = level >= cluster_threshold(level)
-    held: dict[tuple[str, int], float] = {}
-    depth: dict[tuple[str, int], int] = {}
-    for (_, _, path), n in zip([x for x, c in zip(lines, content) if c], size[content]):
-        for d, holder in enumerate(path):
-            held[holder] = held.get(holder, 0.0) + n
-            depth[holder] = d
-
-    def within(chosen: set[tuple[str, int]]) -> np.ndarray:
-        return np.array([not chosen.isdisjoint(path) for _, _, path in lines])
+    held = np.bincount(place, size * content, len(holders))
+    touched = np.bincount(place, content, len(holders)) > 0
+    depth = np.zeros(len(holders), int)
+    for number in range(len(holders) - 1, 0, -1):  # a holder comes after the one around it
+        held[holders[number][1]] += held[number]
+        touched[holders[number][1]] |= touched[number]
+    for number in range(1, len(holders)):
+        depth[number] = depth[holders[number][1]] + 1
+
+    def within(chosen: list[int]) -> np.ndarray:
+        """Which lines are in one of the holders, at any depth."""
+        inside = np.zeros(len(holders), bool)
+        inside[chosen] = True
+        for number in range(1, len(holders)):
+            inside[number] |= inside[holders[number][1]]
+        return inside[place]
+
+    def named(*kinds: str) -> list[int]:
+        return [h for h in range(1, len(holders)) if touched[h] and holders[h][0] in kinds]
 
     def joined(kept: np.ndarray) -> str:
         return "\n\n".join(text for (text, _, _), k in zip(lines, kept) if k)
 
     total = size[content].sum()
     for kind in ("article", "main"):
-        marked = within({h for h in held if h[0] == kind})
+        marked = within(named(kind))
         if size[content & marked].sum() >= HOLDS * total:
             return joined(content | marked)
     for enough in (total, HOLDS * total):
-        able = [h for h in held if held[h] >= enough and h[0] != "body"]
+        able = [h for h in named(*HOLDER - {"body"}) if held[h] >= enough]
         if able:
-            return joined(content | within({max(able, key=lambda h: depth[h])}))
-    marked = within({h for h in held if h[0] in ("article", "main")})
+            return joined(content | within([max(able, key=lambda h: depth[h])]))
+    marked = within(named("article", "main"))
     if not marked.any() and not content.all() and ratio[content].mean() < APART * ratio[~content].mean():
         content[:] = True
     return joined(content | marked)
