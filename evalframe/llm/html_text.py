@@ -192,7 +192,7 @@ def main_text(html: str | None) -> str:
     size = np.array([len(text) for text, _, _ in lines], float)
     ratio = size / np.array([tags for _, tags, _ in lines], float)
     place = np.array([holder for _, _, holder in lines])
-    level = smooth(ratio)
+    level = np.round(smooth(ratio), 6)  # lines alike are alike, whatever floating point says
     content = level >= cluster_threshold(level)
     held = np.bincount(place, size * content, len(holders))
     touched = np.bincount(place, content, len(holders)) > 0
