@@ -20,7 +20,7 @@ def test_reader_comments_go():
 
 def test_deep_nesting_takes_linear_time():
     start = time.perf_counter()
-    assert html_text.main_text("<div><p>line of text " * 100_000).count("line of text") == 100_000
+    assert html_text.main_text("<article>" + "<div><p>line of text " * 100_000).count("line of text") == 100_000
     assert html_text.main_text("<b>" * 100_000 + "x</i>" * 100_000) == "x" * 100_000
     assert time.perf_counter() - start < 20
 
