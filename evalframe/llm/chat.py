@@ -67,22 +67,37 @@ def problems(schemas: Mapping[str, Mapping[str, Mapping]], name: Column, value:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def depths(nodes: DataFrame, edges: DataFrame, scope: Column) -> DataFrame:
     """(node, depth): the longest way to a node along edges (node, parent); NULL on and behind a cycle.
 
-    With one parent each, ways are doubled, so a chain of any length takes as many
-    rounds as its length has binary digits. With several, nodes whose parents are done follow
-    round by round, as many rounds as the longest way is long.
+    Edges stay within a ``scope`` (an expression over the node). Where no node of a scope has several
+    parents, ways are doubled, so a chain of any length takes as many rounds as its length has binary digits. Only the
+    scopes where one has are followed round by round, as many rounds as their longest way is long.
     """
     edges = materialize(edges.distinct(), "after")
-    if edges.groupBy("node").count().where("count > 1").isEmpty():
-        ways = materialize(nodes.join(edges, "node", "left").select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "ways")
-        for _ in range(max(1, ways.count()).bit_length() + 1):
-            if ways.where("up is not null").isEmpty():
-                break
-            above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-            ways = materialize(ways.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "ways")
-        return ways.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    several = edges.groupBy("node").count().where("count > 1").select(scope.alias("_scope")).distinct()
+    several = materialize(several, "several-parents")
+    if several.isEmpty():
+        return by_doubling(nodes, edges)
+    apart = lambda df, how: df.withColumn("_scope", scope).join(several, "_scope", how).drop("_scope")
+    doubled = by_doubling(apart(nodes, "left_anti"), apart(edges, "left_anti"))
+    return doubled.unionByName(by_rounds(apart(nodes, "left_semi"), apart(edges, "left_semi")))
+
+
+def by_doubling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Depths where every node has one parent at most: each round doubles the part of its way that a node knows."""
+    ways = materialize(nodes.join(edges, "node", "left").select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "ways")
+    for _ in range(max(1, ways.count()).bit_length() + 1):
+        if ways.where("up is not null").isEmpty():
+            break
+        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        ways = materialize(ways.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "ways")
+    return ways.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+def by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Depths of any graph: a node follows when all its parents are done."""
+    nodes = materialize(nodes, "nodes")
     done = materialize(nodes.join(edges, "node", "left_anti").select("node", F.lit(0).cast("long").alias("depth")), "depths")
     rest = materialize(edges, "waiting")
     while True:
@@ -125,7 +140,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapp
     edges = calls.select(node("conv_id", "call_id").alias("node"), "conv_id", F.explode(waits).alias("call_id"))
     edges = edges.select("node", node("conv_id", "call_id").alias("parent")).where("parent is not null")
     edges = edges.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    depth = materialize(depths(nodes, edges).withColumnRenamed("node", "of"), "call-depths")
+    depth = materialize(depths(nodes, edges, F.get_json_object("node", "$[0]")).withColumnRenamed("node", "of"), "call-depths")
     known = firsts.select(F.col("conv_id").alias("_conv_id"), F.col("call_id").alias("_call_id"), "call_at", "result_at", node("conv_id", "call_id").alias("id"))
     known = known.join(depth, F.col("id") == F.col("of"), "left").drop("id", "of")
     joined = rows.join(known, same(["conv_id"], "") & (F.col("call_id") == F.col("_call_id")) & (F.col("kind") != "message"), "left")

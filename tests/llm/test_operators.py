@@ -543,7 +543,7 @@ def test_depth_of_a_long_chain_and_a_cycle(spark):
     nodes = spark.range(200).select(F.col("id").cast("string").alias("node"))
     edges = spark.range(1, 150).select(F.col("id").cast("string").alias("node"), (F.col("id") - 1).cast("string").alias("parent"))
     edges = edges.union(spark.createDataFrame([("160", "161"), ("161", "160"), ("162", "161")], "node string, parent string"))
-    got = {int(r.node): r.depth for r in chat.depths(nodes, edges).collect()}
+    got = {int(r.node): r.depth for r in chat.depths(nodes, edges, F.lit(0)).collect()}
     assert [got[i] for i in range(150)] == list(range(150)) and got[155] == 0 and got[160] is got[161] is got[162] is None
 
 
