@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.features import best_accuracy, log_mean_exp, lookup, mean_chance, worst_accuracy
 from evalframe.functions.features import confidence, correct_target_likelihoods
+from evalframe.functions.text import share_longer_than
 from evalframe.metrics import binary
 from evalframe.metrics.baselines import BASELINES, attach, label_cells, score_systems, task_accuracy, with_distribution_baseline
 from evalframe.operators.quality import binary_label
@@ -35,6 +36,14 @@ def test_report(
 test_report.__test__ = False  # not a test case
 
 
+def report_with_long_share(
+    df: DataFrame, p: str, keys: list[str], max_tokens: int, text: str = "input", metrics: list[str] | None = None, label: str = "correct"
+) -> DataFrame:
+    """The test report of each group beside the share of its texts of more than ``max_tokens`` tokens (``n_long_sequences``)."""
+    long = share_longer_than(df, max_tokens, keys, text).select(*keys, "n_long_sequences")
+    return attach(test_report(df, p, keys, metrics, label), long, keys)
+
+
 def tasks_and_total(df: DataFrame, *aggregates: Column, group: str = "task", total: str = "total") -> DataFrame:
     """Per-task rows plus one row over everything, in one pass (grouping sets)."""
     rows = df.groupingSets([[F.col(group)], []], F.col(group)).agg(F.grouping(group).alias("_total"), *aggregates)

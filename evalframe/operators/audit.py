@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.features import lookup
@@ -117,37 +117,31 @@ def _continues(query, previous):
     return query["query_type"].eqNullSafe(previous["query_type"]) & F.coalesce(one_more, F.lit(False))
 
 
-_SERIES_ROW = (
-    "struct<query_idx:int,query_type:string,shots:int,series:int,head_idx:int,inputs:array<string>,head_inputs:array<string>>"
-)
+_SERIES_ROW = "struct<query_idx:int,query_type:string,shots:int,series:int,head_idx:int>"
 _SERIES_STATE = f"struct<last:{_SERIES_ROW},rows:array<{_SERIES_ROW}>>"
 
 
-def _series_rows(files: DataFrame, with_inputs: bool) -> DataFrame:
-    """Each query of a file with its series and the query the series starts at.
+def _series_rows() -> Column:
+    """Each query of a file with its series and the place of the query that the series starts at.
 
-    One fold over the file's own array: nothing is shuffled, and each query
-    finds the inputs of its series' head beside its own.
+    One fold over the file's own array: nothing is shuffled, and the state holds
+    places, no texts.
     """
-    none = F.lit(None).cast("array<string>")
     start = F.struct(F.lit(None).cast(_SERIES_ROW), F.array().cast(f"array<{_SERIES_ROW}>")).cast(_SERIES_STATE)
 
     def step(state, q):
         last = state["last"]
         goes_on = last.isNotNull() & _continues(q, last)
         position = F.size(state["rows"])
-        inputs = F.transform(q["samples"], lambda s: s["input"]) if with_inputs else none
         row = F.struct(
             position, q["query_type"], q["shots"],
             F.when(goes_on, last["series"]).otherwise(F.coalesce(last["series"] + 1, F.lit(0))),
             F.when(goes_on, last["head_idx"]).otherwise(position),
-            inputs,
-            F.when(goes_on, last["head_inputs"]).otherwise(inputs),
         ).cast(_SERIES_ROW)
         return F.struct(row, F.concat(state["rows"], F.array(row))).cast(_SERIES_STATE)
 
-    rows = F.aggregate("queries", start, step, lambda state: state["rows"])
-    return files.select(*FILE_KEYS, F.explode(rows).alias("q")).select(*FILE_KEYS, "q.*")
+    headers = F.transform("queries", lambda q: F.struct(q["query_type"].alias("query_type"), q["shots"].alias("shots")))
+    return F.aggregate(headers, start, step, lambda state: state["rows"])
 
 
 def shot_series(files: DataFrame) -> DataFrame:
@@ -156,17 +150,23 @@ def shot_series(files: DataFrame) -> DataFrame:
     A new series starts when the type changes, shots are NULL, or shots are not
     the previous ones plus one.
     """
-    return _series_rows(files, False).select(*FILE_KEYS, "query_idx", "query_type", "shots", "series")
+    rows = files.select(*FILE_KEYS, F.explode(_series_rows()).alias("q"))
+    return rows.select(*FILE_KEYS, "q.query_idx", "q.query_type", "q.shots", "q.series")
 
 
 def shot_violations(files: DataFrame) -> DataFrame:
-    """Samples that are not the instance their series starts with (few-shot identity)."""
-    later = _series_rows(files, True).where("query_idx > head_idx")
-    pairs = F.arrays_zip(F.col("inputs").alias("input"), F.col("head_inputs").alias("reference"))
-    rows = later.select(*FILE_KEYS, "series", "query_idx", F.posexplode(pairs).alias("sample_idx", "z"))
-    rows = rows.select(*FILE_KEYS, "series", "query_idx", "sample_idx", "z.input", "z.reference").where("input is not null")
+    """Samples that are not the instance their series starts with (few-shot identity).
+
+    A sample and its counterpart are fetched from the file's array by their places.
+    """
+    later = files.select(*FILE_KEYS, "queries", F.explode(_series_rows()).alias("q")).where("q.query_idx > q.head_idx")
+    samples = lambda place: F.get("queries", F.col(place))["samples"]
+    places = F.sequence(F.lit(0), F.size(samples("q.query_idx")) - 1)
+    rows = later.where(F.size(samples("q.query_idx")) > 0).select("*", F.explode(places).alias("sample_idx"))
+    text = lambda place: F.get(samples(place), F.col("sample_idx"))["input"]
+    rows = rows.select(*FILE_KEYS, "q.series", "q.query_idx", "sample_idx", text("q.query_idx").alias("input"), text("q.head_idx").alias("reference"))
     same = F.coalesce(same_instance(F.col("input"), F.col("reference")), F.lit(False))
-    return rows.where(~same)
+    return rows.where(F.col("input").isNotNull() & ~same)
 
 
 # ---- counts -----------------------------------------------------------------

@@ -319,6 +319,13 @@ def reverse_cumulative(scores: DataFrame, bins: int = 99, column: str = "score")
     return counts.withColumn("n_at_least", F.sum("n").over(above))
 
 
+def reverse_cumulative_share(scores: DataFrame, bins: int = 99, column: str = "score") -> DataFrame:
+    """``reverse_cumulative`` with the share of the counted tasks that are in the bin or above it."""
+    curve = reverse_cumulative(scores, bins, column)
+    whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # <= `bins` rows
+    return curve.withColumn("share_at_least", F.col("n_at_least") / F.max("n_at_least").over(whole))
+
+
 def count_above(scores: DataFrame, thresholds: list[float], column: str = "score") -> DataFrame:
     limits = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     return scores.select(column, limits.alias("threshold")).groupBy("threshold").agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe import schema as S
@@ -114,7 +114,11 @@ def eval_samples(files: DataFrame) -> DataFrame:
         pair_queries(F.col("queries")),
         lambda p: _row(p["gen"]["idx"], S.PAIRED, p["gen"]["shots"], _zip_samples(p["gen"], p["sco"])),
     )
-    queries = numbered.select(*FILE_KEYS, F.explode(F.concat(choice, paired)).alias("q")).select(*FILE_KEYS, "q.*")
+    return _samples(numbered.select(*FILE_KEYS, F.explode(F.concat(choice, paired)).alias("q")).select(*FILE_KEYS, "q.*"))
+
+
+def _samples(queries: DataFrame) -> DataFrame:
+    """One row per sample of (file keys, query_idx, query_type, shots, samples)."""
     samples = queries.select(
         *FILE_KEYS, "shots", "query_type", "query_idx", F.posexplode("samples").alias("sample_idx", "s")
     )
@@ -124,6 +128,42 @@ def eval_samples(files: DataFrame) -> DataFrame:
     )
 
 
+def pairs_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFrame:
+    """(file…, pair, query_idx, is_generative): the queries that form pairs, by the rule of ``pair_queries``.
+
+    Works on rows of (file…, query_idx, query_type) without their samples, in the order of ``query_idx``.
+    """
+    order = Window.partitionBy(*file).orderBy("query_idx")
+    others = queries.select(*file, "query_idx", query_type_tag(F.col("query_type")).alias("query_type"))
+    others = others.where(F.col("query_type") != S.MULTIPLE_CHOICE).withColumn("_n", F.row_number().over(order) - 1)
+    first = F.col("_n") % 2 == 0
+    fits = F.col("query_type") == F.when(first, S.GENERATIVE).otherwise(S.SCORING)
+    placed = others.withColumns({"pair": F.floor(F.col("_n") / 2), "is_generative": first, "_fits": fits})
+    whole = placed.groupBy(*file, "pair").agg((F.count("*") == 2).alias("_whole"), F.bool_and("_fits").alias("_good"))
+    upto = Window.partitionBy(*file).orderBy("pair")
+    kept = whole.where("_whole").withColumn("_all_good", F.bool_and("_good").over(upto)).where("_all_good").select(*file, "pair")
+    return placed.join(kept, [*file, "pair"]).select(*file, "pair", "query_idx", "is_generative")
+
+
+def eval_samples_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFrame:
+    """The table of ``eval_samples`` from a row per query, so that no file has to be one row.
+
+    ``queries`` has (file keys…, query_idx, query_type, shots, samples) and is read three times: store it first.
+    ``file`` names the columns that tell files apart. Samples of choice queries stay where they are; those of pairs meet by (file, pair).
+    """
+    keys = list(dict.fromkeys([*FILE_KEYS, *file]))
+    choice = queries.where(F.col("query_type") == S.MULTIPLE_CHOICE).select(
+        *FILE_KEYS, _row(F.col("query_idx"), S.MULTIPLE_CHOICE, F.col("shots"), F.transform("samples", _choice_sample)).alias("q")
+    )
+    placed = queries.join(pairs_of_queries(queries, file), [*file, "query_idx"])
+    generative = placed.where("is_generative").select(*keys, "pair", F.struct("query_idx", "shots", "samples").alias("gen"))
+    scoring = placed.where("not is_generative").select(*file, "pair", F.struct("samples").alias("sco"))
+    paired = generative.join(scoring, [*file, "pair"]).select(
+        *FILE_KEYS, _row(F.col("gen.query_idx"), S.PAIRED, F.col("gen.shots"), _zip_samples(F.col("gen"), F.col("sco"))).alias("q")
+    )
+    return _samples(choice.unionByName(paired).select(*FILE_KEYS, "q.*"))
+
+
 def stack_frames(*frames: DataFrame) -> DataFrame:
     """Concatenate frames whose columns differ; missing columns become NULL."""
     if not frames:

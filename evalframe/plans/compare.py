@@ -358,6 +358,15 @@ def c20(spark, sf):
     return C.reverse_cumulative(_preferred(spark, sf))
 
 
+@query(
+    "C20_reverse_cumulative_share",
+    f"""with {_PREFERRED}, b as (select cast(least(floor(score), 98) as int) as bin, count(*) as n from ps where score >= 0 group by 1)
+    select bin, n, cast(sum(n) over (order by bin desc) as bigint) as n_at_least, {r('sum(n) over (order by bin desc) / sum(n) over ()')} as share_at_least from b""",
+)
+def c20_share(spark, sf):
+    return rounded(C.reverse_cumulative_share(_preferred(spark, sf)))
+
+
 @query(
     "C20_count_above",
     f"with {_PREFERRED} select threshold, count(*) filter (score > threshold) as n_above from ps, (values (10.0::double), (20.0::double), (30.0::double)) as t(threshold) group by 1",

@@ -12,6 +12,7 @@ from evalframe.plans.registry import query
 from evalframe.plans.sources import EV_NAMED, ev_named, raw_documents, sql_list
 from evalframe.plans.sqltext import r, rounded
 from evalframe.sources import catalog
+from evalframe.sources.documents import flatten_documents, paths_of
 from evalframe.sources.reports import flatten_record
 
 WORDS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -224,6 +225,39 @@ def p20(spark, sf):
     return flatten_record(raw_documents(V.log_files(spark, sf)).select("task", "model"), sep="_")
 
 
+# documents of three shapes and depths
+_SHAPES = """case event_id % 3
+  when 0 then to_json(named_struct('id', event_id, 'user', named_struct('id', user_id, 'type', event_type)))
+  when 1 then to_json(named_struct('id', event_id, 'user', named_struct('id', user_id, 'last', named_struct('value', named_struct('of', value)))))
+  else to_json(named_struct('id', event_id, 'tags', array(event_type, props))) end"""
+
+
+@query(
+    "P20_flatten_documents",
+    f"""select event_id, event_id as "id", case when event_id % 3 < 2 then user_id end as "user_id", case when event_id % 3 = 0 then event_type end as "user_type",
+      case when event_id % 3 = 1 then {r('value')} end as "user_last_value_of",
+      case when event_id % 3 = 2 then len(event_type) + 2 + len(to_json(props)) + 3 end as n_tags from events""",
+)
+def p20_documents(spark, sf):
+    """Columns learned from the documents; arrays are JSON text."""
+    docs = V.table(spark, sf, "events").select("event_id", F.expr(_SHAPES).alias("value"))
+    flat = flatten_documents(docs, sep="_")
+    return rounded(flat.withColumn("n_tags", F.length("tags").cast("long")).drop("tags"))
+
+
+@query(
+    "P20_document_paths",
+    """with d as (select event_id % 3 as kind, count(*) as n from events group by 1),
+    p as (select * from (values (0, 'id', 'BIGINT'), (0, 'user.id', 'BIGINT'), (0, 'user.type', 'STRING'), (1, 'id', 'BIGINT'), (1, 'user.id', 'BIGINT'),
+      (2, 'id', 'BIGINT'), (2, 'tags', 'ARRAY')) as t(kind, path, type))
+    select path, type, cast(sum(n) as bigint) as n from p join d using (kind) group by all""",
+)
+def p20_paths(spark, sf):
+    docs = V.table(spark, sf, "events").select("event_id", F.expr(_SHAPES).alias("value"))
+    paths = paths_of(docs, ["event_id"]).where("path <> 'user.last.value.of'")  # a number's own type differs from row to row
+    return paths.groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
 _RATES = catalog.PRICES_PER_1000_TOKENS | {"all": sum(catalog.PRICES_PER_1000_TOKENS.values())}
 _RATE_ROWS = ", ".join(f"('{k}', {v!r}::double)" for k, v in _RATES.items())
 

@@ -198,6 +198,16 @@ def m19(spark, sf):
     return rounded(report.test_report(V.ev_binary(spark, sf), "assr"))
 
 
+@query(
+    "M19_report_long_sequences",
+    f"""with {V.EV_BINARY_SQL} select shots, {r('avg(cast(cast(assr > 0.5 as int) = correct as double))')} as test_accuracy, {r('avg((correct - assr) * (correct - assr))')} as test_bs,
+      count(*) as instance_count, {r(f"avg(cast({n_tokens_sql('input')} > 9 as double))")} as n_long_sequences from eb group by shots""",
+)
+def m19_long(spark, sf):
+    table = report.report_with_long_share(V.ev_binary(spark, sf), "assr", ["shots"], 9, metrics=["accuracy", "brier"])
+    return rounded(table.select("shots", "test_accuracy", "test_bs", "instance_count", "n_long_sequences"))
+
+
 REPORT_PER_TASK = f"""{V.EV_BINARY_SQL}, {DISTRIBUTION}, {_system_ctes(['task'], 'ebd', _SYSTEMS)},
   rp as (select sa.task, {_REPORT_CELLS}, {r('c.a')} as test_task_accuracy, c.instance_count from sa join bd using (task) join bn using (task) join ba using (task)
     join (select task, avg(correct) as a, count(*) as instance_count from eb group by task) c using (task))"""

@@ -327,6 +327,18 @@ def r02(spark, sf):
     return _flat(spark, sf).where(F.col("query_type") == S.PAIRED)
 
 
+@query(
+    "R02_eval_samples_by_query",
+    f"""with {V.LOG_PAIRS_SQL} select task, model_family, model_name, shots, query_type, query_idx, sample_idx, input,
+    cast(len(targets) as int) as n_targets, correct, output from es""",
+)
+def r02_by_query(spark, sf):
+    """The whole sample table from a stored row per query: no file is a row."""
+    queries = logs.queries_of(V.log_files(spark, sf)).drop("function", "n_samples")
+    flat = flatten.eval_samples_of_queries(materialize(queries, "queries"))
+    return flat.select(*logs.FILE_KEYS, "shots", "query_type", "query_idx", "sample_idx", "input", F.size("targets").alias("n_targets"), "correct", "output")
+
+
 @query(
     "R03_merge_pair",
     f"""with {V.LOG_PAIRS_SQL} select task, model_name, count(*) as n, cast(sum(len(list_distinct(targets))) as bigint) as n_distinct_targets,

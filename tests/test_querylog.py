@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalframe.operators import flatten
 from evalframe.sources import logs, querylog
 from evalframe.sources.logs import LogFilter
 from test_logs import choice, document, generative, logdir, scoring  # noqa: F401
@@ -110,3 +111,19 @@ def test_documents_written_by_name(spark, tmp_path):
     assert querylog.write_documents(df, f"file:{tmp_path}/logs").agg(F.sum("n_bytes")).first()[0] == 2 * len(doc)
     got = querylog.read_queries(spark, f"{tmp_path}/logs").groupBy("directory", "family", "size").count().collect()
     assert sorted(map(tuple, got)) == [("t", "A", "8b", 2), ("u", "B", "2m", 2)]
+
+
+def test_sample_table_from_queries(spark, tmp_path):
+    """The same rows as from whole files: pairs by position, cut at the first bad one, an odd one left out."""
+    files = {"x_A_8b": [choice(0), generative(0), scoring(0), choice(1), generative(1, ["c"]), scoring(1, ["c"]), generative(2)],
+             "x_A_2m": [generative(0), scoring(0), scoring(1), generative(1), generative(2), scoring(2)], "x_B_8b": [scoring(0), choice(0)], "x_B_2m": []}
+    for task in ("t", "u"):
+        (tmp_path / task).mkdir()
+        for stem, found in files.items():
+            _, family, size = stem.split("_")
+            (tmp_path / task / f"{stem}.json").write_text(json.dumps(document(task, family, size, found)))
+    rows = querylog.with_samples(querylog.read_queries(spark, str(tmp_path)), "path")
+    mine = flatten.eval_samples_of_queries(rows, ["path"])
+    whole = flatten.eval_samples(logs.read_result_files(spark, str(tmp_path)))
+    text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct(*whole.columns)).alias("j")).collect())
+    assert text(mine) == text(whole) and len(text(whole)) == 2 * (2 + 2 + 2 + 1 + 2 + 2)

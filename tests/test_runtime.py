@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalframe import runtime
 from evalframe.runtime import join_per_key, lowest_hash_cut, materialize, number_rows, prefix_sums, seeded_hash, spread
 
 
@@ -93,3 +94,11 @@ def test_spread_leaves_large_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide) is wide
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "scratch_root", lambda spark: f"file:{tmp_path}")
+    table = materialize(spark.range(3), "numbers")
+    assert table.count() == 3 and any(tmp_path.rglob("*.parquet"))
+    runtime.drop_scratch(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
