@@ -46,6 +46,7 @@ FIT_ROWS = 20_000  # labelled rows that are learned from, at most (about)
 LEAST_TEXTS = 3  # labelled texts that a term or an exception must occur in
 MOST_TERMS = 1_000_000  # significant terms, or exceptions; more raise
 SURE = 1.64  # standard errors that a log odds ratio is lowered by
+SURPRISE = 24.0  # least G statistic of a term: chance in one of a million, as about so many terms are looked at
 
 
 def fold(text: str) -> str:
@@ -117,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
     About ``fit_rows`` labelled ids at most, chosen by a hash of the id, are
     learned from; that bounds what is broadcast and collected. An id with
     several labels has the highest. Copies of a text count once. Every term that occurs in
-    ``LEAST_TEXTS`` of them and is surely commoner in toxic texts is taken. Without labels of
+    ``LEAST_TEXTS`` of them and is surely commoner in toxic texts (``SURPRISE``) is taken. Without labels of
     both kinds the lexicon is empty and every score is the share of label 1.
     """
     bound_batches(docs.sparkSession)
@@ -137,7 +138,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
     lexicon = Lexicon()
     if sizes.t and sizes.c:
         odds = log_odds(F.col("toxic"), F.col("clean"), sizes.t, sizes.c)
-        best = counts.where(F.col("toxic") >= LEAST_TEXTS).select("term", odds.alias("weight")).where("weight > 0")
+        sure = (F.col("toxic") >= LEAST_TEXTS) & (surprise(F.col("toxic"), F.col("clean"), sizes.t, sizes.c) >= SURPRISE)
+        best = counts.where(sure).select("term", odds.alias("weight")).where("weight > 0")
         lexicon.terms = {r.term: r.weight for r in all_of(best)}
         chosen = rows.sparkSession.sparkContext.broadcast(vars(lexicon).copy())  # at most MOST_TERMS terms
         phrases = rows.where("_part = 0").mapInArrow(lambda b: count_phrases(b, Lexicon(**chosen.value)), "term string, toxic long, clean long")
@@ -150,6 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id
     return lexicon
 
 
+def surprise(own: Column, other: Column, n_own: int, n_other: int) -> Column:
+    """The G statistic of a term's counts in texts of both labels: twice the log likelihood ratio against equal shares."""
+    share = (own + other) / F.lit(n_own + n_other)
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    cells = [(own, n_own * share), (other, n_other * share), (n_own - own, n_own * (1 - share)), (n_other - other, n_other * (1 - share))]
+    return 2 * sum((part(seen, expected) for seen, expected in cells), F.lit(0.0))
+
+
 def all_of(terms: DataFrame) -> list:
     """All rows (term, weight) in order: what is significant in ``FIT_ROWS`` texts. None are left out: too many raise."""
     rows = terms.limit(MOST_TERMS + 1).collect()
