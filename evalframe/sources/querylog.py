@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType
 
 from evalframe import schema as S
@@ -181,38 +181,17 @@ def model_of(path: str) -> tuple[str, str | None, str | None]:
     return directory, family, parts[2] if len(parts) > 2 else None
 
 
-def holds(filter_: Filter, values: dict) -> bool:
-    """Does a filter hold for values that are known? What isn't known passes."""
-    column = filter_.attribute[0]
-    if column not in values:
-        return True
-    value = values[column]
-    match filter_:
-        case EqualTo():
-            return value is not None and value == filter_.value
-        case EqualNullSafe():
-            return value == filter_.value
-        case In():
-            return value is not None and value in filter_.value
-        case IsNotNull():
-            return value is not None
-        case IsNull():
-            return value is None
-    return True
+def holds(conditions: dict[str, list], values: dict) -> bool:
+    """Are the values that are known among those allowed? ``!column`` lists what isn't; a column that isn't known passes."""
+    return all(
+        (values[c] not in allowed if name[0] == "!" else values[c] in allowed)
+        for name, allowed in conditions.items() if (c := name.lstrip("!")) in values
+    )
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.filters = options["path"], []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Take what the path or a query's own values decide; Spark applies the rest."""
-        for f in filters:
-            simple = isinstance(f, (EqualTo, EqualNullSafe, In, IsNotNull, IsNull)) and len(f.attribute) == 1
-            if simple and f.attribute[0] in OF_FILE + OF_QUERY:
-                self.filters.append(f)
-            else:
-                yield f
+        self.root, self.conditions = options["path"], json.loads(options.get("conditions", "{}"))
 
     def partitions(self) -> list[Files]:
         """Files that pass, small ones together."""
@@ -221,7 +200,7 @@ class Reader(DataSourceReader):
         out, held = [Files([])], 0
         for info in sorted(found, key=lambda i: i.path):
             known = dict(zip(OF_FILE, model_of(info.path)))
-            if info.is_file and info.path.endswith(".json") and all(holds(f, known) for f in self.filters):
+            if info.is_file and info.path.endswith(".json") and holds(self.conditions, known):
                 if held and held + info.size > PARTITION_BYTES:
                     out.append(Files([]))
                     held = 0
@@ -231,7 +210,7 @@ class Reader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, _ = system_of(self.root)
-        wanted = lambda values: all(holds(f, values) for f in self.filters if f.attribute[0] in OF_QUERY)
+        wanted = lambda values: holds(self.conditions, values)
         for path in partition.paths:
             try:
                 with system.open_input_stream(path) as stream:
@@ -262,27 +241,20 @@ class ResultFiles(DataSource):
 def read_queries(spark: SparkSession, logdir: str, spec: LogFilter = LogFilter()) -> DataFrame:
     """One row per query of ``<logdir>/<task>/x_<family>_<size>.json`` that passes ``spec``, samples unparsed.
 
-    Conditions are ordinary ones on the columns; the source takes over those that it can decide earlier.
-    Documents that aren't result files fail the job, but only if a condition lets them be opened.
+    Documents that aren't result files fail the job, but only if the conditions on tasks and models let them be opened.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(ResultFiles)
-    rows = spark.read.format("result_files").load(logdir)
     if spec.tasks is not None:
-        rows = rows.where(F.col("directory").isin(catalog.resolve_tasks(spec.tasks, exclude_faulty=spec.exclude_faulty_tasks)))
+        conditions = {"directory": catalog.resolve_tasks(spec.tasks, exclude_faulty=spec.exclude_faulty_tasks)}
     else:
-        dropped = catalog.NOT_IN_FULL_LIST + (catalog.FAULTY_TASKS if spec.exclude_faulty_tasks else [])
-        rows = rows.where(~F.col("directory").isin(dropped))
-    for column, values in (("family", spec.model_families), ("size", spec.model_sizes), ("query_type", spec.query_types), ("function", spec.query_functions)):
-        if values is not None:
-            rows = rows.where(F.col(column).isin(values))
-    if spec.shots is not None and not spec.include_unknown_shots:
-        rows = rows.where(F.col("shots").isin(spec.shots))
-    elif spec.shots is not None:
-        rows = rows.where(F.col("shots").isin(spec.shots) | F.col("shots").isNull())
+        conditions = {"!directory": catalog.NOT_IN_FULL_LIST + (catalog.FAULTY_TASKS if spec.exclude_faulty_tasks else [])}
+    lists = {"family": spec.model_families, "size": spec.model_sizes, "query_type": spec.query_types, "function": spec.query_functions}
+    conditions |= {column: list(values) for column, values in lists.items() if values is not None}
+    if spec.shots is not None:
+        conditions["shots"] = [*spec.shots, *([None] if spec.include_unknown_shots else [])]
     elif not spec.include_unknown_shots:
-        rows = rows.where("shots is not null")
-    return rows
+        conditions["!shots"] = [None]
+    spark.dataSource.register(ResultFiles)
+    return spark.read.format("result_files").option("conditions", json.dumps(conditions)).load(logdir)
 
 
 def with_samples(rows: DataFrame, *more: str) -> DataFrame:
