@@ -16,12 +16,16 @@ POSITION = ["task", "query_idx", "sample_idx"]
 
 
 def input_mismatches(samples: DataFrame, reference_model: str) -> DataFrame:
-    """Samples whose input differs from the reference model's at the same position."""
+    """Samples whose input differs from the reference model's at the same position.
+
+    The reference is a fixed part of all samples, and what Spark expects of rows expanded from arrays
+    is far below their number: both sides are sorted by position, neither is gathered to be broadcast.
+    """
     reference = samples.where(F.col("model_name") == reference_model).select(
         *POSITION, F.col("input").alias("reference_input")
     )
     others = samples.where(F.col("model_name") != reference_model)
-    return others.join(reference, POSITION).where(F.col("input") != F.col("reference_input"))
+    return others.join(reference.hint("merge"), POSITION).where(F.col("input") != F.col("reference_input"))
 
 
 def require_same_order(samples: DataFrame, reference_model: str) -> None:

@@ -105,3 +105,13 @@ def test_nonempty_tasks_keep_list_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "task string")
     assert [r["task"] for r in K.nonempty_in_list_order(df, ["c", "b", "a"]).collect()] == ["b", "a"]
     assert K.sizes_by_query_type(df.withColumn("query_type", F.lit("x"))).first()["n_tasks"] == 2
+
+
+def test_reference_is_not_gathered_for_input_mismatches(spark):
+    """The estimate of a small table says nothing about rows expanded from its arrays."""
+    samples = spark.range(1).selectExpr("'t' as task", "explode(array('8b', '128b')) as model_name", "0 as query_idx").selectExpr(
+        "*", "posexplode(array('i', if(model_name = '8b', '8bi', '128bi'))) as (sample_idx, input)"
+    )
+    found = K.input_mismatches(samples, "128b")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["model_name"], r["sample_idx"], r["input"], r["reference_input"]) for r in found.collect()] == [("8b", 1, "8bi", "128bi")]
