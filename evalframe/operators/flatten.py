@@ -6,6 +6,7 @@ so flattening reads each file once and shuffles nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,25 +24,17 @@ def query_type_tag(kind: Column) -> Column:
     )
 
 
-def _unified(sample: Column, **changed: Column) -> Column:
-    """A sample struct with the columns of both query kinds."""
-    columns = {name: sample[name] for name in S.RAW_SAMPLE.fieldNames()}
-    columns["targets"] = F.from_json(sample["targets"], S.TARGET_LIST)
-    columns |= changed
-    return F.struct(*[c.alias(n) for n, c in columns.items()])
-
-
-def _choice_sample(sample: Column) -> Column:
-    return _unified(sample, output=F.lit(None).cast("string"))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def best_exact_match(generative_targets: Column) -> Column:
     """Highest ``exact_str_match`` over the generative targets; at least one must exist."""
-    targets = F.from_json(generative_targets, S.TARGET_OBJECT)
-    matches = F.transform(F.map_values(targets), lambda m: m["exact_str_match"])
-    return F.when(F.size(targets) >= 1, F.array_max(matches)).otherwise(
-        F.raise_error(F.lit("Generative sample without targets."))
-    )
+    matches = lambda targets: F.transform(F.map_values(targets), lambda m: m["exact_str_match"])
+    none = F.raise_error(F.lit("Generative sample without targets."))
+    best = lambda targets: F.when(F.size(targets) >= 1, F.array_max(matches(targets))).otherwise(none)
+    return _once(F.from_json(generative_targets, S.TARGET_OBJECT), best)
 
 
 def every_target_correct(targets: Column) -> Column:
@@ -51,17 +44,11 @@ def every_target_correct(targets: Column) -> Column:
 
 
 def merge_pair(generative: Column, scoring: Column) -> Column:
-    """The scoring sample with output and correctness of its generative twin."""
+    """The scoring sample with output and correctness of its generative twin; its targets are still text."""
     same = generative["input"].eqNullSafe(scoring["input"])
     text = F.when(same, scoring["input"]).otherwise(F.raise_error(F.lit("Paired samples have different inputs.")))
-    return _unified(
-        scoring,
-        input=text,
-        output=generative["output"],
-        target_values=every_target_correct(F.from_json(scoring["targets"], S.TARGET_LIST)),
-        correct=best_exact_match(generative["targets"]),
-        metrics=F.lit(None).cast(S.METRIC_MAP),
-    )
+    changed = {"input": text, "correct": best_exact_match(generative["targets"]), "output": generative["output"]}
+    return F.struct(*[changed.get(name, scoring[name]).alias(name) for name in S.RAW_SAMPLE.fieldNames()])
 
 
 def _zip_samples(generative: Column, scoring: Column) -> Column:
@@ -80,14 +67,13 @@ def pair_queries(queries: Column) -> Column:
     on that is not (generative, scoring).
     """
     others = F.filter(queries, lambda q: query_type_tag(q["query_type"]) != S.MULTIPLE_CHOICE)
-    first = F.filter(others, lambda q, i: i % 2 == 0)
-    second = F.filter(others, lambda q, i: i % 2 == 1)
-    pairs = F.filter(F.arrays_zip(first.alias("gen"), second.alias("sco")), lambda p: p["sco"].isNotNull())
-    good = F.transform(
-        pairs, lambda p: (p["gen"]["query_type"] == S.GENERATIVE) & (p["sco"]["query_type"] == S.SCORING)
-    )
-    first_bad = F.array_position(good, F.lit(False))
-    return F.slice(pairs, F.lit(1), F.when(first_bad == 0, F.size(pairs)).otherwise(first_bad - 1).cast("int"))
+    side = lambda rest: lambda q, i: i % 2 == rest
+    zipped = lambda o: F.arrays_zip(F.filter(o, side(0)).alias("gen"), F.filter(o, side(1)).alias("sco"))
+    pairs = F.filter(_once(others, zipped), lambda p: p["sco"].isNotNull())
+    is_good = lambda p: (p["gen"]["query_type"] == S.GENERATIVE) & (p["sco"]["query_type"] == S.SCORING)
+    upto = lambda ps, bad: F.when(bad == 0, F.size(ps)).otherwise(bad - 1).cast("int")
+    first_bad = lambda ps: F.array_position(F.transform(ps, is_good), F.lit(False))
+    return _once(pairs, lambda ps: F.slice(ps, F.lit(1), _once(first_bad(ps), lambda bad: upto(ps, bad))))
 
 
 def _row(query_idx: Column, query_type: str, shots: Column, samples: Column) -> Column:
@@ -108,7 +94,7 @@ def eval_samples(files: DataFrame) -> DataFrame:
     )
     choice = F.transform(
         F.filter("queries", lambda q: q["query_type"] == S.MULTIPLE_CHOICE),
-        lambda q: _row(q["idx"], S.MULTIPLE_CHOICE, q["shots"], F.transform(q["samples"], _choice_sample)),
+        lambda q: _row(q["idx"], S.MULTIPLE_CHOICE, q["shots"], q["samples"]),
     )
     paired = F.transform(
         pair_queries(F.col("queries")),
@@ -118,14 +104,22 @@ def eval_samples(files: DataFrame) -> DataFrame:
 
 
 def _samples(queries: DataFrame) -> DataFrame:
-    """One row per sample of (file keys, query_idx, query_type, shots, samples)."""
-    samples = queries.select(
-        *FILE_KEYS, "shots", "query_type", "query_idx", F.posexplode("samples").alias("sample_idx", "s")
-    )
+    """One row per sample of (file keys, query_idx, query_type, shots, samples), with the columns of both query kinds.
+
+    Targets are parsed per row, so that Spark parses them once, and only where they are asked for.
+    """
+    keys = [*FILE_KEYS, "shots", "query_type", "query_idx", "sample_idx"]
+    samples = queries.select(*keys[:-1], F.posexplode("samples").alias("sample_idx", "s"))
     key = F.concat_ws("|", *FILE_KEYS, "query_idx", "sample_idx")
-    return samples.select(
-        *FILE_KEYS, "shots", "query_type", "query_idx", "sample_idx", key.alias("sample_key"), "s.*"
-    )
+    fields = {name: F.col(f"s.{name}") for name in S.RAW_SAMPLE.fieldNames()}
+    parsed = samples.select(*keys, key.alias("sample_key"), *[c.alias(n) for n, c in (fields | {"targets": F.from_json(fields["targets"], S.TARGET_LIST)}).items()])
+    paired = F.col("query_type") == S.PAIRED
+    of_kind = {
+        "target_values": F.when(paired, every_target_correct(F.col("targets"))).otherwise(F.col("target_values")),
+        "output": F.when(paired, F.col("output")),
+        "metrics": F.when(~paired, F.col("metrics")),
+    }
+    return parsed.select(*[of_kind.get(c, F.col(c)).alias(c) for c in parsed.columns])
 
 
 def pairs_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFrame:
@@ -153,7 +147,7 @@ def eval_samples_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) ->
     """
     keys = list(dict.fromkeys([*FILE_KEYS, *file]))
     choice = queries.where(F.col("query_type") == S.MULTIPLE_CHOICE).select(
-        *FILE_KEYS, _row(F.col("query_idx"), S.MULTIPLE_CHOICE, F.col("shots"), F.transform("samples", _choice_sample)).alias("q")
+        *FILE_KEYS, _row(F.col("query_idx"), S.MULTIPLE_CHOICE, F.col("shots"), F.col("samples")).alias("q")
     )
     placed = queries.join(pairs_of_queries(queries, file), [*file, "query_idx"])
     generative = placed.where("is_generative").select(*keys, "pair", F.struct("query_idx", "shots", "samples").alias("gen"))

@@ -101,13 +101,16 @@ def join_null_safe(df: DataFrame, per_key: DataFrame, on: list[str]) -> DataFram
     return df.join(renamed, same, "left").drop(*[f"_k_{c}" for c in on])
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Use all cores when a small input would feed fewer tasks than there are cores.
 
-    A large input has more partitions than cores and is left as it is.
+    A large input has more partitions than cores and is left as it is, unless ``rows_per_task``
+    asks for more of them: for rows that cost much more than their size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task is not None:
+        tasks = max(tasks, -(-df.count() // rows_per_task))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def by_range(df: DataFrame, group: list[str], order: list[Column | str], part: str = "_part") -> DataFrame:

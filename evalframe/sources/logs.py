@@ -167,16 +167,15 @@ def files_per_task(files: DataFrame) -> DataFrame:
 
 
 def queries_of(files: DataFrame) -> DataFrame:
-    """One row per query, in file order."""
-    return files.select(*FILE_KEYS, F.posexplode("queries").alias("query_idx", "q")).select(
-        *FILE_KEYS,
-        "query_idx",
-        F.col("q.query_type").alias("query_type"),
-        F.col("q.function").alias("function"),
-        F.col("q.shots").alias("shots"),
-        F.size("q.samples").alias("n_samples"),
-        F.col("q.samples").alias("samples"),
-    )
+    """One row per query, in file order.
+
+    What is expanded is an expression: for a bare column Spark infers a filter on its size, and where
+    the column is computed, the filter computes it once more.
+    """
+    columns = ["query_type", "function", "shots", "n_samples", "samples"]
+    row = lambda q: F.struct(*[q[c].alias(c) for c in columns[:3]], F.size(q["samples"]).alias("n_samples"), q["samples"].alias("samples"))
+    rows = files.select(*FILE_KEYS, F.posexplode(F.transform("queries", row)).alias("query_idx", "q"))
+    return rows.select(*FILE_KEYS, "query_idx", *[F.col(f"q.{c}").alias(c) for c in columns])
 
 
 def samples_of(queries: DataFrame) -> DataFrame:

@@ -115,3 +115,17 @@ def test_reference_is_not_gathered_for_input_mismatches(spark):
     found = K.input_mismatches(samples, "128b")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r["model_name"], r["sample_idx"], r["input"], r["reference_input"]) for r in found.collect()] == [("8b", 1, "8bi", "128bi")]
+
+
+def test_equal_instances_reads_its_rows_once(spark):
+    rows = [("t", m, f"i{k}") for m in ("8b", "128b") for k in range(3)] + [("u", "8b", "a"), ("u", "128b", "b"), ("v", "8b", "a"), ("v", "8b", "a"), ("v", "128b", "a")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "task string, model_name string, input string")
+    got = sorted(tuple(r) for r in K.equal_instances(df).select("task", "n_models", "same_count", "same_instances").collect())
+    assert got == [("t", 2, True, True), ("u", 2, True, False), ("v", 2, False, False)]
+    assert seen.value == len(rows)

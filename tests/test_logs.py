@@ -195,3 +195,15 @@ def test_flattening_shuffles_nothing(spark, logdir):
 def test_files_per_task(spark, logdir):
     rows = {r["task"]: r["models"] for r in logs.files_per_task(logs.read_result_files(spark, logdir)).collect()}
     assert rows["color"]["BIG T=0/2m"]["n_queries"] == 2 and len(rows["color"]) == 2
+
+
+def test_queries_that_are_computed_are_computed_once(spark):
+    """Expanding a computed column must not bring a filter that computes it again."""
+    from evalframe.plans import views
+
+    parts = spark.createDataFrame([(1, "name", "type", 4)], "p_partkey long, p_name string, p_type string, p_size int")
+    files = spark.sql(views._files_sql(), p=parts.where("p_partkey > 0"))
+    queries = logs.queries_of(files).drop("samples")
+    plan = queries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Q: example A: yes. ") == 1
+    assert queries.count() > 0

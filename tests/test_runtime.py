@@ -102,3 +102,9 @@ def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert table.count() == 3 and any(tmp_path.rglob("*.parquet"))
     runtime.drop_scratch(spark)
     assert not any(tmp_path.rglob("*.parquet"))
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    rows = spark.range(0, 100, 1, 12)
+    assert spread(rows, 2).rdd.getNumPartitions() == 50
+    assert spread(rows, 1000) is rows or spark.sparkContext.defaultParallelism > 12
