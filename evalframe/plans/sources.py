@@ -68,9 +68,9 @@ def s01(spark, sf):
 def s01_queries(spark, sf):
     """Documents in a folder per brand, read at the grain of queries; models, types and shots are filtered in the scan."""
     root = scratch_path(spark, "logs")
-    brands = V.table(spark, sf, "part").select(F.expr("concat('t', p_partkey)").alias("task"), F.expr("concat('b', substr(p_brand, 7))").alias("directory"))
-    files = V.log_files(spark, sf).join(brands, "task")
+    files = V.log_files(spark, sf, "concat('b', substr(p_brand, 7)) as directory").where("task is not null")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.lit("^x"), F.concat(F.lit("x-"), "task"))
+    name = F.concat(name, F.lit(".gz"))
     model = F.struct("model_family", "model_name", F.col("parameters").alias("flop_matched_non_embedding_params")).alias("model")
     document = F.to_json(F.struct(F.struct(F.col("task").alias("task_name")).alias("task"), model, "queries", "scores"))
     written = querylog.write_documents(files.select("directory", name.alias("name"), document.alias("value")), root)

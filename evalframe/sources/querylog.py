@@ -29,6 +29,7 @@ ship_by_value(__name__)
 
 PIECE = 1 << 20  # bytes read at a time
 PARTITION_BYTES = 32 << 20  # small files are read together
+ENDINGS, PACKED = (".json", ".json.gz"), 8  # a packed file counts as so many times its bytes
 OF_FILE = ("directory", "family", "size")  # known from the path
 OF_QUERY = ("query_type", "function", "shots")
 SCHEMA = """path string, directory string, family string, size string, task string, model_family string, model_name string,
@@ -174,9 +175,9 @@ class Files(InputPartition):
 
 
 def model_of(path: str) -> tuple[str, str | None, str | None]:
-    """(directory, family, size) of ``<directory>/x_<family>_<size>[_<rest>].json``."""
+    """(directory, family, size) of ``<directory>/x_<family>_<size>[_<rest>].json``, packed or not."""
     *_, directory, name = path.split("/")
-    parts = re.sub(r"\.json$", "", name).split("_")
+    parts = re.sub(r"\.json(\.gz)?$", "", name).split("_")
     family = " ".join([parts[1], *parts[3:]]) if len(parts) > 1 else ""
     return directory, family, parts[2] if len(parts) > 2 else None
 
@@ -200,12 +201,13 @@ class Reader(DataSourceReader):
         out, held = [Files([])], 0
         for info in sorted(found, key=lambda i: i.path):
             known = dict(zip(OF_FILE, model_of(info.path)))
-            if info.is_file and info.path.endswith(".json") and holds(self.conditions, known):
-                if held and held + info.size > PARTITION_BYTES:
+            if info.is_file and info.path.endswith(ENDINGS) and holds(self.conditions, known):
+                size = info.size * (PACKED if info.path.endswith(".gz") else 1)
+                if held and held + size > PARTITION_BYTES:
                     out.append(Files([]))
                     held = 0
                 out[-1].paths.append(info.path)
-                held += info.size
+                held += size
         return out
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -266,7 +268,7 @@ def with_samples(rows: DataFrame, *more: str) -> DataFrame:
 def write_documents(files: DataFrame, logdir: str) -> DataFrame:
     """Write each (directory, name, value) to ``<logdir>/<directory>/<name>``; returns (path, n_bytes) when run.
 
-    A task that runs again writes the same files again.
+    A name that ends in ``.gz`` is packed; ``n_bytes`` counts the text. A task that runs again writes the same files again.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,3 +133,22 @@ def test_sample_table_from_queries(spark, tmp_path):
     whole = flatten.eval_samples(logs.read_result_files(spark, str(tmp_path)))
     text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct(*whole.columns)).alias("j")).collect())
     assert text(mine) == text(whole) and len(text(whole)) == 2 * (2 + 2 + 2 + 1 + 2 + 2)
+
+
+def test_packed_documents(spark, tmp_path):
+    """Names that end in .gz are written packed, and read like the others."""
+    doc = json.dumps(document("t", "A", "8b", [generative(0, ["text " * 200] * 20), scoring(0)]))
+    df = spark.createDataFrame([("t", "x_A_8b_r.json.gz", doc), ("t", "x_A_8b_r.json", doc)], "directory string, name string, value string")
+    assert querylog.write_documents(df, f"file:{tmp_path}").agg(F.sum("n_bytes")).first()[0] == 2 * len(doc)
+    assert (tmp_path / "t/x_A_8b_r.json.gz").stat().st_size < len(doc) / 5
+    rows = querylog.read_queries(spark, str(tmp_path), LogFilter(model_families=["A r"], model_sizes=["8b"]))
+    assert rows.count() == 4 and rows.select("family", "size", "n_samples", "samples").distinct().count() == 2
+
+
+def test_files_are_not_shuffled_to_meet_their_directory(spark):
+    from evalframe.plans import views
+
+    parts = spark.createDataFrame([(1, "name", "type", 4, "Brand#7")], "p_partkey long, p_name string, p_type string, p_size int, p_brand string")
+    files = spark.sql(views._files_sql("concat('b', substr(p_brand, 7)) as directory"), p=parts)
+    assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
+    assert {r.directory for r in files.select("directory").collect()} == {"b7"}
