@@ -17,6 +17,7 @@ from evalframe.functions.text import tokens, truncated
 from evalframe.ml import grouped
 from evalframe.metrics.report import test_report
 from evalframe.operators.split import cap_instances
+from evalframe.runtime import materialize
 
 DEFAULT_FEATURES = 1 << 12
 
@@ -80,7 +81,7 @@ def train_and_report(
     if per_task:
         words = _words(F.col(text), **shared)
         models = grouped.fit(train, words, ["task"], **{k: v for k, v in options.items() if k not in shared})
-        return test_report(grouped.score(models, test, words, ["task"]), "assr", keys)
+        return test_report(materialize(grouped.score(models, test, words, ["task"], drop=(text,)), "scored"), "assr", keys)
     model = fit(train, text, **options)
     return test_report(score(model, test, text, **shared), "assr", keys)
 
@@ -130,7 +131,7 @@ def grid(
     their settings; each setting is a group of one fit, one scoring and one report. ``options`` go to ``grouped.fit``.
     """
     models = grouped.fit(_in_settings(train, settings, text), F.col("_words"), ["setting"], **options)
-    scored = grouped.score(models, _in_settings(test, settings, text), F.col("_words"), ["setting"])
-    report = test_report(scored.drop("_words"), "assr", ["setting"])
+    scored = grouped.score(models, _in_settings(test, settings, text), F.col("_words"), ["setting"], drop=("_words", text))
+    report = test_report(materialize(scored, "scored"), "assr", ["setting"])  # the report reads its rows more than once
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"test_{m}").cast("double").alias("value")) for m in metrics])
     return report.select("setting", F.explode(cells).alias("c")).select("setting", "c.*")

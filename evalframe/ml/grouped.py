@@ -155,12 +155,12 @@ def _dealt(rows: DataFrame, models: DataFrame, size: int, task: Callable, schema
     return dealt.groupBy("_key", "_block").cogroup(each.groupBy("_key", "_block")).applyInArrow(task, schema)
 
 
-def score(models: DataFrame, df: DataFrame, tokens: Column, keys: list[str] | None = None, name: str = "assr") -> DataFrame:
+def score(models: DataFrame, df: DataFrame, tokens: Column, keys: list[str] | None = None, name: str = "assr", drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the predicted probability of success by the model of the row's group; 0.5 where there is none.
 
-    Tokens that a model hasn't seen don't count.
+    Tokens that a model hasn't seen don't count. Columns named in ``drop`` are neither stored nor moved nor returned.
     """
-    keys, columns = list(keys or []), [c for c in df.columns if c.lower() != name.lower()]
+    keys, columns = list(keys or []), [c for c in df.columns if c.lower() != name.lower() and c not in drop]
 
     def task(rows: pa.Table, model: pa.Table) -> pa.Table:
         margin = np.zeros(rows.num_rows)

@@ -134,3 +134,19 @@ def test_newton_fit_and_contributions(spark):
     assert newton.score(newton.fit(df, features, ["task"]), spark.createDataFrame([("new", 1.0, 1.0, 1)], df.schema), features, ["task"]).first()["assr"] == 0.5
     table = {r["feature"]: r["contribution"] for r in newton.contributions(model, df, features).collect()}
     assert table["a"] > 0 > table["b"]
+
+
+def test_rows_of_a_grid_are_scored_once(spark, monkeypatch):
+    """The report reads its rows several times; what it reads is stored, without texts and tokens."""
+    from evalframe.ml import assessor
+
+    seen, report = [], assessor.test_report
+    monkeypatch.setattr(assessor, "test_report", lambda df, *rest: seen.append(df) or report(df, *rest))
+    rows = spark.range(40).selectExpr(
+        "cast(id as string) as sample_key", "'t' as task", "cast(id % 2 as int) as correct", "if(id % 2 = 0, 'no', 'yes') as input", "2 as n_targets",
+        "'8b' as model_name", "'F' as model_family", "0 as shots", "0.5D as conf_normalized", "0.5D as conf_absolute",
+    )
+    got = assessor.grid(rows, rows, [{"name": "s"}], ["accuracy"]).collect()
+    assert [(r.setting, r.metric, r.value) for r in got] == [("s", "accuracy", 1.0)]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan and not {"_words", "input"} & set(seen[0].columns)
