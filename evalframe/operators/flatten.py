@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe import schema as S
+from evalframe.runtime import materialize
 from evalframe.sources.logs import FILE_KEYS
 
 
@@ -142,16 +143,20 @@ def pairs_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFra
 def eval_samples_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFrame:
     """The table of ``eval_samples`` from a row per query, so that no file has to be one row.
 
-    ``queries`` has (file keys…, query_idx, query_type, shots, samples) and is read three times: store it first.
+    ``queries`` has (file keys…, query_idx, query_type, shots, samples) and is read four times: store it first.
     ``file`` names the columns that tell files apart. Samples of choice queries stay where they are; those of pairs meet by (file, pair).
     """
     keys = list(dict.fromkeys([*FILE_KEYS, *file]))
     choice = queries.where(F.col("query_type") == S.MULTIPLE_CHOICE).select(
         *FILE_KEYS, _row(F.col("query_idx"), S.MULTIPLE_CHOICE, F.col("shots"), F.col("samples")).alias("q")
     )
-    placed = queries.join(pairs_of_queries(queries, file), [*file, "query_idx"])
-    generative = placed.where("is_generative").select(*keys, "pair", F.struct("query_idx", "shots", "samples").alias("gen"))
-    scoring = placed.where("not is_generative").select(*file, "pair", F.struct("samples").alias("sco"))
+    placed = materialize(pairs_of_queries(queries, file), "pairs")
+    # of a generative sample, only what its twin takes from it is moved
+    taken = F.transform("samples", lambda s: F.struct(*[s[c].alias(c) for c in ("input", "targets", "output")]))
+    slim = queries.select(*keys, "query_idx", "shots", taken.alias("samples"))
+    generative = slim.join(placed.where("is_generative"), [*file, "query_idx"]).select(*keys, "pair", F.struct("query_idx", "shots", "samples").alias("gen"))
+    whole = queries.select(*file, "query_idx", "samples")
+    scoring = whole.join(placed.where("not is_generative"), [*file, "query_idx"]).select(*file, "pair", F.struct("samples").alias("sco"))
     paired = generative.join(scoring, [*file, "pair"]).select(
         *FILE_KEYS, _row(F.col("gen.query_idx"), S.PAIRED, F.col("gen.shots"), _zip_samples(F.col("gen"), F.col("sco"))).alias("q")
     )

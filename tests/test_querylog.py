@@ -152,3 +152,18 @@ def test_files_are_not_shuffled_to_meet_their_directory(spark):
     files = spark.sql(views._files_sql("concat('b', substr(p_brand, 7)) as directory"), p=parts)
     assert "Exchange" not in files._jdf.queryExecution().executedPlan().toString()
     assert {r.directory for r in files.select("directory").collect()} == {"b7"}
+
+
+def test_pairs_meet_with_what_a_pair_needs(spark, logdir):  # noqa: F811
+    """The generative side is moved without scores; its twin has them."""
+    rows = querylog.with_samples(querylog.read_queries(spark, logdir), "path")
+    plan = flatten.eval_samples_of_queries(rows, ["path"])._jdf.queryExecution().analyzed().toJSON()
+
+    def types(node):
+        if isinstance(node, dict) and node.get("name") == "gen" and "dataType" in node:
+            yield json.dumps(node["dataType"])
+        for child in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
+            yield from types(child)
+
+    moved = set(types(json.loads(plan)))
+    assert moved and not any("normalized_scores" in t for t in moved)
