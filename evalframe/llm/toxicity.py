@@ -217,17 +217,25 @@ def measure_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterato
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton's method; the constant is not shrunk."""
+    """Ridge logistic regression by Newton's method; the constant is not shrunk.
+
+    A step that would raise the loss is halved until it doesn't: where the inputs all but separate the labels,
+    whole steps lead ever farther away.
+    """
     share = (y.sum() + 0.5) / (len(y) + 1)
     w = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     if 0 < y.sum() < len(y):
         shrink = np.diag([1e-9, ridge, ridge])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        loss = lambda w: np.logaddexp(0, (1 - 2 * y) * (x @ w)).sum() + w @ shrink @ w / 2
+        for _ in range(200):
+            p = np.exp(-np.logaddexp(0, -(x @ w)))
             step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink, x.T @ (y - p) - shrink @ w)
-            w = w + np.clip(step, -5, 5)
+            before = loss(w)
+            while loss(w + step) > before and np.abs(step).max() >= 1e-9:
+                step = step / 2
             if np.abs(step).max() < 1e-9:
                 break
+            w = w + step
     return tuple(float(v) for v in w)
 
 
