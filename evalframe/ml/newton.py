@@ -80,9 +80,10 @@ def fit(
     for _ in range(steps):
         scored = join_null_safe(rows, weights, keys).withColumn("p", _probability(x[1:]))
         curvature = F.col("p") * (1 - F.col("p"))
+        mean = lambda value: F.sum(value) / F.count("*")  # noqa: E731  no value is NULL, so all means share one count
         sums = scored.groupBy(*keys, *_weights(n)).agg(
-            *[(F.avg((F.col("p") - F.col("y")) * x[i]) + ridge * F.first(f"w{i}")).alias(f"g_{i}") for i in range(n)],
-            *[(F.avg(curvature * x[i] * x[j]) + (ridge if i == j else 0.0)).alias(f"h_{i}_{j}") for i in range(n) for j in range(i + 1)],
+            *[(mean((F.col("p") - F.col("y")) * x[i]) + ridge * F.first(f"w{i}")).alias(f"g_{i}") for i in range(n)],
+            *[(mean(curvature * x[i] * x[j]) + (ridge if i == j else 0.0)).alias(f"h_{i}_{j}") for i in range(n) for j in range(i + 1)],
         )
         weights = materialize(sums.mapInArrow(_stepped(n), weights.schema), "weights")
     return weights

@@ -28,15 +28,17 @@ HEADLINE = ["accuracy", "roc_auc", "bs", "bs_mcb"]
 
 
 def _sides(spark, sf, population: bool = False, prepend: bool = True):
-    """Train and test rows, prepared and stored once; those of a population begin with the subject's features unless ``prepend`` is off."""
-    rows = V.ev_binary(spark, sf)
-    if population:
-        marked = X.split(rows, "instance", FRACTION)
-        marked = prepend_features(marked, include_model=True) if prepend else marked
-    else:
-        marked = X.split(rows.where("model_name = '128b'"), "instance", FRACTION)
-    columns = ["sample_key", "task", "model_family", "model_name", "shots", "n_targets", "input", "correct", "conf_normalized", "conf_absolute", "split"]
-    return X.train_and_test(materialize(marked.select(*columns), "sides"))
+    """Train and test rows, prepared and stored once; those of a population begin with the subject's features unless ``prepend`` is off.
+
+    What is split is stored as well: the split reads its rows several times.
+    """
+    columns = ["sample_key", "task", "model_family", "model_name", "shots", "n_targets", "input", "correct", "conf_normalized", "conf_absolute"]
+    rows = V.ev_binary(spark, sf).select(*columns)
+    rows = materialize(rows if population else rows.where("model_name = '128b'"), "rows")
+    marked = X.split(rows, "instance", FRACTION)
+    if population and prepend:
+        marked = prepend_features(marked, include_model=True)
+    return X.train_and_test(materialize(marked.select(*columns, "split"), "sides"))
 
 
 @query("A01_fit_assessor")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.features import leak_label
 from evalframe.ml import assessor as A
 from evalframe.ml import grouped, newton
+from evalframe.plans import assessor as plans
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,25 @@ def test_rows_of_a_grid_are_scored_once(spark, monkeypatch):
     assert [(r.setting, r.metric, r.value) for r in got] == [("s", "accuracy", 1.0)]
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan and not {"_words", "input"} & set(seen[0].columns)
+
+
+@pytest.mark.parametrize("population", [False, True])
+def test_sides_are_split_from_stored_rows(spark, sides, monkeypatch, population):
+    computed, read = [], []
+
+    def view(spark, sf):
+        computed.append(sf)
+        both = sides[0].unionByName(sides[1]).withColumn("model_name", F.when(F.col("task") == "t0", "128b").otherwise("8b"))
+        return both.withColumns({"shots": F.lit(0), "n_targets": F.lit(2)})
+
+    def split(df, *options):
+        read.extend(df.inputFiles())
+        return df.withColumn("split", F.when(F.col("sample_key") < "k3", "train").otherwise("test"))
+
+    monkeypatch.setattr(plans.V, "ev_binary", view)
+    monkeypatch.setattr(plans.X, "split", split)
+    train, test = plans._sides(spark, "", population)
+    assert len(computed) == 1 and read and all("/rows-" in f for f in read)
+    assert train.count() + test.count() == (600 if population else 300)
+    texts = [r["input"] for r in train.select("input").collect()]
+    assert all(t.startswith("FAM: F SIZE:") == population for t in texts)
