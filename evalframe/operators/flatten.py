@@ -45,19 +45,20 @@ def every_target_correct(targets: Column) -> Column:
 
 
 def merge_pair(generative: Column, scoring: Column) -> Column:
-    """The scoring sample with output and correctness of its generative twin; its targets are still text."""
+    """What a scoring sample takes from its generative twin: correctness and output."""
     same = generative["input"].eqNullSafe(scoring["input"])
-    text = F.when(same, scoring["input"]).otherwise(F.raise_error(F.lit("Paired samples have different inputs.")))
-    changed = {"input": text, "correct": best_exact_match(generative["targets"]), "output": generative["output"]}
-    return F.struct(*[changed.get(name, scoring[name]).alias(name) for name in S.RAW_SAMPLE.fieldNames()])
+    best = best_exact_match(generative["targets"])
+    correct = F.when(same, best).otherwise(F.raise_error(F.lit("Paired samples have different inputs.")))
+    return F.struct(correct.alias("correct"), generative["output"].alias("output"))
 
 
-def _zip_samples(generative: Column, scoring: Column) -> Column:
+def _twins(generative: Column, scoring: Column) -> Column:
+    """``merge_pair`` for each sample of a pair of queries; the scoring samples themselves stay where they are."""
     merged = F.transform(
-        F.arrays_zip(generative["samples"].alias("g"), scoring["samples"].alias("s")),
+        F.arrays_zip(generative.alias("g"), scoring.alias("s")),
         lambda z: merge_pair(z["g"], z["s"]),
     )
-    same_length = F.size(generative["samples"]) == F.size(scoring["samples"])
+    same_length = F.size(generative) == F.size(scoring)
     return F.when(same_length, merged).otherwise(F.raise_error(F.lit("Paired queries differ in length.")))
 
 
@@ -77,50 +78,56 @@ def pair_queries(queries: Column) -> Column:
     return _once(pairs, lambda ps: F.slice(ps, F.lit(1), _once(first_bad(ps), lambda bad: upto(ps, bad))))
 
 
-def _row(query_idx: Column, query_type: str, shots: Column, samples: Column) -> Column:
+def _row(query_idx: Column, query_type: str, shots: Column, samples: Column, twins: Column | None = None) -> Column:
+    if twins is None:
+        twins = F.lit(None).cast("array<struct<correct:double,output:string>>")
     return F.struct(
         query_idx.cast("int").alias("query_idx"),
         F.lit(query_type).alias("query_type"),
         shots.alias("shots"),
         samples.alias("samples"),
+        twins.alias("twins"),
     )
 
 
 def eval_samples(files: DataFrame) -> DataFrame:
-    """The sample table of SURVEY §1.2: multiple-choice samples and merged pairs."""
-    numbered = files.withColumn(
-        "queries",
-        F.transform("queries", lambda q, i: F.struct(i.alias("idx"), q["query_type"].alias("query_type"),
-                                                     q["shots"].alias("shots"), q["samples"].alias("samples"))),
-    )
+    """The sample table of SURVEY §1.2: multiple-choice samples and merged pairs.
+
+    Which queries go together is decided on their types and places; samples are fetched from the file's array once.
+    """
+    heads = F.transform("queries", lambda q, i: F.struct(i.alias("idx"), q["query_type"].alias("query_type")))
+    query = lambda head: F.get("queries", head["idx"])
     choice = F.transform(
-        F.filter("queries", lambda q: q["query_type"] == S.MULTIPLE_CHOICE),
-        lambda q: _row(q["idx"], S.MULTIPLE_CHOICE, q["shots"], q["samples"]),
+        F.filter(heads, lambda h: h["query_type"] == S.MULTIPLE_CHOICE),
+        lambda h: _row(h["idx"], S.MULTIPLE_CHOICE, query(h)["shots"], query(h)["samples"]),
     )
+    pair = lambda gen, sco: (query(sco)["samples"], _twins(query(gen)["samples"], query(sco)["samples"]))
     paired = F.transform(
-        pair_queries(F.col("queries")),
-        lambda p: _row(p["gen"]["idx"], S.PAIRED, p["gen"]["shots"], _zip_samples(p["gen"], p["sco"])),
+        pair_queries(heads),
+        lambda p: _row(p["gen"]["idx"], S.PAIRED, query(p["gen"])["shots"], *pair(p["gen"], p["sco"])),
     )
-    return _samples(numbered.select(*FILE_KEYS, F.explode(F.concat(choice, paired)).alias("q")).select(*FILE_KEYS, "q.*"))
+    return _samples(files.select(*FILE_KEYS, F.explode(F.concat(choice, paired)).alias("q")).select(*FILE_KEYS, "q.*"))
 
 
 def _samples(queries: DataFrame) -> DataFrame:
-    """One row per sample of (file keys, query_idx, query_type, shots, samples), with the columns of both query kinds.
+    """One row per sample of (file keys, query_idx, query_type, shots, samples, twins), with the columns of both query kinds.
 
     Targets are parsed per row, so that Spark parses them once, and only where they are asked for.
     """
     keys = [*FILE_KEYS, "shots", "query_type", "query_idx", "sample_idx"]
-    samples = queries.select(*keys[:-1], F.posexplode("samples").alias("sample_idx", "s"))
+    samples = queries.select(*keys[:-1], "twins", F.posexplode("samples").alias("sample_idx", "s"))
     key = F.concat_ws("|", *FILE_KEYS, "query_idx", "sample_idx")
-    fields = {name: F.col(f"s.{name}") for name in S.RAW_SAMPLE.fieldNames()}
-    parsed = samples.select(*keys, key.alias("sample_key"), *[c.alias(n) for n, c in (fields | {"targets": F.from_json(fields["targets"], S.TARGET_LIST)}).items()])
     paired = F.col("query_type") == S.PAIRED
-    of_kind = {
-        "target_values": F.when(paired, every_target_correct(F.col("targets"))).otherwise(F.col("target_values")),
-        "output": F.when(paired, F.col("output")),
-        "metrics": F.when(~paired, F.col("metrics")),
+    twin = F.get("twins", F.col("sample_idx"))
+    fields = {name: F.col(f"s.{name}") for name in S.RAW_SAMPLE.fieldNames()} | {
+        "targets": F.from_json("s.targets", S.TARGET_LIST),
+        "correct": F.when(paired, twin["correct"]).otherwise(F.col("s.correct")),
+        "output": F.when(paired, twin["output"]),
+        "metrics": F.when(~paired, F.col("s.metrics")),
     }
-    return parsed.select(*[of_kind.get(c, F.col(c)).alias(c) for c in parsed.columns])
+    parsed = samples.select(*keys, key.alias("sample_key"), *[c.alias(n) for n, c in fields.items()])
+    values = F.when(paired, every_target_correct(F.col("targets"))).otherwise(F.col("target_values"))
+    return parsed.withColumn("target_values", values)
 
 
 def pairs_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) -> DataFrame:
@@ -158,7 +165,8 @@ def eval_samples_of_queries(queries: DataFrame, file: list[str] = FILE_KEYS) ->
     whole = queries.select(*file, "query_idx", "samples")
     scoring = whole.join(placed.where("not is_generative"), [*file, "query_idx"]).select(*file, "pair", F.struct("samples").alias("sco"))
     paired = generative.join(scoring, [*file, "pair"]).select(
-        *FILE_KEYS, _row(F.col("gen.query_idx"), S.PAIRED, F.col("gen.shots"), _zip_samples(F.col("gen"), F.col("sco"))).alias("q")
+        *FILE_KEYS,
+        _row(F.col("gen.query_idx"), S.PAIRED, F.col("gen.shots"), F.col("sco.samples"), _twins(F.col("gen.samples"), F.col("sco.samples"))).alias("q"),
     )
     return _samples(choice.unionByName(paired).select(*FILE_KEYS, "q.*"))
 

@@ -170,12 +170,14 @@ def queries_of(files: DataFrame) -> DataFrame:
     """One row per query, in file order.
 
     What is expanded is an expression: for a bare column Spark infers a filter on its size, and where
-    the column is computed, the filter computes it once more.
+    the column is computed, the filter computes it once more. It leaves the queries as they are, so that
+    their samples are not copied.
     """
-    columns = ["query_type", "function", "shots", "n_samples", "samples"]
-    row = lambda q: F.struct(*[q[c].alias(c) for c in columns[:3]], F.size(q["samples"]).alias("n_samples"), q["samples"].alias("samples"))
-    rows = files.select(*FILE_KEYS, F.posexplode(F.transform("queries", row)).alias("query_idx", "q"))
-    return rows.select(*FILE_KEYS, "query_idx", *[F.col(f"q.{c}").alias(c) for c in columns])
+    columns = ["query_type", "function", "shots"]
+    empty = F.array().cast(files.schema["queries"].dataType)
+    rows = files.select(*FILE_KEYS, F.posexplode(F.coalesce("queries", empty)).alias("query_idx", "q"))
+    fields = [F.col(f"q.{c}").alias(c) for c in columns]
+    return rows.select(*FILE_KEYS, "query_idx", *fields, F.size("q.samples").alias("n_samples"), F.col("q.samples").alias("samples"))
 
 
 def samples_of(queries: DataFrame) -> DataFrame:

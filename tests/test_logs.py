@@ -207,3 +207,35 @@ def test_queries_that_are_computed_are_computed_once(spark):
     plan = queries._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Q: example A: yes. ") == 1
     assert queries.count() > 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flattening_leaves_samples_as_they_are(spark):
+    files = raw(spark, document("t", "F", "8b", [generative(0), scoring(0), choice(1)]))
+    made = [line for line in plan_of(flatten.eval_samples(files)).splitlines() if "explode(concat" in line]
+    assert len(made) == 1 and "normalized_scores" not in made[0]  # a pair's samples are not put together anew
+    assert "transform" not in plan_of(logs.queries_of(files)).split("from_json")[0]
+
+
+def test_pairs_of_odd_queries(spark):
+    unknown = scoring(0) | {"query_type": None}
+    with pytest.raises(Exception, match="not a query type"):
+        flat(spark, generative(0), unknown)
+    with pytest.raises(Exception, match="Paired queries differ in length"):
+        flat(spark, generative(0), scoring(0, ("a",)))
+    files = raw(spark, document("t", "F", "8b", [generative(0), scoring(0, ("a", "c"))]))
+    with pytest.raises(Exception, match="Paired samples have different inputs"):
+        flatten.eval_samples(files).groupBy("task").count().collect()  # also where no column of the pair is asked for
+    assert logs.queries_of(raw(spark, document("t", "F", "8b", []), document("t", "F", "4b", None))).count() == 0
+
+
+def test_files_of_a_part_share_what_is_equal(spark, tmp_path):
+    from evalframe.plans import views
+
+    spark.sql("select id as p_partkey, concat('n', id) as p_name, 'Brand#1' as p_brand, 'ty' as p_type, cast(if(id = 3, null, id) as int) as p_size from range(0, 60)").write.parquet(f"{tmp_path}/part.parquet")
+    files = views.log_files(spark, str(tmp_path))
+    assert files.count() == 240
+    assert "repeat(" not in plan_of(files.select("queries")).split("explode(transform(")[0]  # texts are not made per file
