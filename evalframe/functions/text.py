@@ -72,7 +72,8 @@ def last_shared_index(text: Column, reference: Column) -> Column:
     A binary search on prefixes: log(length) comparisons, no per-character array.
     """
     shorter = F.least(F.length(text), F.length(reference))
-    powers = F.array(*[F.lit(1 << bit) for bit in range(30, -1, -1)])
+    digits = F.length(F.bin(shorter))
+    powers = F.slice(F.array(*[F.lit(1 << bit) for bit in range(30, -1, -1)]), 32 - digits, digits)
     same = lambda n: F.substr(text, F.lit(1), n) == F.substr(reference, F.lit(1), n)
 
     def step(known: Column, power: Column) -> Column:

@@ -161,14 +161,20 @@ def shot_series(files: DataFrame) -> DataFrame:
 def shot_violations(files: DataFrame) -> DataFrame:
     """Samples that are not the instance their series starts with (few-shot identity).
 
-    A sample and its counterpart are fetched from the file's array by their places.
+    A sample and its counterpart are fetched from the file's array by their places; of a file, only their
+    texts go into the rows.
     """
-    later = files.select(*FILE_KEYS, "queries", F.explode(_series_rows()).alias("q")).where("q.query_idx > q.head_idx")
-    samples = lambda place: F.get("queries", F.col(place))["samples"]
-    places = F.sequence(F.lit(0), F.size(samples("q.query_idx")) - 1)
-    rows = later.where(F.size(samples("q.query_idx")) > 0).select("*", F.explode(places).alias("sample_idx"))
-    text = lambda place: F.get(samples(place), F.col("sample_idx"))["input"]
-    rows = rows.select(*FILE_KEYS, "q.series", "q.query_idx", "sample_idx", text("q.query_idx").alias("input"), text("q.head_idx").alias("reference"))
+    samples = lambda place: F.get("queries", place)["samples"]
+    later = F.filter(_series_rows(), lambda q: q["query_idx"] > q["head_idx"])
+
+    def texts(q: Column) -> Column:
+        text = lambda s, i: F.struct(
+            q["series"].alias("series"), q["query_idx"].alias("query_idx"), i.alias("sample_idx"),
+            s["input"].alias("input"), F.get(samples(q["head_idx"]), i)["input"].alias("reference"),
+        )
+        return F.coalesce(F.transform(samples(q["query_idx"]), text), F.array())
+
+    rows = files.select(*FILE_KEYS, F.explode(F.flatten(F.transform(later, texts))).alias("s")).select(*FILE_KEYS, "s.*")
     same = F.coalesce(same_instance(F.col("input"), F.col("reference")), F.lit(False))
     return rows.where(F.col("input").isNotNull() & ~same)
 

@@ -51,6 +51,19 @@ def test_series_needs_no_shuffle(spark):
     assert "Exchange" not in plan
 
 
+def test_violations_carry_texts_not_files(spark):
+    plan = K.shot_violations(raw(spark, document("t", "A", "8b", [choice(0), choice(1)])))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "queries" in line]
+
+
+def test_violations_of_odd_queries(spark):
+    nothing = choice(1) | {"samples": None}
+    longer = choice(2, ("Q: x A: yes. a", "other", "no counterpart"))
+    files = raw(spark, document("t", "A", "8b", [choice(0), nothing, longer]), document("t", "B", "8b", []), document("t", "C", "8b", [choice(0), choice(1, ())]))
+    rows = K.shot_violations(files).orderBy("sample_idx").collect()
+    assert [tuple(r) for r in rows] == [("t", "A", "8b", 0, 2, 1, "other", "b"), ("t", "A", "8b", 0, 2, 2, "no counterpart", None)]
+
+
 def test_input_mismatches(spark):
     files = raw(spark, document("t", "A", "128b", [choice(0)]), document("t", "A", "8b", [choice(0, ("a", "x"))]))
     samples = logs.samples_of(logs.queries_of(files))

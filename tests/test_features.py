@@ -143,3 +143,14 @@ def test_cost_and_histogram(spark):
     assert bins == {0: 1, 2: 1, 3: 1}  # the largest value falls into the last bin
     capped = X.token_cost(df, [], max_tokens=3).first()
     assert capped["n_tokens_total"] == 7 + 3 * 64
+
+
+def test_last_shared_index_of_all_lengths(spark):
+    text = "".join(chr(200 + i % 50) for i in range(1100))
+    lengths = [0, 1, 2, 3, 7, 8, 9, 1023, 1024, 1025]
+    df = spark.createDataFrame([(n, text[:n] + "x", text[:n] + "yy") for n in lengths], "n int, input string, reference string")
+    found = df.select("n", X.last_shared_index(F.col("input"), F.col("reference")).alias("i"))
+    assert sorted(tuple(r) for r in found.collect()) == [(n, max(n - 1, 0)) for n in lengths]
+    assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()  # as many steps as the shorter text needs
+    odd = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("", "")], "input string, reference string")
+    assert [r[0] for r in odd.select(X.last_shared_index(F.col("input"), F.col("reference"))).collect()] == [0, 0, 0, 0]
