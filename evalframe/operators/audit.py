@@ -204,7 +204,7 @@ def equal_instances(df: DataFrame, within: list[str] | None = None) -> DataFrame
     128-bit hash and no list of inputs is ever gathered.
     """
     keys = [*(within or []), "task"]
-    counts = df.groupBy(*keys, "model_name", F.md5("input").alias("_i")).agg(F.count("*").alias("_c"))
+    counts = df.groupBy(*keys, "model_name", F.unhex(F.md5("input")).alias("_i")).agg(F.count("*").alias("_c"))
     per_model = materialize(counts, "inputs-per-model")  # read twice, the rows only once
     per_input = per_model.groupBy(*keys, "_i").agg(
         F.count("*").alias("_k"), (F.min("_c") == F.max("_c")).alias("_even")

@@ -64,6 +64,19 @@ def test_violations_of_odd_queries(spark):
     assert [tuple(r) for r in rows] == [("t", "A", "8b", 0, 2, 1, "other", "b"), ("t", "A", "8b", 0, 2, 2, "no counterpart", None)]
 
 
+def test_equal_instances_compare_hashes_as_bytes(spark):
+    instances = spark.createDataFrame([("t", "8b", "a"), ("t", "4b", "a"), ("u", "8b", None), ("u", "4b", "a")], "task string, model_name string, input string")
+    assert {r["task"]: r["same_instances"] for r in K.equal_instances(instances).collect()} == {"t": True, "u": False}
+    written = []
+    keep = K.materialize
+    try:
+        K.materialize = lambda df, label: written.append(df.schema) or keep(df, label)
+        K.equal_instances(instances)
+    finally:
+        K.materialize = keep
+    assert written[0]["_i"].dataType.typeName() == "binary"
+
+
 def test_input_mismatches(spark):
     files = raw(spark, document("t", "A", "128b", [choice(0)]), document("t", "A", "8b", [choice(0, ("a", "x"))]))
     samples = logs.samples_of(logs.queries_of(files))
