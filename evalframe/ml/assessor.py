@@ -98,24 +98,6 @@ def word_contributions(model: PipelineModel, df: DataFrame, text: str = "input",
     return model.transform(counted).select("word", (raw - intercept).alias("contribution"), "n")
 
 
-def _slot(n: int):
-    return lambda word: F.pmod(F.xxhash64(word), F.lit(n)).cast("string")
-
-
-def _in_settings(df: DataFrame, settings: list[dict], text: str) -> DataFrame:
-    """Each row once per setting that takes it, with the setting's name and tokens."""
-    cells = []
-    for setting in settings:
-        words, slots = F.col("_tokens"), setting.get("n_features")
-        if setting.get("max_length") is not None:
-            words = truncated(words, setting["max_length"], setting.get("side", "right"))
-        if slots is not None:
-            words = F.transform(words, _slot(slots))
-        cells.append(F.when(F.expr(setting.get("where", "true")), F.struct(F.lit(setting["name"]).alias("setting"), words.alias("_words"))))
-    rows = df.withColumn("_tokens", _words(F.col(text)))
-    return rows.withColumn("_s", F.explode(F.array_compact(F.array(*cells)))).select(*df.columns, "_s.*")
-
-
 def grid(
     train: DataFrame,
     test: DataFrame,
@@ -127,11 +109,14 @@ def grid(
     """Fit and report all settings at once: long (setting, metric, value).
 
     A setting may restrict the rows by ``where`` (a SQL condition, e.g. one subject size), cut texts by ``max_length``
-    and ``side``, and bound its capacity by ``n_features`` hash slots. Rows are read once and tagged with
-    their settings; each setting is a group of one fit, one scoring and one report. ``options`` go to ``grouped.fit``.
+    and ``side``, and bound its capacity by ``n_features`` hash slots. Rows are read once and stay where they are; each setting is
+    a view of them, all settings together one fit, one scoring and one report. ``options`` go to ``grouped.fit_views``.
     """
-    models = grouped.fit(_in_settings(train, settings, text), F.col("_words"), ["setting"], **options)
-    scored = grouped.score(models, _in_settings(test, settings, text), F.col("_words"), ["setting"], drop=("_words", text))
+    views = [grouped.View(**setting) for setting in settings]
+    words = _words(F.col(text))
+    models = grouped.fit_views(train, words, views, "setting", **options)
+    columns = [c for c in test.columns if c.lower() not in ("assr", "setting", text.lower())]
+    scored = grouped.score_views(models, test, words, views, "setting", columns)
     report = test_report(materialize(scored, "scored"), "assr", ["setting"])  # the report reads its rows more than once
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"test_{m}").cast("double").alias("value")) for m in metrics])
     return report.select("setting", F.explode(cells).alias("c")).select("setting", "c.*")
