@@ -4,6 +4,8 @@ A document is scanned token by token in pieces, so a file may be larger than the
 holds is one query. The samples of a query come as the JSON text they are in the file, and
 Spark parses them when they are asked for. Filters are pushed into the scan: on the directory
 and the model in the file's name before a file is opened, on queries before their samples are kept.
+Planning lists one directory at a time and keeps no file names but those at the ends of a partition's ranges; a task lists its
+directories again. What the driver holds is a directory's listing and the ranges.
 """
 
 from __future__ import annotations
@@ -171,7 +173,9 @@ def queries(tokens: Tokens, wanted) -> Iterator[tuple]:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """The files of each (directory, first path, last path)."""
+
+    ranges: list[tuple[str, str, str]]
 
 
 def model_of(path: str) -> tuple[str, str | None, str | None]:
@@ -194,26 +198,39 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.conditions = options["path"], json.loads(options.get("conditions", "{}"))
 
+    def files(self, system: fs.FileSystem, directory: str) -> tuple[list[tuple[str, int]], list[str]]:
+        """(path, size) of the files of a directory that pass, and the directories in it; both in order."""
+        found = system.get_file_info(fs.FileSelector(directory))
+        passing = lambda path: path.endswith(ENDINGS) and holds(self.conditions, dict(zip(OF_FILE, model_of(path))))
+        files = sorted((i.path, i.size) for i in found if i.is_file and passing(i.path))
+        return files, sorted(i.path for i in found if i.type == fs.FileType.Directory)
+
     def partitions(self) -> list[Files]:
-        """Files that pass, small ones together."""
+        """Files that pass, small ones together, as ranges of paths."""
         system, root = system_of(self.root)
-        found = system.get_file_info(fs.FileSelector(root.rstrip("/"), recursive=True))
-        out, held = [Files([])], 0
-        for info in sorted(found, key=lambda i: i.path):
-            known = dict(zip(OF_FILE, model_of(info.path)))
-            if info.is_file and info.path.endswith(ENDINGS) and holds(self.conditions, known):
-                size = info.size * (PACKED if info.path.endswith(".gz") else 1)
+        out, held, waiting = [Files([])], 0, [root.rstrip("/")]
+        while waiting:
+            directory = waiting.pop()
+            files, inner = self.files(system, directory)
+            waiting.extend(reversed(inner))
+            begun = None  # where the range in this directory began
+            for k, (path, size) in enumerate(files):
+                size *= PACKED if path.endswith(".gz") else 1
                 if held and held + size > PARTITION_BYTES:
+                    if begun is not None:
+                        out[-1].ranges.append((directory, begun, files[k - 1][0]))
                     out.append(Files([]))
-                    held = 0
-                out[-1].paths.append(info.path)
+                    begun, held = None, 0
+                begun = path if begun is None else begun
                 held += size
+            if begun is not None:
+                out[-1].ranges.append((directory, begun, files[-1][0]))
         return out
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, _ = system_of(self.root)
         wanted = lambda values: holds(self.conditions, values)
-        for path in partition.paths:
+        for path in (p for directory, first, last in partition.ranges for p, _ in self.files(system, directory)[0] if first <= p <= last):
             try:
                 with system.open_input_stream(path) as stream:
                     head = header(Tokens(stream))
