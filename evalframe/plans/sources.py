@@ -43,6 +43,11 @@ def raw_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def write_documents(files: DataFrame, path: str) -> None:
+    """The files as lines of JSON, packed: a text of them is some ten to twenty times as long."""
+    raw_documents(files).write.json(path, compression="gzip")
+
+
 # ---- S: scans and filters -------------------------------------------------------
 
 
@@ -52,7 +57,7 @@ def raw_documents(files: DataFrame) -> DataFrame:
 )
 def s01(spark, sf):
     root = scratch_path(spark, "logs")
-    raw_documents(V.log_files(spark, sf)).write.json(f"{root}/all")
+    write_documents(V.log_files(spark, sf), f"{root}/all")
     spec = logs.LogFilter(include_unknown_shots=True)
     files = logs.read_result_files(spark, root, spec, multi_line=False)
     queries = logs.queries_of(files)
@@ -111,7 +116,7 @@ _PREPARED_LOGS = f"""{V.LOG_PAIRS_SQL}, {_BEST('best', 'es')},
 def s01_report(spark, sf):
     """From JSON documents to the report per task: scan, flatten, prepare, split, score."""
     root = scratch_path(spark, "logs")
-    raw_documents(V.log_files(spark, sf)).write.json(f"{root}/all")
+    write_documents(V.log_files(spark, sf), f"{root}/all")
     files = logs.read_result_files(spark, root, logs.LogFilter(include_unknown_shots=True), multi_line=False)
     samples = materialize(flatten.eval_samples(files), "samples")
     _, test = train_and_test(split(prepare(samples, filter_bad_tasks=True), "instance", 0.2))

@@ -45,8 +45,11 @@ def model_from_stem(stem: Column) -> tuple[Column, Column]:
     return F.concat_ws(" ", F.get(parts, F.lit(1)), rest), F.get(parts, F.lit(2))
 
 
+ENDING = r"\.json(\.gz)?$"  # packed or not
+
+
 def stem_of(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.json$", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), ENDING, "")
 
 
 def model_from_path(path: Column) -> tuple[Column, Column]:
@@ -120,7 +123,7 @@ def filter_scores(files: DataFrame, shots: list[int] | None, include_unknown: bo
 def read_result_files(
     spark: SparkSession, logdir: str, spec: LogFilter = LogFilter(), multi_line: bool = True
 ) -> DataFrame:
-    """Scan ``<logdir>/<task>/x_<family>_<size>.json``, one row per document.
+    """Scan ``<logdir>/<task>/x_<family>_<size>.json``, packed (``.json.gz``) or not, one row per document.
 
     Raises when nothing matches. Documents that do not parse fail the job.
     """
@@ -137,10 +140,10 @@ def read_result_files(
         spark.read.schema(shape)
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
-        .json(f"{logdir.rstrip('/')}/{directories}/*.json")
+        .json(f"{logdir.rstrip('/')}/{directories}/*.{{json,json.gz}}")
     )
     path = F.col("_metadata.file_path")
-    family, size = model_from_stem(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    family, size = model_from_stem(F.regexp_replace(F.col("_metadata.file_name"), ENDING, ""))
     files = raw.select("*", path.alias("path"), task_from_path(path).alias("_dir"), family.alias("_f"), size.alias("_s"))
     if not listed:
         files = filter_tasks(files, None, spec.exclude_faulty_tasks, "_dir")
