@@ -84,6 +84,12 @@ def _sums(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def _margins(weights: np.ndarray, values: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The intercept and the share of each known token times its value, in the order of the text."""
+    row = np.repeat(np.arange(len(known)), known)
+    return weights[0] + np.bincount(row, values * (1.0 / size)[row], len(known))
+
+
 def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and model: the sums of the log-loss' gradient over the blocks met."""
     sums: dict[str, np.ndarray] = {}
@@ -92,11 +98,11 @@ def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, key in enumerate(batch.column("_key").to_pylist()):
             weights = batch.column("z")[k].values.to_numpy()
             at, known, size, y = get("at", k, _number_type(len(weights))), get("known", k, np.int32), get("size", k, np.int32), get("y", k, np.uint8)
-            at = at.astype(np.intp)
-            error = 1.0 / (1.0 + np.exp(-weights[0] - _sums(weights[at], known) / size)) - y
+            at, share = at.astype(np.intp), (1.0 / size).astype(np.float32)
+            error = 1.0 / (1.0 + np.exp(-weights[0] - _sums(weights[at], known) * share)) - y
             total = sums.setdefault(key, np.zeros(len(weights)))
             total[0] += error.sum()
-            total += np.bincount(at, np.repeat(error / size, known), len(weights))
+            total += np.bincount(at, np.repeat(error * share, known), len(weights))
     for key, total in sums.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"_key": pa.array([key] * len(at), pa.string()), "at": pa.array(at.astype(np.int32)), "g": pa.array(total[at])})
@@ -198,7 +204,7 @@ def score(models: DataFrame, df: DataFrame, tokens: Column, keys: list[str] | No
         if model.num_rows and rows.num_rows:
             weights = model["weights"][0].values.to_numpy()
             known, at, size = _numbered(rows, model["words"].combine_chunks().flatten())
-            margin = weights[0] + _sums(weights[at], known) / size
+            margin = _margins(weights, weights[at], known, size)
         return rows.select(columns).append_column(name, pa.array(1.0 / (1.0 + np.exp(-margin))))
 
     rows = materialize(df.select(*columns, _key(keys).alias("_key"), tokens.alias("_tokens")), "to-score")
@@ -354,7 +360,7 @@ def score_views(models: DataFrame, df: DataFrame, tokens: Column, views: list[Vi
                     number = pc.fill_null(pc.index_in(own, value_set=batch.column("_all")[k].values), -1).to_numpy(zero_copy_only=False) + 1
                     at, known, size = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("at", _number_type(len(own))), ("known", np.int32), ("size", np.int32)))
                     values = np.where(number > 0, weights[number], 0.0)  # a token that the model hasn't seen doesn't count
-                    margin = weights[0] + _sums(values[at], known) / size
+                    margin = _margins(weights, values[at], known, size)
                 rows = rows.append_column(key, pa.repeat(batch.column("_key")[k], rows.num_rows))
                 yield from rows.append_column(name, pa.array(1.0 / (1.0 + np.exp(-margin)))).to_batches()
 
